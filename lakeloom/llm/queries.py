@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import embedding_lsh, license_scan, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": license_scan.op1_license_scan,
         "op6_simhash": simhash.op6_simhash,
+        "op7_embedding_lsh": embedding_lsh.op7_embedding_lsh,
+        "op8_token_counts": token_counts.op8_token_counts,
     }
 
 
