@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_lsh, license_scan, simhash, token_counts
+from . import embedding_lsh, language_id, license_scan, sentencepiece_codec, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
+        "op2_language_id": language_id.op2_language_id,
         "op6_simhash": simhash.op6_simhash,
         "op7_embedding_lsh": embedding_lsh.op7_embedding_lsh,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
