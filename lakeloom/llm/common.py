@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in ``spark.checkpoint.dir``, which all executors share.
-
-    Only where the session names no folder (tests) a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -34,7 +37,7 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def text_slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """The texts of an Arrow batch (null as empty), in runs of about ``limit`` bytes, each with the row at which it begins.
 
     A run always has one text at least, so that a very long text is a run by itself.
@@ -57,6 +60,23 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2_000_
         start = stop
 
 
+def keep_rows(docs: DataFrame, text_col: str, test: Callable[[list[str]], list[bool]], limit: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` whose text passes a test; no column is moved between tasks, and null counts as empty."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [bool(x) for _, texts in text_slices(batch, at, limit) for x in test(texts)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table of narrow rows, marked for broadcast if a count shows that it has ``most`` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _changed(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], int(row["h"] or 0)

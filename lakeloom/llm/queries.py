@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_lsh, language_id, license_scan, sentencepiece_codec, simhash, token_counts, toxicity
+from . import decontamination, embedding_lsh, language_id, license_scan, line_dedup, sentencepiece_codec, simhash, token_counts, toxicity, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_language_id": language_id.op2_language_id,
+        "op3_decontamination": decontamination.op3_decontamination,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_warc_fixity": warc_fixity.op5_warc_fixity,
         "op6_simhash": simhash.op6_simhash,
         "op7_embedding_lsh": embedding_lsh.op7_embedding_lsh,
         "op8_token_counts": token_counts.op8_token_counts,
@@ -22,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_fixity": warc_fixity.OP5_SQL}

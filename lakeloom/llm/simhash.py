@@ -14,7 +14,7 @@ lanes at once; words whose lanes all exceed the radius are abandoned before the
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, free_name, table, text_slices
+from .common import components, cut, few, free_name, table, text_slices
 
 SEED = 42
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -67,38 +67,43 @@ def within_radius(differences: np.ndarray, radius: int) -> np.ndarray:
     n = len(differences)
     if not n:
         return np.zeros(0, dtype=bool)
-    lanes = -(-n // 64) * 64
-    padded = np.full(lanes, _ONES)
-    padded[:n] = differences
-    # bytes of each word, then bits: planes[b] has bit b of all lanes, 64 lanes to a word
-    bits = np.unpackbits(padded.view(np.uint8).reshape(lanes, 8), axis=1, bitorder="little")
-    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
-    return np.unpackbits(_few(planes, radius).view(np.uint8), bitorder="little")[:n].astype(bool)
-
-
-def _few(planes: np.ndarray, radius: int) -> np.ndarray:
-    """Words of lanes whose bits over all planes number ``radius`` or fewer, by carry-save addition."""
-    words = planes.shape[1]
+    planes = bit_planes(differences, _ONES)
+    return np.unpackbits(_few(planes.__getitem__, planes.shape[1], radius).view(np.uint8), bitorder="little")[:n].astype(bool)
+
+
+def bit_planes(values: np.ndarray, fill: np.uint64) -> np.ndarray:
+    """Row b: bit b of all values, 64 values to a word; the last word is filled up."""
+    padded = np.full(-(-len(values) // 64) * 64, fill)
+    padded[: len(values)] = values
+    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+
+
+def _few(plane: Callable[[int], np.ndarray], words: int, radius: int) -> np.ndarray:
+    """Words of lanes whose bits over all 64 planes number ``radius`` or fewer, by carry-save addition."""
     digits = max(1, (radius + 1).bit_length())
-    alive, out = np.arange(words), np.zeros(words, dtype=np.uint64)
-    counters = np.zeros((digits, words), dtype=np.uint64)
+    alive, out = None, np.zeros(words, dtype=np.uint64)
+    counters = [np.zeros(words, dtype=np.uint64) for _ in range(digits)]
     over = np.zeros(words, dtype=np.uint64)
-    for b in range(planes.shape[0]):
-        carry = planes[b] if len(alive) == words else planes[b][alive]
+    for b in range(64):
+        carry = plane(b) if alive is None else plane(b)[alive]
         for d in range(digits):
             counters[d], carry = counters[d] ^ carry, counters[d] & carry
-        over |= carry | _above(counters, radius)
-        if b % 4 == 3:  # abandon the blocks of lanes that have all exceeded the radius
+        over |= carry
+        if b % 4 == 3:  # abandon the words whose lanes have all exceeded the radius
+            over |= _above(counters, radius)
             stay = over != _ONES
-            if not stay.any():
+            left = int(stay.sum())
+            if not left:
                 return out
-            if stay.sum() < 0.7 * len(alive):
-                alive, counters, over = alive[stay], counters[:, stay], over[stay]
-    out[alive] = ~over
+            if left < 0.6 * len(over):
+                alive = np.flatnonzero(stay) if alive is None else alive[stay]
+                counters, over = [c[stay] for c in counters], over[stay]
+    out[slice(None) if alive is None else alive] = ~over
     return out
 
 
-def _above(counters: np.ndarray, radius: int) -> np.ndarray:
+def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose binary counter is greater than ``radius``."""
     above, equal = np.zeros_like(counters[0]), np.full_like(counters[0], _ONES)
     for d in range(len(counters) - 1, -1, -1):
@@ -131,16 +136,20 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]
 def _block_links(fps: np.ndarray, side: np.ndarray, cross: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked positions in one file; ``cross``: only between the two blocks (side 0 and 1)."""
     rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(fps)),) * 2
-    found = []
-    for start in range(0, len(rows), max(1, 2_000_000 // max(1, len(cols)))):
-        part = rows[start : start + max(1, 2_000_000 // max(1, len(cols)))]
-        a, b = np.repeat(part, len(cols)), np.tile(cols, len(part))
-        if not cross:
-            keep = a < b
-            a, b = a[keep], b[keep]
-        near = within_radius(fps[a] ^ fps[b], radius)
-        found.append((a[near], b[near]))
-    return (np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])) if found else (np.zeros(0, int),) * 2
+    if not len(rows) or not len(cols):
+        return (np.zeros(0, dtype=np.int64),) * 2
+    planes = bit_planes(fps[cols], np.uint64(0))
+    words, found = planes.shape[1], []
+    step = max(1, 65_536 // words)
+    for start in range(0, len(rows), step):
+        part = rows[start : start + step]
+        own = np.where(fps[part][None, :] >> np.arange(64, dtype=np.uint64)[:, None] & np.uint64(1) == 1, _ONES, np.uint64(0))
+        near = _few(lambda b, own=own: (planes[b][None, :] ^ own[b][:, None]).ravel(), len(part) * words, radius)
+        lanes = np.unpackbits(near.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")[:, : len(cols)]
+        a, b = np.nonzero(lanes)
+        a, b = part[a], cols[b]
+        found.append((a, b) if cross else (a[a < b], b[a < b]))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 def _compare(radius: int):
@@ -150,7 +159,7 @@ def _compare(radius: int):
         edges: list[tuple[int, int]] = []
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
-        small = sizes <= 32
+        small = sizes <= 12
         # the many small files together: rows at each distance within a file, as lanes of one comparison
         file_end = np.repeat(starts + sizes, sizes)
         in_small = np.repeat(small, sizes) & ~cross
@@ -164,7 +173,7 @@ def _compare(radius: int):
             near = within_radius(fps[a] ^ fps[b], radius)
             edges += _forest(len(keys), a[near], b[near])
         for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-            if n > 32 or cross[s]:
+            if n > 12 or cross[s]:
                 a, b = _block_links(fps[s : s + n], side[s : s + n], bool(cross[s]), radius)
                 edges += [(s + x, s + y) for x, y in _forest(n, a, b)]
         return [(int(ids[a]), int(ids[b])) for a, b in edges]
@@ -234,10 +243,48 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` without the near-duplicates: of each component the row with the smallest id stays; rows without id stay."""
-    found = groups(docs, id_col, text_col, words, radius).where("component_id <> doc_id").select(F.col("doc_id").alias(key := free_name(docs, "dropped_id"))).distinct()
-    return docs.join(found, docs[id_col] == found[key], "left_anti")
+def similarity(left: str | None, right: str | None, words: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles; a shorter text is one shingle, and texts without words are alike."""
+    a, b = ((x or "").encode("utf-8", "surrogatepass").lower().split() for x in (left, right))
+    if a == b:
+        return 1.0
+    a, b = (set(zip(*(x[i:] for i in range(words)))) if len(x) >= words else {tuple(x)} for x in (a, b))
+    return (both := len(a & b)) / (len(a) + len(b) - both)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 8, shingle: int = 5, least: float = 0.8, rounds: int = 3) -> DataFrame:
+    """``docs`` without the rows that are near-duplicates of one that stays.
+
+    Fingerprints within ``radius`` bits nominate: their components are the groups. In each group the row with the
+    smallest id stays, and those go whose exact Jaccard similarity to it (``shingle`` words) is ``least`` or more. What
+    is left of a group is a group again, for ``rounds`` rounds; rows left after that stay. So no row goes without a row
+    that stays and is that similar. Rows without an id stay; rows that share an id share its fate.
+    """
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("text"), batch.column("kept_text")
+            near = [similarity(a[i].as_py(), b[i].as_py(), shingle) >= least for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grp"), pa.array(near, pa.bool_())], ["id", "grp", "near"])
+
+    found = groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, radius).select(F.col("doc_id").alias("id"), F.col("component_id").alias("grp")).distinct()
+    found = cut(found.join(found.where("id <> grp").select("grp").distinct(), "grp", "left_semi"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = cut(rows.join(few(found), "id").groupBy("id", "grp").agg(F.min("text").alias("text")))
+    left, dropped = texts.select("id", "grp"), None
+    for _ in range(rounds):
+        kept = left.groupBy("grp").agg(F.min("id").alias("kept"))
+        kept = kept.join(texts.select(F.col("id").alias("kept"), F.col("text").alias("kept_text")), "kept")
+        pairs = texts.join(left.select("id"), "id", "left_semi").join(kept, "grp").where("id <> kept")
+        judged = cut(pairs.select("id", "grp", "text", "kept_text").mapInArrow(alike, "id long, grp long, near boolean"))
+        gone = judged.where("near").select("id")
+        dropped = gone if dropped is None else dropped.union(gone)
+        left = judged.where("not near").select("id", "grp")
+        if left.isEmpty():
+            break
+    key = free_name(docs, "dropped_id")
+    dropped = dropped.select(F.col("id").alias(key))
+    return docs.join(few(dropped), docs[id_col] == dropped[key], "left_anti")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
