@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass.
 
-A text is cut into marked words (runs of the space mark with what follows them; no piece reaches over such a border).
+A text is cut into marked words (runs of the space mark with what follows them, less a full stop and the like at the
+end; no piece reaches over such a border).
 The distinct words of a run of texts are sorted, which lays them out as the depth-first order of their trie, and a
 forward pass walks down it: the scores of a word's prefixes stay on a stack and the next word goes on from the longest
 prefix that the two share. Each word is so encoded once, and each shared prefix once.
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import table, text_slices
 
 MARK = "▁"
-_WORDS = re.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|\n|\t")
-CACHE_WORDS = 300_000
+PUNCTUATION = ".,;:!?"
+CACHE_WORDS = 600_000
+HEAD = 7
 
 
 class Codec:
@@ -58,14 +60,28 @@ class Codec:
         self.id_bytes = {i: b for b, i in self.byte_ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.least = min((scores[i] for i in self.ids.values()), default=0.0) - 10
-        self.stable: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        # lengths of the pieces that end in two given characters, longest first, and one for a single character
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], {1}).add(len(p))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self.texts = [chr(self.id_bytes[i]) if self.id_bytes.get(i, 128) < 128 else p for i, p in enumerate(pieces)]
+        self.high = {i for i, b in self.id_bytes.items() if b >= 128}
+        self.stable: dict[int, bool] = {}
+        # where words can be cut: before a mark, and between a letter or digit and a sign that no piece has after one
+        cut = "".join(p for p in PUNCTUATION if not any(a.isalnum() and b == p for x in self.ids for a, b in zip(x, x[1:])))
+        rest = f"[^{MARK}\\n\\t{cut}]*" + (f"(?:(?<![^\\W_])[{cut}][^{MARK}\\n\\t{cut}]*)*" if cut else "")
+        self.words = re.compile(f"(?:{MARK}+|[^{MARK}\\n\\t]){rest}|\\n|\\t").findall
+        self.heads: dict[str, tuple[list[int], list[int], list[float]]] = {}
+        self.edges: dict[str, tuple[float, list, list] | None] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.again: set[str] = set()
 
-    def merge(self, text: str) -> list[str]:
-        """Merging by rank, as defined: the best-scored pair first, the leftmost of equals."""
+    def merge(self, text: str, least: int = 1) -> list[str]:
+        """Merging by rank, as defined: the best-scored pair first, the leftmost of equals; stops at ``least`` parts."""
         parts, ids, scores = list(text), self.ids, self.scores
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 k = ids.get(parts[i] + parts[i + 1])
@@ -76,20 +92,51 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _edges(self, piece: str) -> tuple[float, list, list] | None:
+        """When a piece is complete as merging goes on, and what stands at its left and right edge until when.
+
+        Time is the worst rank merged so far. An edge is a list of (part, time it is there, time it is merged away).
+        None for a piece that merging its own text does not give.
+        """
+        if piece in self.edges:
+            return self.edges[piece]
+        if len(piece) == 1:
+            made = (-np.inf, [(piece, -np.inf, np.inf)], [(piece, -np.inf, np.inf)])
+        else:
+            made, parts = None, self.merge(piece, 2)
+            if len(parts) == 2 and piece in self.ids and (a := self._edges(parts[0])) and (b := self._edges(parts[1])):
+                time = max(-self.scores[self.ids[piece]], a[0], b[0])
+                whole = (piece, time, np.inf)
+                left, right = ([whole, (e[0][0], e[0][1], time), *e[1:]] for e in (a[1], b[2]))
+                made = (time, left, right)
+        self.edges[piece] = made
+        return made
+
     def _stable(self, left: int, right: int) -> bool:
-        """Whether the two pieces stay as they are when their text is merged (left: -1 at the start of a word)."""
-        key = (left, right)
-        if (known := self.stable.get(key)) is None:
-            if len(self.stable) > 2_000_000:
-                self.stable.clear()
-            b = self.pieces[right]
-            known = self.stable[key] = self.merge(b) == [b] if left < 0 else self.merge(self.pieces[left] + b) == [self.pieces[left], b]
-        return known
+        """Whether the two pieces stay as they are when their text is merged (left: negative at the start of a word).
+
+        They do unless, at some time, parts at the border would merge with each other; where times are equal, merging decides.
+        """
+        b = self._edges(self.pieces[right])
+        if left < 0 or b is None:
+            return b is not None
+        a, ids, scores = self._edges(self.pieces[left]), self.ids, self.scores
+        doubt = False
+        for x, there, gone in a[2]:
+            for y, there_too, gone_too in b[1]:
+                k = ids.get(x + y)
+                if k is not None:
+                    time = max(-scores[k], there, there_too)
+                    if time < gone and time < gone_too:
+                        return False
+                    doubt = doubt or (time <= gone and time <= gone_too)
+        return not doubt or self.merge(self.pieces[left] + self.pieces[right]) == [self.pieces[left], self.pieces[right]]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each distinct word."""
+        step = self._merge_step if self.kind == "bpe" else self._score_step
         out: dict[str, tuple[int, ...]] = {}
-        ids, longest, bpe, stable, scores = self.ids, self.longest, self.kind == "bpe", self._stable, self.scores
+        heads = self.heads
         # for each prefix of the word at hand: the last piece of its best path, where that begins, and the path's score
         last, begin, score = [-1], [0], [0.0]
         before = ""
@@ -97,70 +144,116 @@ class Codec:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], begin[shared + 1 :], score[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                found, start, best = -2, end - 1, -np.inf
-                for s in range(max(0, end - longest), end):
-                    piece = ids.get(word[s:end])
-                    if piece is None:
-                        continue
-                    if bpe:  # an unknown character (-2) never merges: what follows it starts anew
-                        if stable(last[s] if last[s] >= 0 else -1, piece):
-                            found, start = piece, s
-                            break
-                    elif score[s] + scores[piece] > best:
-                        found, start, best = piece, s, score[s] + scores[piece]
-                if found == -2 and not bpe:
-                    best = score[end - 1] + self.least
-                last.append(found)
-                begin.append(start)
-                score.append(best)
-            path, end = [], len(word)
-            while end:
-                path.append((last[end], begin[end], end))
-                end = begin[end]
-            got: list[int] = []
-            for piece, s, e in reversed(path):
-                if piece >= 0:
-                    got.append(piece)
-                elif self.byte_ids:
-                    got += [self.byte_ids[b] for b in word[s:e].encode("utf-8", "surrogatepass")]
-                elif not got or got[-1] != self.unknown:
-                    got.append(self.unknown)
-            out[word] = tuple(got)
+            if shared < HEAD <= len(word):  # the trie's upper levels are kept from one run of texts to the next
+                if (kept := heads.get(word[:HEAD])) is None:
+                    del last[shared + 1 :], begin[shared + 1 :], score[shared + 1 :]
+                    step(word[:HEAD], shared + 1, last, begin, score)
+                    if len(heads) > 200_000:
+                        heads.clear()
+                    heads[word[:HEAD]] = (last[:], begin[:], score[:])
+                else:
+                    last[:], begin[:], score[:] = kept
+                shared = HEAD
+            else:
+                del last[shared + 1 :], begin[shared + 1 :], score[shared + 1 :]
+            step(word, shared + 1, last, begin, score)
             before = word
+            path, end, plain = [], len(word), True
+            while end:
+                piece, s = last[end], begin[end]
+                path.append(piece)
+                plain = plain and piece >= 0
+                end = s
+            path.reverse()
+            out[word] = tuple(path) if plain else self._with_unknown(word, path)
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts; words seen lately are not encoded again."""
-        cut = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = set(chain.from_iterable(cut)).difference(self.known)
+    def _with_unknown(self, word: str, path: list[int]) -> tuple[int, ...]:
+        """A path in which unknown characters are their bytes, or the unknown id for a run of them."""
+        got: list[int] = []
+        at = 0
+        for piece in path:
+            if piece >= 0:
+                got.append(piece)
+                at += len(self.pieces[piece])
+                continue
+            if self.byte_ids:
+                got += [self.byte_ids[b] for b in word[at].encode("utf-8", "surrogatepass")]
+            elif not got or got[-1] != self.unknown:
+                got.append(self.unknown)
+            at += 1
+        return tuple(got)
+
+    def _merge_step(self, word: str, first: int, last: list[int], begin: list[int], score: list[float]) -> None:
+        """Goes on over the prefixes from length ``first``, for ranks: the step to a prefix is the one whose pieces are stable."""
+        get, lengths, one, stable = self.ids.get, self.lengths.get, (1,), self.stable
+        known, n = stable.get, len(self.pieces)
+        for end in range(first, len(word) + 1):
+            found, start = -2, end - 1  # an unknown character never merges: what follows it starts anew
+            for length in lengths(word[end - 2 : end], one) if end > 1 else one:
+                if (s := end - length) < 0 or (piece := get(word[s:end])) is None:
+                    continue
+                left = last[s] if last[s] >= 0 else -1
+                fits = known(key := left * n + piece)
+                if fits is None:
+                    if len(stable) > 2_000_000:
+                        stable.clear()
+                    fits = stable[key] = self._stable(left, piece)
+                if fits:
+                    found, start = piece, s
+                    break
+            last.append(found)
+            begin.append(start)
+            score.append(0.0)
+
+    def _score_step(self, word: str, first: int, last: list[int], begin: list[int], score: list[float]) -> None:
+        """Goes on over the prefixes from length ``first``, for scores: the best sum stays, the longest piece of equals."""
+        ids, scores = self.ids, self.scores
+        for end in range(first, len(word) + 1):
+            found, start, best = -2, end - 1, score[end - 1] + self.least
+            for s in range(max(0, end - self.longest), end):
+                piece = ids.get(word[s:end])
+                if piece is not None and (found == -2 or score[s] + scores[piece] > best):
+                    found, start, best = piece, s, score[s] + scores[piece]
+            last.append(found)
+            begin.append(start)
+            score.append(best)
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of whole texts, and their numbers of marked words.
+
+        Words seen lately are not encoded again. When there are too many, those stay that have come more than once.
+        """
+        cut = [self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        distinct = set(chain.from_iterable(cut))
+        fresh = distinct.difference(self.known)
+        self.again.update(distinct.difference(fresh))
         if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-            fresh = set(chain.from_iterable(cut))
+            self.known = {w: self.known[w] for w in self.again} if len(self.again) < CACHE_WORDS // 2 else {}
+            self.again = set()
+            fresh = distinct.difference(self.known)
         self.known.update(self.encode_words(fresh))
-        known = self.known
-        return [np.fromiter(chain.from_iterable([known[w] for w in words]), dtype=np.int32) for words in cut]
+        known = self.known.__getitem__
+        return [np.fromiter(chain.from_iterable(map(known, words)), dtype=np.int32) for words in cut], [len(words) for words in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; the mark in front is the one that encoding adds."""
-        ids, pieces = list(ids), self.pieces
-        if self.id_bytes and any(i in self.id_bytes for i in set(ids)):
+        ids, texts = list(ids), self.texts
+        if self.high.isdisjoint(ids):
+            text = "".join([texts[i] for i in ids])
+        else:  # bytes of one character stand together
             out: list[str] = []
             run = bytearray()
             for i in ids:
                 if i in self.id_bytes:
                     run.append(self.id_bytes[i])
-                else:
-                    if run:
-                        out.append(run.decode("utf-8", "replace"))
-                        run.clear()
-                    out.append(pieces[i])
-            out.append(run.decode("utf-8", "replace"))
-            text = "".join(out)
-        else:
-            text = "".join([pieces[i] for i in ids])
-        return text.replace(MARK, " ")[1:] if text.startswith(MARK) else text.replace(MARK, " ")
+                    continue
+                if run:
+                    out.append(run.decode("utf-8", "replace"))
+                    run.clear()
+                out.append(texts[i])
+            text = "".join([*out, run.decode("utf-8", "replace")])
+        return text[text.startswith(MARK) :].replace(MARK, " ")
 
 
 @functools.lru_cache(maxsize=2)
@@ -174,7 +267,7 @@ _SCHEMA = "doc_id long, n_words long, n_pieces long, pieces array<int>, round_tr
 def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_pieces, pieces, round_trip`` for every row: the ids of its whole text.
 
-    ``n_words`` counts marked words; ``round_trip`` says whether decoding gives the text back (a mark that stands in the
+    ``n_words`` counts the words that are encoded by themselves (marked words, cut at signs, tabs and new lines); ``round_trip`` says whether decoding gives the text back (a mark that stands in the
     text itself comes back as a space, as the model has it). A null or empty text has no pieces; rows without an id and
     repeated rows are encoded each; an empty table gives no rows; other columns do not matter.
     """
@@ -183,10 +276,9 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe"
         made = codec(name, kind)
         for batch in batches:
             for start, texts in text_slices(batch, "text", 4_000_000):
-                ids = made.encode(texts)
+                ids, words = made.encode(texts)
                 sizes = [len(x) for x in ids]
                 right = [made.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]
-                words = [sum(1 for _ in re.finditer(f"{MARK}+", t.replace(" ", MARK))) + (not t.startswith((" ", MARK))) if t else 0 for t in texts]
                 flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), pa.array(words, pa.int64()), pa.array(sizes, pa.int64()), flat, pa.array(right, pa.bool_())], ["doc_id", "n_words", "n_pieces", "pieces", "round_trip"])
 
