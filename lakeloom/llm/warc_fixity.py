@@ -28,21 +28,22 @@ def record(url: Column, page: Column, body: Column) -> Column:
     return F.concat(*head, F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def layout(pages: DataFrame, file_records: int = 512) -> DataFrame:
-    """``page_id, url, html, copies, warc_file, seq, start, end, hash``: where each distinct record stands.
+def layout(pages: DataFrame, replica_html: Column | None = None, file_records: int = 512) -> DataFrame:
+    """``page_id, copies, warc_file, seq, start, end, hash, replica_hash``: where each distinct record stands.
 
-    Rows alike in all three columns are one record with a count. ``seq`` orders a file by page id, then hash.
+    Records that are alike are one record with a count. ``seq`` orders a file by page id, then hash. ``replica_hash`` is
+    that of the record with another body, ``replica_html``. Bodies are read once and go no further than their hashes.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     text = record(F.col("url"), F.col("page_id"), F.col("html"))
-    rows = rows.withColumn("hash", F.sha2(text.cast("binary"), 256)).withColumn("length", F.octet_length(text).cast("long"))
-    distinct = rows.groupBy("hash").agg(F.min_by(F.struct("page_id", "url", "html", "length"), "page_id").alias("r"), F.count("*").alias("copies")).select("hash", "copies", "r.*")
-    distinct = cut(distinct.select("page_id", "url", "html", "copies", "hash", "length"))
+    other = text if replica_html is None else record(F.col("url"), F.col("page_id"), replica_html)
+    rows = rows.select("page_id", F.sha2(text.cast("binary"), 256).alias("hash"), F.sha2(other.cast("binary"), 256).alias("replica_hash"), F.octet_length(text).cast("long").alias("length"))
+    distinct = cut(rows.groupBy("hash").agg(F.min("page_id").alias("page_id"), F.min("replica_hash").alias("replica_hash"), F.min("length").alias("length"), F.count("*").alias("copies")))
     files = max(1, -(-distinct.count() // file_records))
     placed = distinct.withColumn("warc_file", F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % files)
     order = Window.partitionBy("warc_file").orderBy("page_id", "hash")
     end = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return placed.select("page_id", "url", "html", "copies", "warc_file", (F.row_number().over(order) - 1).cast("long").alias("seq"), (end - F.col("length")).alias("start"), end.alias("end"), "hash")
+    return placed.select("page_id", "copies", "warc_file", (F.row_number().over(order) - 1).cast("long").alias("seq"), (end - F.col("length")).alias("start"), end.alias("end"), "hash", "replica_hash")
 
 
 @dataclass
@@ -157,10 +158,10 @@ def audit_pages(pages: DataFrame, damaged: Column | None = None) -> DataFrame:
     overwritten. Null urls and bodies count as empty; a null page id is a record like another; rows that repeat are one
     record with a count; an empty table gives no rows; other columns do not matter.
     """
-    placed = cut(layout(pages))
     damaged = F.coalesce(F.lit(False) if damaged is None else damaged, F.lit(False)) & (F.length("html") > 0)
-    read = record(F.col("url"), F.col("page_id"), F.when(damaged, F.concat(F.lit("#"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html")))
-    replica = placed.withColumn("hash", F.when(damaged, F.sha2(read.cast("binary"), 256)).otherwise(F.col("hash")))
+    read = F.when(damaged, F.concat(F.lit("#"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    placed = cut(layout(pages, read))
+    replica = placed.select("warc_file", "seq", "start", "end", F.col("replica_hash").alias("hash"))
     bad = audit(tree(placed), tree(replica)).select(F.col("file").alias("warc_file"), "seq", F.lit(True).alias("bad"))
     return placed.join(bad, ["warc_file", "seq"], "left").select("page_id", "copies", "warc_file", "seq", "start", "end", "hash", F.coalesce("bad", F.lit(False)).alias("corrupt"))
 
