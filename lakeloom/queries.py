@@ -659,9 +659,9 @@ def q77(t):
     return metrics.last_turns(t("conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
 
 
-@query("q77b_rolling_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 2) AS smooth FROM events")
+@query("q77b_rolling_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 8) AS smooth FROM events")
 def q77b(t):
-    return rounded(metrics.rolling_mean(t("events"), "user_id", "event_id", "value").select("event_id", "smooth"), "smooth", places=2)
+    return rounded(metrics.rolling_mean(t("events"), "user_id", "event_id", "value").select("event_id", "smooth"), "smooth", places=8)
 
 
 # ---- Sources, types, key figures ----------------------------------------------------------------------------------
