@@ -63,37 +63,46 @@ def _signed(h: int) -> int:
 def _hash_rows(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
-            for start, texts in text_slices(batch, "text"):
-                rows = [(k1[i], k2[i], s, e, _signed(h)) for i, text in enumerate(texts, start) for s, e, h in chunks(text.split("\n"), least_words)]
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["k1", "k2", "first", "end", "h"])
+            for _, texts in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array([_signed(h) for text in texts for _, _, h in chunks(text.split("\n"), least_words)], pa.int64())], ["h"])
 
     return run
 
 
-def _text_rows(least_words: int):
-    """The text of nominated chunks, and the short lines beside them."""
+def _text_rows(least_words: int, sieve):
+    """The text of chunks that the sieve lets through, and the short lines beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+        bits = None if sieve is None else sieve.value
         for batch in batches:
-            k1, k2, spans = (batch.column(c).to_pylist() for c in ("k1", "k2", "spans"))
+            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
             for start, texts in text_slices(batch, "text", 1_000_000):
                 rows = []
                 for i, text in enumerate(texts, start):
                     lines = text.split("\n")
-                    for span in spans[i]:
-                        s, e = span["first"], span["end"]
-                        beside = [lines[n] if 0 <= n < len(lines) and len(lines[n].split()) < least_words else None for n in (s - 1, e)]
-                        rows.append((k1[i], k2[i], s, e, "\n".join(lines[s:e]), *beside))
+                    for s, e, h in chunks(lines, least_words):
+                        if bits is None or bits[(h >> 3) % len(bits)] >> (h & 7) & 1:
+                            beside = [lines[n] if 0 <= n < len(lines) and len(lines[n].split()) < least_words else None for n in (s - 1, e)]
+                            rows.append((k1[i], k2[i], s, e, "\n".join(lines[s:e]), *beside))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["k1", "k2", "first", "end", "chunk", "above", "below"])
 
     return run
 
 
+def _sieve(again: DataFrame, size: int = 1 << 24, most: int = 8_000_000):
+    """A broadcast bitmap of ``size`` bytes with a bit for each repeated hash; None beyond ``most``, where it would let too much through."""
+    import numpy as np
+
+    if again.limit(most + 1).count() > most:
+        return None
+    h = again.toArrow().column("h").to_numpy().view(np.uint64)
+    bits = np.zeros(size, dtype=np.uint8)
+    np.bitwise_or.at(bits, ((h >> np.uint64(3)) % np.uint64(size)).astype(np.int64), (1 << (h & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+    return again.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rest, spans = batch.select([c for c in batch.schema.names if c not in ("text", "spans")]), batch.column("spans").to_pylist()
@@ -116,10 +125,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     Rows alike in id and text have one key, and so the same fate; ``k1`` is the id (the least long for a null one).
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(text_col).cast("string").alias("text"))
-    hashed = cut(rows.where("text is not null").mapInArrow(_hash_rows(least_words), "k1 long, k2 long, first int, end int, h long"))
-    again = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    nominated = hashed.join(again, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    texts = cut(rows.where("text is not null").join(nominated, _KEYS).mapInArrow(_text_rows(least_words), "k1 long, k2 long, first int, end int, chunk string, above string, below string"))
+    known = rows.where("text is not null")
+    again = cut(known.mapInArrow(_hash_rows(least_words), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    texts = cut(known.mapInArrow(_text_rows(least_words, _sieve(again)), "k1 long, k2 long, first int, end int, chunk string, above string, below string"))
     place = F.struct("k1", "k2", "first", "above", "below")
     groups = texts.groupBy("chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = texts.join(groups, "chunk").where((F.col("k1") != F.col("kept.k1")) | (F.col("k2") != F.col("kept.k2")) | (F.col("first") != F.col("kept.first")))
@@ -136,12 +144,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows. Other columns are kept as they are; where one of the added names is taken, underscores go in front.
     """
     _, spans = removals(docs, id_col, text_col, least_words)
-    names = {c: free_name(docs, c) for c in ("k1", "k2", "spans", "n_lines", "n_removed", "removed_lines")}
-    keyed = docs.withColumns({names["k1"]: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), names["k2"]: F.xxhash64(text_col)})
-    spans = spans.toDF(names["k1"], names["k2"], names["spans"])
-    joined = keyed.join(spans, [names["k1"], names["k2"]], "left")
+    names = {c: free_name(docs, c) for c in ("n_lines", "n_removed", "removed_lines")}
     others = [c for c in docs.columns if c != text_col]
-    plain = joined.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.col(text_col).cast("string").alias("text"), F.col(names["spans"]).alias("spans"))
+    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(text_col).alias("k2")]
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.col(text_col).cast("string").alias("text"), *keys)
+    plain = plain.join(spans, _KEYS, "left").drop(*_KEYS)
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(others)), "text string, n_lines long, n_removed long, removed_lines array<int>"])
     back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
