@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +50,6 @@ def text_slices(batch: pa.RecordBatch, column: str | int = "text", limit: int =
         if len(texts):
             yield 0, [x or "" for x in texts.to_pylist()]
         return
-    import numpy as np
-
     offsets = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     start = 0
     while start < len(texts):
@@ -77,6 +76,38 @@ def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+class Forest:
+    """A spanning forest of links that come in arrays: as many edges as joined nodes, however many links there are."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        a, b = self.label[left], self.label[right]
+        new = a != b
+        if not new.any():
+            return
+        left, right, a, b = left[new], right[new], a[new], b[new]
+        _, first = np.unique(np.minimum(a, b) * len(self.label) + np.maximum(a, b), return_index=True)
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        for i in first.tolist():
+            x, y = find(int(a[i])), find(int(b[i]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                self.edges.append((int(left[i]), int(right[i])))
+        root = np.arange(len(self.label))
+        root[list(parent)] = [find(x) for x in list(parent)]
+        self.label = root[self.label]
+
+
 def _changed(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], int(row["h"] or 0)

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
-from .simhash import _forest
+from .common import Forest, components, cut, table
 
 
 def collision(distance: float, width: float) -> float:
@@ -107,15 +106,13 @@ def _compare(threshold: float, tile: int = 1024):
                 r, c = np.flatnonzero(side[at] == 0), np.flatnonzero(side[at] == 1)
             else:
                 r = c = np.arange(len(at))
-            links, parent_edges = np.zeros(len(at), dtype=np.int64), []
+            links, forest = np.zeros(len(at), dtype=np.int64), Forest(len(at))
             for left, right in pairs(x, k, int(table_[0]), r, c, bool(cross[0])):
                 np.add.at(links, left, n[at[right]])
                 np.add.at(links, right, n[at[left]])
-                parent_edges += _forest(len(at), left, right)
-            if parent_edges:
-                found = np.array(parent_edges)
-                found = _forest(len(at), found[:, 0], found[:, 1])
-                out += [(int(ids[at[a]]), int(ids[at[b]]), True) for a, b in found]
+                forest.add(left, right)
+            if forest.edges:
+                out += [(int(ids[at[a]]), int(ids[at[b]]), True) for a, b in forest.edges]
                 out += [(int(ids[at[a]]), int(links[a]), False) for a in np.flatnonzero(links)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

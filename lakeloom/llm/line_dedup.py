@@ -129,7 +129,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     again = cut(known.mapInArrow(_hash_rows(least_words), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     texts = cut(known.mapInArrow(_text_rows(least_words, _sieve(again)), "k1 long, k2 long, first int, end int, chunk string, above string, below string"))
     place = F.struct("k1", "k2", "first", "above", "below")
-    groups = texts.groupBy("chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # cut, so that the join below has plain sides and Spark can split a chunk that stands very often
+    groups = cut(texts.groupBy("chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = texts.join(groups, "chunk").where((F.col("k1") != F.col("kept.k1")) | (F.col("k2") != F.col("kept.k2")) | (F.col("first") != F.col("kept.first")))
     first = F.col("first") - F.coalesce((F.col("above") == F.col("kept.above")).cast("int"), F.lit(0))
     end = F.col("end") + F.coalesce((F.col("below") == F.col("kept.below")).cast("int"), F.lit(0))

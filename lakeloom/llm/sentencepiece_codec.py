@@ -31,8 +31,8 @@ from .common import table, text_slices
 
 MARK = "▁"
 PUNCTUATION = ".,;:!?"
-CACHE_WORDS = 600_000
-HEAD = 7
+#: Words kept by a worker, about 270 bytes each.
+CACHE_WORDS = 300_000
 
 
 class Codec:
@@ -73,7 +73,6 @@ class Codec:
         cut = "".join(p for p in PUNCTUATION if not any(a.isalnum() and b == p for x in self.ids for a, b in zip(x, x[1:])))
         rest = f"[^{MARK}\\n\\t{cut}]*" + (f"(?:(?<![^\\W_])[{cut}][^{MARK}\\n\\t{cut}]*)*" if cut else "")
         self.words = re.compile(f"(?:{MARK}+|[^{MARK}\\n\\t]){rest}|\\n|\\t").findall
-        self.heads: dict[str, tuple[list[int], list[int], list[float]]] = {}
         self.edges: dict[str, tuple[float, list, list] | None] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.again: set[str] = set()
@@ -136,7 +135,6 @@ class Codec:
         """Ids of each distinct word."""
         step = self._merge_step if self.kind == "bpe" else self._score_step
         out: dict[str, tuple[int, ...]] = {}
-        heads = self.heads
         # for each prefix of the word at hand: the last piece of its best path, where that begins, and the path's score
         last, begin, score = [-1], [0], [0.0]
         before = ""
@@ -144,18 +142,7 @@ class Codec:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            if shared < HEAD <= len(word):  # the trie's upper levels are kept from one run of texts to the next
-                if (kept := heads.get(word[:HEAD])) is None:
-                    del last[shared + 1 :], begin[shared + 1 :], score[shared + 1 :]
-                    step(word[:HEAD], shared + 1, last, begin, score)
-                    if len(heads) > 200_000:
-                        heads.clear()
-                    heads[word[:HEAD]] = (last[:], begin[:], score[:])
-                else:
-                    last[:], begin[:], score[:] = kept
-                shared = HEAD
-            else:
-                del last[shared + 1 :], begin[shared + 1 :], score[shared + 1 :]
+            del last[shared + 1 :], begin[shared + 1 :], score[shared + 1 :]
             step(word, shared + 1, last, begin, score)
             before = word
             path, end, plain = [], len(word), True
@@ -196,7 +183,7 @@ class Codec:
                 left = last[s] if last[s] >= 0 else -1
                 fits = known(key := left * n + piece)
                 if fits is None:
-                    if len(stable) > 2_000_000:
+                    if len(stable) > 500_000:
                         stable.clear()
                     fits = stable[key] = self._stable(left, piece)
                 if fits:
@@ -275,7 +262,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(name, kind)
         for batch in batches:
-            for start, texts in text_slices(batch, "text", 4_000_000):
+            for start, texts in text_slices(batch, "text", 3_000_000):
                 ids, words = made.encode(texts)
                 sizes = [len(x) for x in ids]
                 right = [made.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, few, free_name, table, text_slices
+from .common import Forest, components, cut, few, free_name, table, text_slices
 
 SEED = 42
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -114,42 +114,29 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links: as many edges as joined nodes, however many links there are."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = find(a), find(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
-def _block_links(fps: np.ndarray, side: np.ndarray, cross: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked positions in one file; ``cross``: only between the two blocks (side 0 and 1)."""
+def _block_links(fps: np.ndarray, side: np.ndarray, cross: bool, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links in one file; ``cross``: only those between its two blocks (side 0 and 1)."""
     rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(fps)),) * 2
+    forest = Forest(len(fps))
     if not len(rows) or not len(cols):
-        return (np.zeros(0, dtype=np.int64),) * 2
+        return []
     planes = bit_planes(fps[cols], np.uint64(0))
-    words, found = planes.shape[1], []
-    step = max(1, 65_536 // words)
+    words = planes.shape[1]
+    step = max(1, 4096 // words)
     for start in range(0, len(rows), step):
         part = rows[start : start + step]
         own = np.where(fps[part][None, :] >> np.arange(64, dtype=np.uint64)[:, None] & np.uint64(1) == 1, _ONES, np.uint64(0))
         near = _few(lambda b, own=own: (planes[b][None, :] ^ own[b][:, None]).ravel(), len(part) * words, radius)
-        lanes = np.unpackbits(near.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")[:, : len(cols)]
-        a, b = np.nonzero(lanes)
-        a, b = part[a], cols[b]
-        found.append((a, b) if cross else (a[a < b], b[a < b]))
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        hit = np.flatnonzero(near)
+        if not len(hit):
+            continue
+        lane = np.flatnonzero(np.unpackbits(near[hit].view(np.uint8), bitorder="little"))
+        word = hit[lane >> 6]
+        a, b = word // words, (word % words) * 64 + (lane & 63)
+        real = b < len(cols)
+        a, b = part[a[real]], cols[b[real]]
+        forest.add(a, b) if cross else forest.add(a[a < b], b[a < b])
+    return forest.edges
 
 
 def _compare(radius: int):
@@ -171,11 +158,12 @@ def _compare(radius: int):
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
             near = within_radius(fps[a] ^ fps[b], radius)
-            edges += _forest(len(keys), a[near], b[near])
+            forest = Forest(len(keys))
+            forest.add(a[near], b[near])
+            edges += forest.edges
         for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
             if n > 12 or cross[s]:
-                a, b = _block_links(fps[s : s + n], side[s : s + n], bool(cross[s]), radius)
-                edges += [(s + x, s + y) for x, y in _forest(n, a, b)]
+                edges += [(s + x, s + y) for x, y in _block_links(fps[s : s + n], side[s : s + n], bool(cross[s]), radius)]
         return [(int(ids[a]), int(ids[b])) for a, b in edges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

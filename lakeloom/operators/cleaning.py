@@ -192,6 +192,16 @@ def add_category(df: DataFrame, column: str, library: dict[str, tuple[str, ...]]
     return (df.withColumn(f"{column}_category", cat) if row["n"] >= 2 and share >= least else df), share
 
 
+def checked_mapping(df: DataFrame, column: str, mapping: dict[str, str], confidence: float, least: float = 0.5) -> DataFrame:
+    """``{column}_category`` from a suggested value-to-category mapping, if it is sure enough, has two categories and covers half of the rows; else the table as it is."""
+    if confidence < 0.5 or len(set(mapping.values())) < 2:
+        return df
+    table = F.create_map(*(F.lit(x) for pair in sorted(mapping.items()) for x in pair))
+    label = F.try_element_at(table, F.col(column).cast("string"))
+    share = df.agg(F.avg(label.isNotNull().cast("double"))).first()[0] or 0.0
+    return df.withColumn(f"{column}_category", label) if share >= least else df
+
+
 def map_values(df: DataFrame, column: str, mapping: DataFrame, new: str) -> DataFrame:
     """A looked-up column from a table ``value, label`` of any size; misses are null."""
     lookup = mapping.select(F.col("value").alias("__value"), F.col("label").alias(new)).dropDuplicates(["__value"])

@@ -61,6 +61,18 @@ def scale(df: DataFrame, columns: list[str], method: str | None = None) -> tuple
     return df.withColumns(new), method
 
 
+def align(row: DataFrame, columns: list[str]) -> DataFrame:
+    """A table with exactly the given feature columns, as doubles: missing ones are 0, others go."""
+    have = set(row.columns)
+    return row.select(*((F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)).alias(c) for c in columns))
+
+
+def cumulative_share(values: np.ndarray, shares: tuple[float, ...] = (0.5, 0.95)) -> list[int]:
+    """How many of the largest values make up each share of their sum."""
+    total = np.cumsum(np.sort(values)[::-1]) / max(values.sum(), 1e-10)
+    return [int(np.argmax(total >= s - 1e-12)) + 1 for s in shares]
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Pairwise correlations, one pass over the data; NaN where undefined."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(i)]

@@ -124,6 +124,22 @@ def suggestions(df: DataFrame) -> list[ChartSpec]:
     return out
 
 
+def story(df: DataFrame, categories: list[str], metric: str | None, time: str | None, granularity: str = "monthly") -> list[ChartSpec]:
+    """Charts in the order of a story: overview by category, trend split by it, a look into its top value, volume, spread."""
+    out: list[ChartSpec] = []
+    for c in categories[:1]:
+        out.append(ChartSpec("bar", c, metric, agg="sum" if metric else "count", sort_by="y_desc", top_n=12, title="overview"))
+        if time:
+            out.append(ChartSpec("time_series", time, metric, color=c, agg="sum" if metric else "count", granularity=granularity, title="trend"))
+        top = charts.value_counts(df, c, 1).first()
+        if top and len(categories) > 1:
+            out.append(ChartSpec("bar", categories[1], metric, agg="sum" if metric else "count", sort_by="y_desc", top_n=10, filter_col=c, filter_val=str(top["value"]), title="inside the top"))
+        out.append(ChartSpec("bar", c, agg="count", sort_by="y_desc", top_n=20, title="volume"))
+    if metric:
+        out.append(ChartSpec("histogram", metric, title="spread"))
+    return out
+
+
 def headline(row, by: str, y: str) -> str:
     """One sentence about a ``comparison`` row."""
     if row["ratio"] is not None and row["ratio"] > 1.3:

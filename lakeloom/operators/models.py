@@ -105,6 +105,43 @@ def train(rows: DataFrame, task: str, names: tuple[str, ...] | None = None, clas
     return sorted(done, key=lambda t: (-t.cv, t.name)), failed
 
 
+#: What a search tries, by model: parameter name and values.
+SPACES = {
+    "logistic": {"regParam": (0.0, 0.01, 0.1, 1.0), "elasticNetParam": (0.0, 0.5, 1.0)}, "decision_tree": {"maxDepth": (3, 5, 8, 12), "minInstancesPerNode": (1, 5, 20)},
+    "random_forest": {"numTrees": (20, 50, 100), "maxDepth": (5, 8, 12), "minInstancesPerNode": (1, 5)}, "gradient_boosting": {"maxIter": (10, 20, 40), "maxDepth": (3, 5), "stepSize": (0.05, 0.1, 0.2)},
+    "ridge": {"regParam": (0.01, 0.1, 1.0, 10.0)}, "lasso": {"regParam": (0.001, 0.01, 0.1, 1.0)}, "elastic_net": {"regParam": (0.01, 0.1, 1.0), "elasticNetParam": (0.2, 0.5, 0.8)},
+}
+
+
+def trials(rows: int) -> int:
+    """How many settings a search tries: fewer for larger tables."""
+    return 25 if rows < 1000 else 15 if rows < 10_000 else 10
+
+
+def search(rows: DataFrame, name: str, task: str, classes: int = 2, folds: int = 3, most: int | None = None, seed: int = 42, parallelism: int = 2):
+    """The best setting of a model over a seeded random part of its grid, fitted on all rows, and its score."""
+    import random
+
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    estimator = estimators(task, classes)[name]
+    grid = ParamGridBuilder()
+    for param, values in SPACES.get(name, {}).items():
+        grid = grid.addGrid(estimator.getParam(param), list(values))
+    settings = grid.build()
+    chosen = random.Random(seed).sample(settings, min(len(settings), most or trials(rows.count())))
+    judge = MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification" else RegressionEvaluator(metricName="r2")
+    folded = with_folds(rows, folds)
+    fitted = CrossValidator(estimator=estimator, estimatorParamMaps=chosen, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallelism).fit(folded)
+    return fitted.bestModel, float(max(fitted.avgMetrics))
+
+
+def diverse(predicted: DataFrame, by: str = "prediction", order: str = "row_id", n: int = 5) -> DataFrame:
+    """One row for each distinct prediction, the first by id, and ``n`` of them at most."""
+    first = predicted.groupBy(by).agg(F.min(order).alias(order))
+    return predicted.join(first, [by, order], "left_semi").dropDuplicates([by, order]).orderBy(order).limit(n)
+
+
 def vote(rows: DataFrame, models: list, task: str, classes: int) -> DataFrame:
     """``row_id, label, prediction`` of all models together: mean probability where two have one, else the majority; means for regression."""
     out = rows

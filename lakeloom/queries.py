@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as E
 from .functions import questions
-from .operators import charts, cleaning, features, insights, metrics, profile, scoring
+from .operators import charts, cleaning, features, insights, meta_features, metrics, models, profile, scoring
 from .operators.charts import ChartSpec
 from .sources import files
 from .streaming import windows
@@ -762,3 +762,82 @@ def q92(t):
 @query("q93_resume", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def q93(t):
     return metrics.done_already(t("orders").select("o_orderkey"), t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+# ---- Models and more (M1-M10, M16, M17, W5, P14, O5, S9, F15, J1) -------------------------------------------------
+
+def _orders_rows(t):
+    """Is an order dear? from its date, customer and priority."""
+    df = t("orders").select("o_orderkey", (F.col("o_totalprice") > 250_000).cast("int").alias("dear"), F.month("o_orderdate").alias("month"), (F.col("o_totalprice") / 1000 + F.col("o_custkey") % 50).alias("hint"))
+    return models.prepare(df, ["month", "hint"], "dear", "o_orderkey")[0]
+
+
+@query("q94_train_and_vote")
+def q94(t):
+    train, test = models.split(_orders_rows(t))
+    fitted = [models.estimators("classification")[m].fit(train) for m in ("logistic", "decision_tree")]
+    return metrics.class_errors(models.vote(test, fitted, "classification", 2), "label", "prediction")
+
+
+@query("q95_permutation_importance")
+def q95(t):
+    train, test = models.split(_orders_rows(t))
+    fitted = models.estimators("classification")["decision_tree"].fit(train)
+    return rounded(models.permutation_importance(test, fitted, ["month", "hint"], "classification"), "importance")
+
+
+@query("q96_linear_shap", "SELECT l_orderkey % 10 AS part, count(*) AS n, round(sum(1500 * (l_quantity - (SELECT avg(l_quantity) FROM lineitem))), 2) AS total FROM lineitem GROUP BY 1")
+def q96(t):
+    df = t("lineitem").withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    rows, _ = models.prepare(df, ["l_quantity", "l_discount"], "l_extendedprice", "row")
+    shap = models.linear_shap(rows, [1500.0, 0.0], ["l_quantity", "l_discount"]).where("name = 'l_quantity'")
+    return shap.groupBy((F.floor(F.col("row_id") / 10) % 10).alias("part")).agg(F.count("*").alias("n"), r(F.sum("shap"), 2).alias("total"))
+
+
+@query("q97_meta_features")
+def q97(t):
+    df = t("lineitem").select(*_NUM, "l_returnflag")
+    vector = meta_features.extract(df, "l_returnflag", "classification", landmarks=False)
+    return df.sparkSession.createDataFrame([(i, round(v, 6)) for i, v in enumerate(vector)], "place int, value double")
+
+
+@query("q98_checked_mapping", "SELECT CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' END AS o_orderstatus_category, count(*) AS n FROM orders GROUP BY 1")
+def q98(t):
+    return cleaning.checked_mapping(t("orders"), "o_orderstatus", {"F": "closed", "O": "open"}, 0.9).groupBy("o_orderstatus_category").agg(F.count("*").alias("n"))
+
+
+@query("q99_lookup_join", "SELECT n_name, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def q99(t):
+    labels = t("nation").select(F.col("n_nationkey").alias("value"), F.col("n_name").alias("label"))
+    return cleaning.map_values(t("customer"), "c_nationkey", labels, "n_name").groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+@query("q100_sparse_columns", "SELECT 'l_tax' AS kept, count(l_tax) AS n FROM lineitem")
+def q100(t):
+    df = t("lineitem").select("l_tax", F.when(F.col("l_orderkey") % 4 == 0, F.col("l_discount")).alias("rare"))
+    out = cleaning.drop_sparse_columns(df)
+    return out.agg(F.lit(",".join(out.columns)).alias("kept"), F.count("l_tax").alias("n"))
+
+
+@query("q101_baselines", f"""WITH p AS (SELECT dataset, max(score) AS o, avg(score) AS r, max(score) FILTER (model = 'ECONOMY') AS e FROM {_SCORES} GROUP BY 1)
+    SELECT 'oracle' AS strategy, round(avg(o), 6) AS mean_score FROM p UNION ALL SELECT 'random', round(avg(r), 6) FROM p UNION ALL SELECT 'always_ECONOMY', round(avg(e), 6) FROM p""")
+def q101(t):
+    return rounded(metrics.baselines(_scores(t), ["ECONOMY"]), "mean_score", places=6)
+
+
+@query("q102_profile_roles", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS \"distinct\" FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_NUM, "l_returnflag", "l_linestatus", "l_shipdate")))
+def q102(t):
+    return profile.roles(t("lineitem")).select("name", "rows", "missing", "distinct")
+
+
+@query("q103_catalogue", "SELECT p_partkey AS dataset_id, CAST(p_size * 40 AS BIGINT) AS rows FROM part WHERE p_size * 40 BETWEEN 100 AND 50000 AND p_partkey % 3 <> 0")
+def q103(t):
+    catalogue = t("part").select(F.col("p_partkey").alias("dataset_id"), (F.col("p_size") * 40).cast("long").alias("rows"), F.lit(10).alias("features"), F.lit(2).alias("classes"), F.lit(0.1).alias("missing"))
+    return files.candidates(catalogue, catalogue.where("dataset_id % 3 = 0")).select("dataset_id", "rows")
+
+
+@query("q104_impute_knn")
+def q104(t):
+    df = _gaps(t("part").select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_partkey", 20)
+    out = cleaning.impute_knn(df, ["p_size", "p_retailprice"], "p_partkey")
+    return out.agg(F.count("*").alias("n"), F.count_if(F.col("p_retailprice").isNull()).alias("missing"))
