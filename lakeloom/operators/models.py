@@ -13,9 +13,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -184,14 +184,10 @@ def permutation_importance(rows: DataFrame, model, columns: list[str], task: str
     for i, c in enumerate(columns):
         other = flat.select((F.col("v")[i]).alias("moved"), F.xxhash64("row_id", F.lit(seed + i)).alias("h"))
         n = 64
-        from pyspark.sql import Window
-
         own = flat.withColumn("b", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(n))).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("row_id", F.lit(1)))))
         dealt = other.withColumn("b", F.pmod("h", F.lit(n))).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h"))).select("b", "r", "moved")
         mixed = own.join(dealt, ["b", "r"], "left").withColumn("moved", F.coalesce("moved", F.col("v")[i]))
-        from pyspark.ml.functions import array_to_vector
-
-        changed = F.transform("v", lambda x, k, i=i: F.when(k == i, F.col("moved")).otherwise(x))
+        changed = F.array(*(F.col("moved") if k == i else F.col("v")[k] for k in range(len(columns))))
         out.append((c, float(base - score(model.transform(mixed.select("row_id", "label", array_to_vector(changed).alias("features"))), task))))
     return spark.createDataFrame(out, "name string, importance double").orderBy(F.desc("importance"), "name")
 
@@ -206,8 +202,6 @@ def linear_shap(rows: DataFrame, coefficients: list[float], columns: list[str])
 
 def local_explanation(rows: DataFrame, model, row_id, columns: list[str], samples: int = 1000, top: int = 10, seed: int = 42) -> DataFrame:
     """``name, weight`` of a weighted linear model around one row: how the prediction moves with each column nearby."""
-    from pyspark.ml.functions import array_to_vector
-
     spark = rows.sparkSession
     point = list(rows.where(F.col("row_id") == row_id).select(vector_to_array("features").alias("v")).first()["v"])
     flat = rows.select(vector_to_array("features").alias("v"))
