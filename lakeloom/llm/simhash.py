@@ -26,6 +26,35 @@ from .common import Forest, components, cut, few, free_name, table, text_slices
 
 SEED = 42
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Files of up to so many rows are compared together, many to one pass over the planes.
+SMALL = 64
+#: Pairs in one such pass.
+LANES = 1 << 17
+
+
+class Nearest:
+    """Of links that come in arrays, one for each row at most: to the nearest row with a smaller id, the smallest of equals."""
+
+    def __init__(self, ids: np.ndarray, fps: np.ndarray):
+        self.ids, self.fps = ids, fps
+        self.distance, self.to = np.full(len(ids), 65), np.zeros(len(ids), dtype=np.int64)
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        if not len(left):
+            return
+        below = self.ids[left] < self.ids[right]
+        row, other = np.where(below, right, left), np.where(below, left, right)
+        distance = np.bitwise_count(self.fps[left] ^ self.fps[right]).astype(np.int64)
+        order = np.lexsort((self.ids[other], distance, row))
+        order = order[np.r_[True, row[order][1:] != row[order][:-1]]]
+        row, other, distance = row[order], other[order], distance[order]
+        better = (distance < self.distance[row]) | ((distance == self.distance[row]) & (self.ids[other] < self.ids[self.to[row]]))
+        self.distance[row[better]], self.to[row[better]] = distance[better], other[better]
+
+    @property
+    def edges(self) -> list[tuple[int, int]]:
+        found = np.flatnonzero(self.distance < 65)
+        return list(zip(found.tolist(), self.to[found].tolist(), strict=True))
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -114,10 +143,10 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def _block_links(fps: np.ndarray, side: np.ndarray, cross: bool, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in one file; ``cross``: only those between its two blocks (side 0 and 1)."""
+def _block_links(fps: np.ndarray, side: np.ndarray, cross: bool, radius: int, found: Forest | Nearest | None = None) -> list[tuple[int, int]]:
+    """The links in one file as ``found`` gathers them (else a spanning forest); ``cross``: only those between its two blocks (side 0 and 1)."""
     rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(fps)),) * 2
-    forest = Forest(len(fps))
+    found = found or Forest(len(fps))
     if not len(rows) or not len(cols):
         return []
     planes = bit_planes(fps[cols], np.uint64(0))
@@ -135,35 +164,37 @@ def _block_links(fps: np.ndarray, side: np.ndarray, cross: bool, radius: int) ->
         a, b = word // words, (word % words) * 64 + (lane & 63)
         real = b < len(cols)
         a, b = part[a[real]], cols[b[real]]
-        forest.add(a, b) if cross else forest.add(a[a < b], b[a < b])
-    return forest.edges
+        found.add(a, b) if cross else found.add(a[a < b], b[a < b])
+    return found.edges
 
 
-def _compare(radius: int):
-    """Streams files, sorted by key, and emits a spanning forest of the links in each."""
+def _compare(radius: int, nearest: bool):
+    """Streams files, sorted by key, and emits the links in each: a spanning forest, or those to the nearest."""
+
+    def gather(ids: np.ndarray, fps: np.ndarray) -> Forest | Nearest:
+        return Nearest(ids, fps) if nearest else Forest(len(ids))
 
     def links(keys: np.ndarray, cross: np.ndarray, side: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-        edges: list[tuple[int, int]] = []
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
-        small = sizes <= 12
+        small = (sizes <= SMALL) & ~cross[starts]
         # the many small files together: rows at each distance within a file, as lanes of one comparison
-        file_end = np.repeat(starts + sizes, sizes)
-        in_small = np.repeat(small, sizes) & ~cross
-        left, right = [], []
+        file_end = np.where(np.repeat(small, sizes), np.repeat(starts + sizes, sizes), 0)
+        found = gather(ids, fps)
+        left, right, held = [], [], 0
         for d in range(1, int(sizes[small].max(initial=1))):
-            a = np.flatnonzero(in_small[: len(keys) - d] & (np.arange(len(keys) - d) + d < file_end[: len(keys) - d]))
+            a = np.flatnonzero(np.arange(len(keys) - d) + d < file_end[: len(keys) - d])
             left.append(a)
             right.append(a + d)
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            near = within_radius(fps[a] ^ fps[b], radius)
-            forest = Forest(len(keys))
-            forest.add(a[near], b[near])
-            edges += forest.edges
-        for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-            if n > 12 or cross[s]:
-                edges += [(s + x, s + y) for x, y in _block_links(fps[s : s + n], side[s : s + n], bool(cross[s]), radius)]
+            held += len(a)
+            if held > LANES:
+                _add_near(found, fps, left, right, radius)
+                left, right, held = [], [], 0
+        _add_near(found, fps, left, right, radius)
+        edges = found.edges
+        for s, n in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+            part = slice(s, s + n)
+            edges += [(s + x, s + y) for x, y in _block_links(fps[part], side[part], bool(cross[s]), radius, gather(ids[part], fps[part]))]
         return [(int(ids[a]), int(ids[b])) for a, b in edges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +221,18 @@ def _compare(radius: int):
     return run
 
 
-def hamming_links(classes: DataFrame, radius: int = 2, block: int = 4096) -> DataFrame:
+def _add_near(found: Forest | Nearest, fps: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], radius: int) -> None:
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        near = within_radius(fps[a] ^ fps[b], radius)
+        found.add(a[near], b[near])
+
+
+def hamming_links(classes: DataFrame, radius: int = 2, block: int = 4096, nearest: bool = False) -> DataFrame:
     """Edges ``a, b`` (ids) of a graph with the same components as all pairs of ``id, fp`` within ``radius`` bits.
 
-    ``fp`` values must be distinct. At most ``2 * block`` rows meet in one comparison.
+    With ``nearest``, the edges are those from each row to the nearest one with a smaller id, in each file that it is
+    in. ``fp`` values must be distinct. At most ``2 * block`` rows meet in one comparison.
     """
     bands = radius + 2
     width = [64 // bands + (i < 64 % bands) for i in range(bands)]
@@ -210,7 +249,7 @@ def hamming_links(classes: DataFrame, radius: int = 2, block: int = 4096) -> Dat
         F.when(F.col("blocks") == 1, F.col("file")).otherwise(F.xxhash64("file", F.least("own", "other"), F.greatest("own", "other"))).alias("file"),
         (F.col("own") != F.col("other")).alias("cross"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "fp",
     )
-    return pairs.repartition("file").sortWithinPartitions("file", "cross").mapInArrow(_compare(radius), "a long, b long")
+    return pairs.repartition("file").sortWithinPartitions("file", "cross").mapInArrow(_compare(radius, nearest), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -233,6 +272,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def similarity(left: str | None, right: str | None, words: int = 5) -> float:
     """Jaccard similarity of the sets of word shingles; a shorter text is one shingle, and texts without words are alike."""
+    if left == right:
+        return 1.0
     a, b = ((x or "").encode("utf-8", "surrogatepass").lower().split() for x in (left, right))
     if a == b:
         return 1.0
@@ -240,38 +281,33 @@ def similarity(left: str | None, right: str | None, words: int = 5) -> float:
     return (both := len(a & b)) / (len(a) + len(b) - both)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 8, shingle: int = 5, least: float = 0.8, rounds: int = 3) -> DataFrame:
-    """``docs`` without the rows that are near-duplicates of one that stays.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radius: int = 10, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` without the rows that are near-duplicates of one that stays: of each group, the one with the smallest id.
 
-    Fingerprints within ``radius`` bits nominate: their components are the groups. In each group the row with the
-    smallest id stays, and those go whose exact Jaccard similarity to it (``shingle`` words) is ``least`` or more. What
-    is left of a group is a group again, for ``rounds`` rounds; rows left after that stay. So no row goes without a row
-    that stays and is that similar. Rows without an id stay; rows that share an id share its fate.
+    Fingerprints (``words`` to a shingle) nominate: each text meets the nearest ones within ``radius`` bits that have a
+    smaller id, one in each file of the search, and the first of those with the same fingerprint. A nominated pair is a
+    link if the exact Jaccard similarity of its texts (``shingle`` words) is ``least`` or more, and links make the
+    groups; no row goes without such a link. Rows without an id stay; rows that share an id share its fate, which the
+    least of their texts decides; null counts as empty.
     """
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("text"), batch.column("kept_text")
-            near = [similarity(a[i].as_py(), b[i].as_py(), shingle) >= least for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grp"), pa.array(near, pa.bool_())], ["id", "grp", "near"])
-
-    found = groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, radius).select(F.col("doc_id").alias("id"), F.col("component_id").alias("grp")).distinct()
-    found = cut(found.join(found.where("id <> grp").select("grp").distinct(), "grp", "left_semi"))
+            x, y = batch.column("x"), batch.column("y")
+            near = pa.array([similarity(x[i].as_py(), y[i].as_py(), shingle) >= least for i in range(batch.num_rows)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(near)
+
+    prints = cut(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words).distinct())
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    same = prints.join(classes, "fp").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    pairs = cut(hamming_links(classes, radius, nearest=True).union(same).distinct())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = cut(rows.join(few(found), "id").groupBy("id", "grp").agg(F.min("text").alias("text")))
-    left, dropped = texts.select("id", "grp"), None
-    for _ in range(rounds):
-        kept = left.groupBy("grp").agg(F.min("id").alias("kept"))
-        kept = kept.join(texts.select(F.col("id").alias("kept"), F.col("text").alias("kept_text")), "kept")
-        pairs = texts.join(left.select("id"), "id", "left_semi").join(kept, "grp").where("id <> kept")
-        judged = cut(pairs.select("id", "grp", "text", "kept_text").mapInArrow(alike, "id long, grp long, near boolean"))
-        gone = judged.where("near").select("id")
-        dropped = gone if dropped is None else dropped.union(gone)
-        left = judged.where("not near").select("id", "grp")
-        if left.isEmpty():
-            break
+    nominated = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = cut(rows.join(few(nominated), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    linked = components(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
     key = free_name(docs, "dropped_id")
-    dropped = dropped.select(F.col("id").alias(key))
+    dropped = linked.where("node <> component").select(F.col("node").alias(key))
     return docs.join(few(dropped), docs[id_col] == dropped[key], "left_anti")
 
 

@@ -292,6 +292,33 @@ def test_block_links_match_all_pairs():
     assert len(forest.edges) == 3
 
 
+def test_nearest_links_match_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    noise = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(400)]
+    fps = np.unique(np.array([int(base[rng.integers(0, 40)]) ^ n for n in noise], dtype=np.uint64))
+    ids = rng.permutation(len(fps))
+    side = np.arange(len(fps)) % 2
+    for cross in (False, True):
+        want = {}
+        for a in range(len(fps)):
+            near = [(int(fps[a] ^ fps[b]).bit_count(), ids[b], b) for b in range(len(fps)) if ids[b] < ids[a] and (not cross or side[a] != side[b])]
+            near = [x for x in near if x[0] <= 6]
+            if near:
+                want[a] = min(near)[2]
+        assert dict(simhash._block_links(fps, side, cross, 6, simhash.Nearest(ids, fps))) == want
+    # over all files: each row that has a link meets a nearest one
+    classes = spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, fps.view(np.int64))], "id long, fp long")
+    place = {int(i): int(f) for i, f in zip(ids, fps)}
+    for block in (16, 4096):
+        got = {}
+        for r in simhash.hamming_links(classes, 6, block, nearest=True).collect():
+            assert r["b"] < r["a"] and (place[r["a"]] ^ place[r["b"]]).bit_count() <= 6
+            got[r["a"]] = min(got.get(r["a"], 99), (place[r["a"]] ^ place[r["b"]]).bit_count())
+        least = {i: min(d) for i in place if (d := [x for j in place if j < i and (x := (place[i] ^ place[j]).bit_count()) <= 6])}
+        assert got == least
+
+
 def plain_fingerprint(text):
     import xxhash
 
@@ -331,6 +358,22 @@ def test_near_dedup_keeps_one_and_only_drops_what_is_alike(docs):
     assert {0, 3, 7} <= left and not {60, 61} & left and None in left
     for gone in set(texts) - left:
         assert max(simhash.similarity(texts[gone], texts[i]) for i in left if i is not None) >= 0.8
+    assert simhash.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_near_dedup_of_groups_within_reach_of_each_other(spark):
+    """Many copies of texts that are near in bits but not alike: each text keeps one document."""
+    rng = random.Random(8)
+    frame, tail = prose(rng, "en", 160, 20).split(), lambda: prose(rng, "en", 60, 20).split()
+    texts = [" ".join(frame + tail()) for _ in range(12)]
+    near = [t.replace(t.split()[40], "other", 1) for t in texts]
+    rows = [t for t in texts + near for _ in range(7)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    left = [(r["doc_id"], r["text"]) for r in simhash.near_dedup(docs).collect()]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if simhash.similarity(rows[i], rows[j]) >= 0.8]
+    want = plain_components(range(len(rows)), links)
+    assert sorted(i for i, _ in left) == sorted(set(want.values())) and len(left) == 12
 
 
 # ---- op7
