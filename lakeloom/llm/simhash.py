@@ -13,6 +13,7 @@ lanes at once; words whose lanes all exceed the radius are abandoned before the
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,8 @@ _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 SMALL = 64
 #: Pairs in one such pass.
 LANES = 1 << 17
+#: Bits of a set's parities.
+PARITY = 512
 
 
 class Nearest:
@@ -281,31 +284,175 @@ def similarity(left: str | None, right: str | None, words: int = 5) -> float:
     return (both := len(a & b)) / (len(a) + len(b) - both)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, radius: int = 10, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` without the rows that are near-duplicates of one that stays: of each group, the one with the smallest id.
+def shingle_hashes(text: str | None, words: int = 5) -> tuple[bytes, np.ndarray]:
+    """SHA-256 of the words of a text, and the sorted distinct hashes of the shingles that ``similarity`` compares."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = hashlib.sha256(b" ".join(found)).digest()
+    if len(found) < words:
+        return digest, np.array([xxhash.xxh64_intdigest(b" ".join(found), len(found))], dtype=np.uint64)
+    code = np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found))
+    mixed = np.zeros(len(code) - words + 1, dtype=np.uint64)
+    for i in range(words):
+        mixed = (mixed + code[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return digest, np.unique(mixed * np.uint64(0xFF51AFD7ED558CCD))
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """``PARITY`` bits: whether the hashes that fall to each are odd in number. Bits that differ are shingles that differ, at least."""
+    odd = np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def prefix(hashes: np.ndarray, least: float, heavy: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in one fixed order (``heavy`` ones last): sets that are ``least`` alike share one of them."""
+    at = np.minimum(np.searchsorted(heavy, hashes), max(0, len(heavy) - 1))
+    last = heavy[at] == hashes if len(heavy) else np.zeros(len(hashes), dtype=bool)
+    return hashes[np.argsort(last, kind="stable")][: len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1]
+
+
+def _heavy(rows: DataFrame, shingle: int, sample: int = 20_000, most: int = 100_000) -> np.ndarray:
+    """Shingles that many texts of a sample share. They only set the order of the shingles, which no result depends on."""
+    share = min(1.0, sample / max(1, rows.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_hashes(x, shingle)[1] for x in texts]).view(np.int64))], ["h"])
 
-    Fingerprints (``words`` to a shingle) nominate: each text meets the nearest ones within ``radius`` bits that have a
-    smaller id, one in each file of the search, and the first of those with the same fingerprint. A nominated pair is a
-    link if the exact Jaccard similarity of its texts (``shingle`` words) is ``least`` or more, and links make the
-    groups; no row goes without such a link. Rows without an id stay; rows that share an id share its fate, which the
-    least of their texts decides; null counts as empty.
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * share)).select("text")
+    often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 8").orderBy(F.desc("n"), "h").limit(most)
+    return np.sort(often.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def _shared_shingles(least: float, forest: bool):
+    """Streams files, sorted by key, and emits pairs that may be ``least`` alike and are in different components.
+
+    Sizes and parities refuse a pair only where they prove it less alike. ``forest``: a spanning forest of each file's pairs.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+                new.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1))
+                kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
+                end = int(np.flatnonzero(np.r_[True, kept[0][1:] != kept[0][:-1]])[-1])  # the last file may go on
+            elif kept is None:
+                break
+            else:
+                end = len(kept[0])
+            if end:
+                yield from search(*(x[:end] for x in kept))
+                kept = [x[end:] for x in kept]
+
+    def search(keys, cross, side, ids, group, n, bits) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        ends = np.r_[starts[1:], len(keys)]
+        stop = np.repeat(ends, ends - starts)
+        found = Forest(len(keys))
+
+        def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = (group[a] != group[b]) & (~cross[a] | (side[a] != side[b])) & (np.minimum(n[a], n[b]) + 1e-9 >= least * np.maximum(n[a], n[b]))
+            a, b = a[ok], b[ok]
+            both = n[a] + n[b]
+            apart = both - 2 * np.ceil(least / (1 + least) * both - 1e-9)
+            ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= apart
+            return a[ok], b[ok]
+
+        def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+            if len(low):
+                yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], ["a", "b"])
+
+        # row i meets the rows after it in its file, a bounded number of pairs at a time
+        after = stop - np.arange(len(keys)) - 1
+        total = np.cumsum(after)
+        i = 0
+        while i < len(keys):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + LANES, side="right")))
+            own = np.repeat(np.arange(i, j), after[i:j])
+            first = np.repeat(np.cumsum(after[i:j]) - after[i:j], after[i:j])
+            a, b = near(own, own + 1 + np.arange(len(own)) - first)
+            if forest:
+                found.add(a, b)
+            else:
+                yield from out(a, b)
+            i = j
+        if found.edges:
+            yield from out(*np.array(found.edges).T)
+
+    return run
+
+
+def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, block: int = 4096) -> DataFrame:
+    """``node, component`` over ids: the components of all pairs of texts whose Jaccard similarity is ``least`` or more.
+
+    Texts with the same words are one class. Of a set of n shingles in a fixed order the first n - least * n + 1 are
+    filed; two sets that are ``least`` alike have one of those in common, so no link is lost. A first search links a
+    spanning forest of each file, which gathers large groups; the second takes every pair that may be alike and is not
+    in one component yet. A file beyond ``block`` classes is dealt into pairs of blocks. Exact similarity decides.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    again = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    rows = rows.join(few(again), "id", "left_anti").union(rows.join(few(again), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    heavy = docs.sparkSession.sparkContext.broadcast(_heavy(rows, shingle))  # 100,000 at most
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_slices(batch, "text"):
+                made = [shingle_hashes(x, shingle) for x in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(start, len(texts)), pa.array([d for d, _ in made], pa.binary()), pa.array([len(h) for _, h in made], pa.int64()),
+                     pa.array([parity(h) for _, h in made], pa.binary()), pa.array([prefix(h, least, heavy.value).view(np.int64) for _, h in made], pa.list_(pa.int64()))],
+                    ["id", "words", "n", "bits", "first"],
+                )
+
+    known = cut(rows.mapInArrow(sets, "id long, words binary, n long, bits binary, first array<long>"))
+    classes = cut(known.groupBy("words").agg(F.min("id").alias("id")))
+    same = known.join(classes.withColumnRenamed("id", "b"), "words").where("id <> b").select(F.col("id").alias("a"), "b")
+    known = known.join(classes.select("id"), "id", "left_semi")
+    filed = known.select("id", F.explode("first").alias("file"))
+    sizes = cut(filed.groupBy("file").agg(F.count("*").alias("size")).where("size > 1"))
+    filed = filed.join(few(sizes), "file").withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = filed.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select(
+        F.when(F.col("blocks") == 1, F.col("file")).otherwise(F.xxhash64("file", F.least("own", "other"), F.greatest("own", "other"))).alias("file"),
+        (F.col("own") != F.col("other")).alias("cross"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id",
+    )
+    dealt = cut(dealt)
+    about = cut(known.select("id", "n", "bits").join(few(dealt.select("id").distinct()), "id", "left_semi"))
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
             near = pa.array([similarity(x[i].as_py(), y[i].as_py(), shingle) >= least for i in range(batch.num_rows)], pa.bool_())
             yield batch.select(["a", "b"]).filter(near)
 
-    prints = cut(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words).distinct())
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    same = prints.join(classes, "fp").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    pairs = cut(hamming_links(classes, radius, nearest=True).union(same).distinct())
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    nominated = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = cut(rows.join(few(nominated), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    linked = components(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+    def linked(about: DataFrame, forest: bool) -> DataFrame:
+        files = dealt.join(few(about, 200_000), "id").select("file", "cross", "side", "id", "group", "n", "bits")
+        pairs = cut(files.repartition("file").sortWithinPartitions("file", "cross").mapInArrow(_shared_shingles(least, forest), "a long, b long").distinct())
+        nominated = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        texts = cut(rows.join(few(nominated), "id", "left_semi"))
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        return cut(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+
+    found = linked(about.withColumn("group", F.col("id")), True)
+    so_far = components(found)
+    grouped = about.join(few(so_far), about.id == so_far.node, "left").select("id", F.coalesce("component", "id").alias("group"), "n", "bits")
+    return components(found.union(linked(grouped, False)).union(same))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` without the rows that are near-duplicates of one that stays: of each group, the one with the smallest id.
+
+    Two texts link if the exact Jaccard similarity of their shingles (``shingle`` words) is ``least`` or more; all such
+    pairs make the groups (see ``alike_components``). Rows without an id stay; rows that share an id share its fate,
+    which the least of their texts decides; null counts as empty.
+    """
+    linked = alike_components(docs, id_col, text_col, shingle, least)
     key = free_name(docs, "dropped_id")
     dropped = linked.where("node <> component").select(F.col("node").alias(key))
     return docs.join(few(dropped), docs[id_col] == dropped[key], "left_anti")

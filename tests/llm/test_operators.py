@@ -376,6 +376,40 @@ def test_near_dedup_of_groups_within_reach_of_each_other(spark):
     assert sorted(i for i, _ in left) == sorted(set(want.values())) and len(left) == 12
 
 
+def test_near_dedup_finds_added_and_cut_passages(spark):
+    """Against all pairs of 0.8 and more, whatever their fingerprints: a passage appended, put in front, cut or replaced."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(60):
+        own = prose(rng, "en", rng.choice([60, 150, 400]), 1000).split()
+        k = int(len(own) * rng.uniform(0.06, 0.24))
+        more = prose(rng, "fr", k, 1000).split()
+        rows += [" ".join(x) for x in (own, rng.choice([own + more, more + own, own[:-k], own[k:], own[: len(own) // 2] + more[: k // 2] + own[len(own) // 2 + k // 2 :]]))]
+    rng.shuffle(rows)
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if simhash.similarity(rows[i], rows[j]) >= 0.8]
+    far = [1 for i, j in links if (simhash.fingerprint(rows[i], 2) ^ simhash.fingerprint(rows[j], 2)).bit_count() > 10]
+    assert len(links) > 25 and len(far) >= 3
+    want = plain_components(range(len(rows)), links)
+    left = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert left == set(want.values())
+
+
+def test_near_dedup_looks_past_texts_that_share_a_template(spark):
+    """Every text is about 0.77 like all others, and some are 0.8 like one: what fails first must not hide it."""
+    rng = random.Random(22)
+    frame = prose(rng, "en", 200, 1000).split()
+    texts = [frame + prose(rng, "fr", 26, 1000).split() for _ in range(50)]
+    rows = [" ".join(t) for t in texts] + [" ".join(t[:-14] + prose(rng, "de", 14, 1000).split()) for t in texts[::2]]
+    rng.shuffle(rows)
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if simhash.similarity(rows[i], rows[j]) >= 0.8]
+    assert 20 < len(links) < 200
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = plain_components(range(len(rows)), links)
+    for block in (16, 4096):
+        got = {r["node"]: r["component"] for r in simhash.alike_components(df, block=block).collect()}
+        assert {i: got.get(i, i) for i in range(len(rows))} == want
+
+
 # ---- op7
 
 def test_embeddings_match_all_pairs(spark):
