@@ -1,18 +1,20 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by the shortest runs of lines with enough words.
 
-A text is cut into chunks of lines at places that only nearby lines decide: a running hash over the hashes of the last
-one or two lines ends a chunk where it falls on a boundary value, so that text put in front shifts no boundary. Several
-such cuts (``CUTS``) are laid side by side, for a short passage must hold a whole chunk of one of them. A long line (of
-``least_words`` and more) is a chunk by itself, as it is the passage of lines that a writer has not broken.
+From each line forward and from each line back, a chunk is the shortest run of lines that has ``least_words`` words. A
+passage of lines that stands elsewhere and has that many words is covered by chunks that lie in it: each of its lines
+begins one, or else is in the one that ends with the passage. So any repeated run of lines is found whole, wherever its
+lines are broken and whatever stands around it. A long line (of ``least_words`` and more) is a chunk by itself.
 
-A chunk of ``least_words`` and more that stands anywhere else in the corpus is removed but where it stands first (by id,
-then text, then line). Hashes only nominate: chunks are grouped by their text, byte for byte. A short line that stands
-beside a removed chunk, and is the same beside the first one, goes with it. Every removed line has an equal line at an
-earlier place, so its first copy always stays.
+A chunk that stands anywhere else in the corpus is removed but where it stands first (by id, then text, then line).
+Short hashes only nominate: chunks are grouped by the SHA-256 of their text. A short line that stands beside a removed
+chunk, and is the same beside the first one, goes with it. Every removed line has an equal line at an earlier place, so
+its first copy always stays.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,38 +24,33 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name, table, text_slices
 
-#: (salt, lines in the running hash) of each way to cut.
-CUTS = ((0, 1), (1, 2), (2, 1), (3, 2))
-_MASK = (1 << 64) - 1
 _KEYS = ["k1", "k2"]
 
 
 def chunks(lines: list[str], least_words: int = 20) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, hash) of each chunk with enough words, over all ways to cut."""
-    digest = xxhash.xxh3_64_intdigest
+    """(first line, line after the last, hash) of each shortest run of lines with enough words, seen from either end."""
     raw = [line.encode("utf-8", "surrogatepass") for line in lines]
-    hashes = [digest(r) for r in raw]
-    counts = [len(r.split()) for r in raw]
-    spans = {(i, i + 1) for i, n in enumerate(counts) if n >= least_words}
-    if sum(n for n in counts if n < least_words) >= least_words:
-        for salt, window in CUTS:
-            start, words, before = 0, 0, 0
-            for i, h in enumerate(hashes):
-                if counts[i] >= least_words:
-                    if words >= least_words:
-                        spans.add((start, i))
-                    start, words, before = i + 1, 0, 0
-                    continue
-                words += counts[i]
-                rolling = (before * 0x9E3779B97F4A7C15 + h + salt * 0xD6E8FEB86659FD93) & _MASK
-                before = h if window == 2 else 0
-                if (rolling * 0xFF51AFD7ED558CCD & _MASK) >> 63:
-                    if words >= least_words:
-                        spans.add((start, i + 1))
-                    start, words = i + 1, 0
-            if words >= least_words:
-                spans.add((start, len(lines)))
-    return [(s, e, digest(b"\n".join(raw[s:e]))) for s, e in sorted(spans)]
+    upto = list(itertools.accumulate((len(r.split()) for r in raw), initial=0))
+    if upto[-1] < least_words:
+        return []
+    spans, end, start = set(), 1, 0
+    for at in range(len(lines)):
+        while end < len(lines) and upto[end] - upto[at] < least_words:
+            end += 1
+        end = max(end, at + 1)
+        if upto[end] - upto[at] >= least_words:
+            spans.add((at, end))
+        while start < at and upto[at + 1] - upto[start + 1] >= least_words:
+            start += 1
+        if upto[at + 1] - upto[start] >= least_words:
+            spans.add((start, at + 1))
+    digest = xxhash.xxh3_64_intdigest
+    hashes = [digest(r).to_bytes(8, "little") for r in raw]
+    return [(s, e, digest(b"".join(hashes[s:e]))) for s, e in sorted(spans)]
+
+
+def _same(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
 
 def _signed(h: int) -> int:
@@ -70,10 +67,10 @@ def _hash_rows(least_words: int):
 
 
 def _text_rows(least_words: int, sieve):
-    """The text of chunks that the sieve lets through, and the short lines beside them."""
+    """Digests of the chunks that the sieve lets through, and of the short lines beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         bits = None if sieve is None else sieve.value
         for batch in batches:
             k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
@@ -83,8 +80,8 @@ def _text_rows(least_words: int, sieve):
                     lines = text.split("\n")
                     for s, e, h in chunks(lines, least_words):
                         if bits is None or bits[(h >> 3) % len(bits)] >> (h & 7) & 1:
-                            beside = [lines[n] if 0 <= n < len(lines) and len(lines[n].split()) < least_words else None for n in (s - 1, e)]
-                            rows.append((k1[i], k2[i], s, e, "\n".join(lines[s:e]), *beside))
+                            beside = [_same(lines[n]) if 0 <= n < len(lines) and len(lines[n].split()) < least_words else None for n in (s - 1, e)]
+                            rows.append((k1[i], k2[i], s, e, _same("\n".join(lines[s:e])), *beside))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["k1", "k2", "first", "end", "chunk", "above", "below"])
 
@@ -127,7 +124,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(text_col).cast("string").alias("text"))
     known = rows.where("text is not null")
     again = cut(known.mapInArrow(_hash_rows(least_words), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    texts = cut(known.mapInArrow(_text_rows(least_words, _sieve(again)), "k1 long, k2 long, first int, end int, chunk string, above string, below string"))
+    texts = cut(known.mapInArrow(_text_rows(least_words, _sieve(again)), "k1 long, k2 long, first int, end int, chunk binary, above binary, below binary"))
     place = F.struct("k1", "k2", "first", "above", "below")
     # cut, so that the join below has plain sides and Spark can split a chunk that stands very often
     groups = cut(texts.groupBy("chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"))

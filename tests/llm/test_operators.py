@@ -202,6 +202,37 @@ def test_line_dedup_finds_moved_passages(spark):
         assert share <= 0.5, lines
 
 
+def test_line_dedup_removes_repeated_runs_whole(spark):
+    """Against all runs of lines of 20 words and more that two texts share, found by brute force."""
+    rng = random.Random(14)
+    for line in (3, 5, 6, 8, (2, 9)):
+        def short(lang, words, line=line):
+            made, n = prose(rng, lang, words, 1000).replace(".", "").split(), 0
+            out = []
+            while n < words:
+                k = line if isinstance(line, int) else rng.randint(*line)
+                out.append(" ".join(made[n : n + k]))
+                n += k
+            return out
+
+        passages = [short("en", n) for n in (55, 120) for _ in range(4)]
+        texts = [short("de", rng.randint(10, 40)) + p + short("fr", rng.randint(10, 40)) for p in passages for _ in range(2)]
+        want = []
+        for d, own in enumerate(texts):
+            drop = set()
+            for other in texts[:d]:
+                for i in range(len(own)):
+                    for j in range(len(other)):
+                        n = 0
+                        while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                            n += 1
+                        if sum(len(x.split()) for x in own[i : i + n]) >= 20:
+                            drop.update(range(i, i + n))
+            want.append(sorted(drop))
+        got = line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+        assert [r["removed_lines"] for r in got.orderBy("doc_id").collect()] == want and sum(map(bool, want)) == 8, line
+
+
 # ---- op5
 
 def test_fixity_finds_what_is_damaged(spark):
