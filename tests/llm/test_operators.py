@@ -100,6 +100,20 @@ def test_language_held_out(spark):
     assert {r["lang_pred"] for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_models_keep_rare_grams(spark):
+    """Grams seen once stay, however long the corpus: the model is the one of all grams, counted plainly."""
+    rng = random.Random(23)
+    common = " ".join(prose(rng, "en", 2000, 1000).split())
+    rows = [(f"{common} {i}", "en") for i in range(60)] + [("quixotic zephyrs jab my fjord", "en")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert sum(len(t) for t, _ in rows) > 2**19
+    _, (model,), _ = language_id.fit(df, calibration_rows=0)
+    keys, counts = np.unique(np.concatenate([language_id.grams([t])[0] for t, _ in rows]), return_counts=True)
+    assert np.array_equal(model.keys[0], keys)
+    whole = language_id.Model(keys, counts, int((counts == 1).sum()), int((counts == 2).sum()), len(np.unique(keys & np.uint64(0xFFFF))) + 1)
+    assert np.allclose(model.score(keys), whole.score(keys)) and np.allclose(model.backoff[0], whole.backoff[0])
+
+
 # ---- op3
 
 def plain_coverage(item, text, least=5):
