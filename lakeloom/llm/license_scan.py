@@ -37,7 +37,8 @@ FREEDOM = {
     "mit": 1.0, "bsd": 1.0, "isc": 1.0, "apache": 1.0, "zlib": 1.0, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "agpl": 0.3, "gpl": 0.4, "reserved": 0.0, "confidential": 0.0,
 }
 TAG = "spdx license identifier"
-_TAG_AT = re.compile(r"spdx[\s\-_]*license[\s\-_]*identifier\W{0,4}\s*([^\n\r;,*<>\"']{1,300})", re.I)
+_TAG_AT = re.compile(r"spdx[\s\-_]*license[\s\-_]*identifier\W{0,4}\s*", re.I)
+_END_AT = re.compile(r"[\n\r;,*<>\"']")
 _PART = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 _NOT_WORD = bytes(i if i >= 0x80 or chr(i).isdigit() or "a" <= chr(i) <= "z" else i + 32 if "A" <= chr(i) <= "Z" else 32 for i in range(256))
 
@@ -128,8 +129,10 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
             labels.add(NOTICES[phrase])
         tags += phrase == TAG
     if tags:
-        for m in _TAG_AT.finditer(text or ""):
-            if postfix := to_postfix(m[1]):
+        found_at = list(_TAG_AT.finditer(text or ""))
+        for m, after in zip(found_at, [*(x.start() for x in found_at[1:]), len(text or "")], strict=True):
+            end = _END_AT.search(text, m.end(), after)  # an expression ends with its line, or where the next tag begins
+            if postfix := to_postfix(text[m.end() : end.start() if end else after]):
                 value, names = evaluate(postfix)
                 values.append(value)
                 labels.update(names)

@@ -73,6 +73,14 @@ def test_license_expressions():
     assert found[4] == "cc-by,reserved" and {"apache-2.0", "mit", "cc-by-4.0", "reserved"} <= set(found[5].split(",")) and found[6] == 1.0 and found[8] == 1
 
 
+def test_license_expressions_are_read_to_their_end():
+    names = [f"licence-{i}.0" for i in range(60)]
+    found = license_scan.scan("SPDX-License-Identifier: " + " OR ".join([*names, "Apache-2.0"]) + "\nx")
+    assert set(found[5].split(",")) == {*names, "apache-2.0"} and found[7] == 1.0
+    found = license_scan.scan("SPDX-License-Identifier: MIT " + "x " * 200 + "SPDX-License-Identifier: ISC")
+    assert found[5] == "isc,mit" and found[8] == 2
+
+
 # ---- op2
 
 def test_language_models_are_distributions():
