@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one on a local master (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -76,6 +79,29 @@ def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def bitmap(hashes: DataFrame, column: str = "h", most: int = 1 << 30) -> bytes:
+    """A bitmap of a column of hashes, 16 bits to each row, and ``most`` bits (128 MB) at most; see ``in_bitmap``.
+
+    It only sifts: where more rows than fit set its bits, more gets through, and an exact step decides.
+    """
+    size = 1 << 20
+    rows = hashes.count()
+    while size < min(most, 16 * rows):
+        size *= 2
+    slot = F.col(column).bitwiseAND(size - 1)
+    parts = hashes.groupBy(F.floor(slot / 32768).alias("part")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits"))
+    out = bytearray(size // 8)
+    for r in parts.toLocalIterator():  # 4 KB a row
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
+    return bytes(out)
+
+
+def in_bitmap(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in a bitmap."""
+    slot = hashes.astype(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (np.frombuffer(bits, dtype=np.uint8)[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 class Forest:
     """A spanning forest of links that come in arrays: as many edges as joined nodes, however many links there are."""
 
@@ -113,23 +139,24 @@ def _changed(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
-def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``node, component`` for every node of ``edges``: the smallest node that it reaches.
 
     Alternates the large-star and small-star rewrites until the edges stay as they are, which takes a number of rounds
     that is logarithmic in the diameter. A node's neighbours are only ever reduced to their minimum and joined back,
-    never collected, so a hub costs no more than its edges. Each round is cut from its lineage.
+    never collected, so a hub costs no more than its edges. Each round is cut from its lineage, as are the minima, so
+    that the joins have plain sides and Spark can split a hub's edges over tasks.
     """
     edges = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
     edges = cut(edges)
     state = _changed(edges)
-    for _ in range(most_rounds if state[0] else 0):
+    before = None
+    while state[0] and state != before:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         edges = cut(large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         before, state = state, _changed(edges)
-        if before == state:
-            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
