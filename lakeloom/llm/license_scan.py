@@ -2,7 +2,8 @@
 
 A text is reduced to its words (A-Z lower-cased; runs of digits, a-z and non-ASCII characters) with single spaces, and
 one automaton over all phrases reads it once. Where it finds an identifier tag, the expression after the tag is read
-from the raw text: ``and``, ``or``, ``with`` and parentheses over licence names.
+from the raw text: ``and``, ``or``, ``with`` and parentheses over licence names. It ends with its line, but goes on to the
+next one while a parenthesis is open or a name is still wanted.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ FREEDOM = {
     "mit": 1.0, "bsd": 1.0, "isc": 1.0, "apache": 1.0, "zlib": 1.0, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "agpl": 0.3, "gpl": 0.4, "reserved": 0.0, "confidential": 0.0,
 }
 TAG = "spdx license identifier"
-_TAG_AT = re.compile(r"spdx[\s\-_]*license[\s\-_]*identifier\W{0,4}\s*", re.I)
-_END_AT = re.compile(r"[\n\r;,*<>\"']")
-_PART = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*")
+_WORD_AT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: A line's end with what may lead the next line, a name or parenthesis, and what ends an expression.
+_PART = re.compile(r"(?P<line>\r?\n[ \t]*(?:[#*/;%-]+[ \t]*)?)|(?P<part>\(|\)|[A-Za-z0-9](?:[A-Za-z0-9.+\-]*[A-Za-z0-9+])?)|(?P<end>[;,*<>\"'])")
 _NOT_WORD = bytes(i if i >= 0x80 or chr(i).isdigit() or "a" <= chr(i) <= "z" else i + 32 if "A" <= chr(i) <= "Z" else 32 for i in range(256))
 
 
@@ -54,7 +55,21 @@ def freedom(label: str) -> float:
     return FREEDOM[max(found, key=len)] if found else 0.5
 
 
-def to_postfix(expression: str) -> list[str] | None:
+def expression(text: str, start: int, stop: int) -> list[str]:
+    """The lower-cased names, operators and parentheses of the expression that begins at a place."""
+    tokens: list[str] = []
+    depth, wants_name = 0, True
+    for m in _PART.finditer(text, start, stop):
+        if m["end"] or (m["line"] and tokens and not depth and not wants_name):
+            break
+        if part := m["part"]:
+            tokens.append(part.lower())
+            depth += (part == "(") - (part == ")")
+            wants_name = tokens[-1] in ("(", "and", "or", "with")
+    return tokens
+
+
+def to_postfix(tokens: list[str]) -> list[str] | None:
     """A licence expression as postfix tokens (shunting-yard; ``with`` binds tightest, then ``and``, then ``or``).
 
     Reads as far as the expression is well formed; None when not even its first name is.
@@ -62,15 +77,16 @@ def to_postfix(expression: str) -> list[str] | None:
     rank = {"or": 1, "and": 2, "with": 3}
     out: list[str] = []
     stack: list[str] = []
-    wants_name, good = True, 0
-    tokens = [x.lower() for x in _PART.findall(expression)]
+    wants_name, good, depth = True, 0, 0
     for at, token in enumerate(tokens):
         if token == "(" and wants_name:
             stack.append(token)
-        elif token == ")" and not wants_name and "(" in stack:
+            depth += 1
+        elif token == ")" and not wants_name and depth:
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            depth -= 1
         elif token in rank and not wants_name:
             while stack and rank.get(stack[-1], 0) >= rank[token]:
                 out.append(stack.pop())
@@ -81,12 +97,12 @@ def to_postfix(expression: str) -> list[str] | None:
             wants_name = False
         else:
             break
-        if not wants_name and "(" not in stack:
+        if not wants_name and not depth:
             good = at + 1
     else:
-        if not wants_name and "(" not in stack:
+        if not wants_name and not depth:
             return out + stack[::-1]
-    return to_postfix(" ".join(tokens[:good])) if good else None
+    return to_postfix(tokens[:good]) if good else None
 
 
 def evaluate(postfix: list[str]) -> tuple[float, list[str]]:
@@ -117,22 +133,24 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     """n_words, n_base, first_word, last_word, base_labels, labels, score, freedom and n_tags of one text."""
     found = [w for w in words(text) if w]
     joined = f" {b' '.join(found).decode('utf-8', 'surrogatepass')} "
-    places, base, labels, tags, values = [], set(), set(), 0, []
+    places, base, labels, tags, values = [], set(), set(), [], []
     counted, upto = 0, 0  # words before a place, counted on from the last one
     for end, phrase in automaton().iter(joined):
-        if phrase in BASE:
+        if phrase in BASE or phrase == TAG:
             start = end - len(phrase) - 1
-            counted, upto = counted + joined.count(" ", upto, start) if start >= upto else joined.count(" ", 0, start), start
+            counted, upto = counted + (joined.count(" ", upto, start) if start >= upto else -joined.count(" ", start, upto)), start
+        if phrase in BASE:
             places.append(counted)
             base.add(BASE[phrase])
         if phrase in NOTICES:
             labels.add(NOTICES[phrase])
-        tags += phrase == TAG
+        if phrase == TAG:
+            tags.append(counted)
     if tags:
-        found_at = list(_TAG_AT.finditer(text or ""))
-        for m, after in zip(found_at, [*(x.start() for x in found_at[1:]), len(text or "")], strict=True):
-            end = _END_AT.search(text, m.end(), after)  # an expression ends with its line, or where the next tag begins
-            if postfix := to_postfix(text[m.end() : end.start() if end else after]):
+        ends = [m.end() for m in _WORD_AT.finditer(text or "")]  # where each word ends in the raw text
+        starts = [ends[n + 2] for n in tags]
+        for start, stop in zip(starts, [*(ends[n] for n in tags[1:]), len(text or "")], strict=True):
+            if postfix := to_postfix(expression(text or "", start, stop)):
                 value, names = evaluate(postfix)
                 values.append(value)
                 labels.update(names)
@@ -140,7 +158,7 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     score = 1.0 if values else 0.9 if labels else 0.6 if base else 0.0
     return (
         len(found), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(notices)),
-        score, min(values) if values else min(map(freedom, notices), default=None), tags,
+        score, min(values) if values else min(map(freedom, notices), default=None), len(tags),
     )
 
 
@@ -152,8 +170,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``score`` is the strength of the evidence: 1 for a tag with a readable expression, 0.9 for a notice, 0.6 for a base
     phrase alone, else 0. ``freedom`` (0 to 1) evaluates the tags' expressions, or else takes the strictest notice; null
-    without any. A null text counts as empty (no words); rows without an id and repeated rows give a row each; an empty
-    table gives no rows; other columns do not matter.
+    without any. A null text counts as empty (no words) and a very long one is read whole, in time that is linear; rows
+    without an id and repeated rows give a row each; an empty table gives no rows; other columns do not matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
