@@ -6,7 +6,7 @@ begins one, or else is in the one that ends with the passage. So any repeated ru
 lines are broken and whatever stands around it. A long line (of ``least_words`` and more) is a chunk by itself.
 
 A chunk that stands anywhere else in the corpus is removed but where it stands first (by id, then text, then line).
-Short hashes only nominate: chunks are grouped by the SHA-256 of their text. A short line that stands beside a removed
+Short hashes only nominate, through a bitmap of those that came again: chunks are grouped by the SHA-256 of their text. A short line that stands beside a removed
 chunk, and is the same beside the first one, goes with it. Every removed line has an equal line at an earlier place, so
 its first copy always stays.
 """
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table, text_slices
+from .common import bitmap, cut, free_name, table, text_slices
 
 _KEYS = ["k1", "k2"]
 
@@ -71,7 +71,8 @@ def _text_rows(least_words: int, sieve):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        bits = None if sieve is None else sieve.value
+        bits = sieve.value
+        mask = 8 * len(bits) - 1
         for batch in batches:
             k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
             for start, texts in text_slices(batch, "text", 1_000_000):
@@ -79,7 +80,7 @@ def _text_rows(least_words: int, sieve):
                 for i, text in enumerate(texts, start):
                     lines = text.split("\n")
                     for s, e, h in chunks(lines, least_words):
-                        if bits is None or bits[(h >> 3) % len(bits)] >> (h & 7) & 1:
+                        if bits[(h & mask) >> 3] >> (h & 7) & 1:
                             beside = [_same(lines[n]) if 0 <= n < len(lines) and len(lines[n].split()) < least_words else None for n in (s - 1, e)]
                             rows.append((k1[i], k2[i], s, e, _same("\n".join(lines[s:e])), *beside))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 7
@@ -88,18 +89,6 @@ def _text_rows(least_words: int, sieve):
     return run
 
 
-def _sieve(again: DataFrame, size: int = 1 << 24, most: int = 8_000_000):
-    """A broadcast bitmap of ``size`` bytes with a bit for each repeated hash; None beyond ``most``, where it would let too much through."""
-    import numpy as np
-
-    if again.limit(most + 1).count() > most:
-        return None
-    h = again.toArrow().column("h").to_numpy().view(np.uint64)
-    bits = np.zeros(size, dtype=np.uint8)
-    np.bitwise_or.at(bits, ((h >> np.uint64(3)) % np.uint64(size)).astype(np.int64), (1 << (h & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-    return again.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rest, spans = batch.select([c for c in batch.schema.names if c not in ("text", "spans")]), batch.column("spans").to_pylist()
@@ -124,7 +113,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(text_col).cast("string").alias("text"))
     known = rows.where("text is not null")
     again = cut(known.mapInArrow(_hash_rows(least_words), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    texts = cut(known.mapInArrow(_text_rows(least_words, _sieve(again)), "k1 long, k2 long, first int, end int, chunk binary, above binary, below binary"))
+    sieve = docs.sparkSession.sparkContext.broadcast(bitmap(again))  # 128 MB at most; it only saves moving chunks that stand once
+    texts = cut(known.mapInArrow(_text_rows(least_words, sieve), "k1 long, k2 long, first int, end int, chunk binary, above binary, below binary"))
     place = F.struct("k1", "k2", "first", "above", "below")
     # cut, so that the join below has plain sides and Spark can split a chunk that stands very often
     groups = cut(texts.groupBy("chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"))
