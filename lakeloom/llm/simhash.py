@@ -244,7 +244,7 @@ def hamming_links(classes: DataFrame, radius: int = 2, block: int = 4096, neares
     # the number of the pair of bands takes part in the key, which is compared only for equality
     keys = [F.xxhash64(F.lit(n), part[i], part[j]) for n, (i, j) in enumerate(itertools.combinations(range(bands), 2))]
     filed = classes.select("id", "fp", F.explode(F.array(*keys)).alias("file"))
-    sizes = filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = cut(filed.groupBy("file").agg(F.count("*").alias("n")).where("n > 1"))  # a plain side of the join, so that Spark can split a hot file
     dealt = filed.join(sizes, "file").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
     # block i meets each block j once, in task (min, max); with one block that is the file itself
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
