@@ -177,9 +177,9 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     numbers = found.where("not edge").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("others"))
     linked = components(found.where("edge").select("a", "b")).withColumnRenamed("node", "id")
     named = hashed.select("id", "n", "vec").join(numbers, "id", "left").join(linked, "id", "left").select("vec", F.coalesce("component", "id").alias("c"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("l"))
-    out = rows.join(named, "vec", "left")
-    component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("l", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    # rows without a usable vector stay out of the join, where they would all have one key
+    alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return rows.where("vec is not null").join(named, "vec").select("vec_id", F.col("l").cast("long").alias("n_links"), F.col("c").alias("component_id"), (F.col("vec_id") == F.col("c")).alias("kept")).union(alone)
 
 
 def op7_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
