@@ -53,6 +53,10 @@ class Tree:
     levels: list[DataFrame]
     file_levels: int
 
+    def roots(self, name: str) -> DataFrame:
+        """``warc_file`` and the hash at the top of each file's tree."""
+        return self.levels[self.file_levels - 1].select(F.col("file").alias("warc_file"), F.col("hash").alias(name))
+
 
 def _parents(nodes: DataFrame, file: Column) -> DataFrame:
     children = F.array_sort(F.collect_list(F.struct("idx", "start", "end", "hash")))  # FANOUT children at most
@@ -85,40 +89,48 @@ def tree(leaves: DataFrame) -> Tree:
     return Tree(levels, file_levels)
 
 
-def audit(left: Tree, right: Tree) -> DataFrame:
-    """``file, seq, start, end, left_hash, right_hash`` of the leaves that differ (a null hash: missing on that side).
+def descent(left: Tree, right: Tree) -> list[tuple[int, DataFrame]]:
+    """The levels that an audit looks at, from the top: nodes ``file, idx`` of both sides that were compared, and ``differs``.
 
-    Trees of unlike height differ from the top of the lower one, so each level of the higher is looked at from there.
+    The top is the highest level that both trees have. Where files have trees of unlike height that is the root of the
+    lower one's files, else the lower one's top; from there only the children of nodes that differ are looked at.
     """
 
-    def differing(level: int, within: DataFrame | None) -> DataFrame:
+    def compared(level: int, within: DataFrame | None) -> DataFrame:
         sides = []
         for name, t in (("left", left), ("right", right)):
-            nodes = t.levels[level] if level < len(t.levels) else t.levels[0].limit(0)
-            nodes = nodes.select("file", "idx", *(F.col(c).alias(f"{name}_{c}") for c in ("start", "end", "hash")))
+            nodes = t.levels[level].select("file", "idx", *(F.col(c).alias(f"{name}_{c}") for c in ("start", "end", "hash")))
             sides.append(nodes if within is None else nodes.withColumn("up", F.floor(F.col("idx") / FANOUT)).join(within, ["file", "up"], "left_semi").drop("up"))
         same = F.col("left_hash").eqNullSafe(F.col("right_hash")) & F.col("left_start").eqNullSafe(F.col("right_start")) & F.col("left_end").eqNullSafe(F.col("right_end"))
-        return sides[0].join(sides[1], ["file", "idx"], "full").where(~same)
-
-    found = None
-    alike = len(left.levels) == len(right.levels) and left.file_levels == right.file_levels
-    for level in range(len(left.levels) - 1, -1, -1) if alike else [0]:
-        if found is None:
-            within = None
-        elif level == left.file_levels - 1:  # from files as nodes to the nodes of each file
-            within = found.select(F.col("idx").alias("file"), F.lit(0).cast("long").alias("up"))
-        else:
-            within = found.select("file", F.col("idx").alias("up"))
-        found = cut(differing(level, within))
-        if level and alike and level != left.file_levels and found.isEmpty():
-            break
+        return sides[0].join(sides[1], ["file", "idx"], "full").withColumn("differs", ~same)
+
+    alike = left.file_levels == right.file_levels
+    top = min(len(left.levels), len(right.levels)) if alike else min(left.file_levels, right.file_levels)
+    steps: list[tuple[int, DataFrame]] = []
+    for level in range(top - 1, -1, -1):
+        within = None
+        if steps:
+            found = steps[-1][1].where("differs")
+            if found.isEmpty():
+                break
+            # from files as nodes to the root of each file, else from nodes to their children
+            within = found.select(F.col("idx").alias("file"), F.lit(0).cast("long").alias("up")) if level == left.file_levels - 1 else found.select("file", F.col("idx").alias("up"))
+        steps.append((level, cut(compared(level, within))))
+    return steps
+
+
+def audit(left: Tree, right: Tree) -> DataFrame:
+    """``file, seq, start, end, left_hash, right_hash`` of the leaves that differ (a null hash: missing on that side)."""
+    level, last = descent(left, right)[-1]
+    found = last.where("differs" if level == 0 else "false")
     return found.select("file", F.col("idx").alias("seq"), F.coalesce("left_start", "right_start").alias("start"), F.coalesce("left_end", "right_end").alias("end"), "left_hash", "right_hash")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Leaves ``warc_file, seq, start, end, hash`` of WARC files, gzipped by record or plain, numbered by path.
 
-    One task reads a file; a record that does not parse ends its file with a leaf for the bytes that are left.
+    One task reads a file, and in time that is linear; a record that does not parse ends its file with a leaf for the
+    bytes that are left.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +140,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 data, at, rows = content.as_py(), 0, []
+                view = memoryview(data)
                 while at < len(data):
                     if data[at : at + 2] == b"\x1f\x8b":
-                        member = zlib.decompressobj(31)
+                        member, end = zlib.decompressobj(31), at
                         try:
-                            member.decompress(data[at:])
-                            end = len(data) - len(member.unused_data) if member.eof else len(data)
+                            while end < len(data) and not member.eof:
+                                member.decompress(view[end : end + 16384])
+                                end += 16384
+                            end = min(end, len(data)) - len(member.unused_data)
                         except zlib.error:
                             end = len(data)
                     else:
@@ -141,7 +156,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         field = [x for x in data[at : max(at, head)].lower().split(b"\r\n") if x.startswith(b"content-length:")]
                         size = field[0].split(b":", 1)[1].strip() if field else b""
                         end = min(head + 8 + int(size), len(data)) if size.isdigit() else len(data)
-                    rows.append((name, at, end, hashlib.sha256(data[at:end]).hexdigest()))
+                    rows.append((name, at, end, hashlib.sha256(view[at:end]).hexdigest()))
                     at = end
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array(range(len(rows)), pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2)), pa.array([r[3] for r in rows], pa.string())], ["path", "seq", "start", "end", "hash"])
 
@@ -152,18 +167,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit_pages(pages: DataFrame, damaged: Column | None = None) -> DataFrame:
-    """``page_id, copies, warc_file, seq, start, end, hash, corrupt`` for each distinct record.
+    """``page_id, copies, warc_file, seq, start, end, hash, corrupt, root, replica_root`` for each distinct record.
 
     The replica is the archive as it would be read back, in which the first byte of the bodies that ``damaged`` names is
-    overwritten. Null urls and bodies count as empty; a null page id is a record like another; rows that repeat are one
+    overwritten; the roots are those of the record's file. Null urls and bodies count as empty; a null page id is a record like another; rows that repeat are one
     record with a count; an empty table gives no rows; other columns do not matter.
     """
     damaged = F.coalesce(F.lit(False) if damaged is None else damaged, F.lit(False)) & (F.length("html") > 0)
     read = F.when(damaged, F.concat(F.lit("#"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
     placed = cut(layout(pages, read))
     replica = placed.select("warc_file", "seq", "start", "end", F.col("replica_hash").alias("hash"))
-    bad = audit(tree(placed), tree(replica)).select(F.col("file").alias("warc_file"), "seq", F.lit(True).alias("bad"))
-    return placed.join(bad, ["warc_file", "seq"], "left").select("page_id", "copies", "warc_file", "seq", "start", "end", "hash", F.coalesce("bad", F.lit(False)).alias("corrupt"))
+    left, right = tree(placed), tree(replica)
+    bad = audit(left, right).select(F.col("file").alias("warc_file"), "seq", F.lit(True).alias("bad"))
+    roots = left.roots("root").join(right.roots("replica_root"), "warc_file")
+    out = placed.join(bad, ["warc_file", "seq"], "left").join(roots, "warc_file")
+    return out.select("page_id", "copies", "warc_file", "seq", "start", "end", "hash", F.coalesce("bad", F.lit(False)).alias("corrupt"), "root", "replica_root")
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,14 +189,29 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_pages(table(spark, sf_dir, "pages"), F.col("page_id") % 97 == 13)
 
 
-OP5_SQL = """
-WITH r AS (
-  SELECT page_id, html, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-    || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
-    || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
-  FROM pages),
-d AS (SELECT min(page_id) AS page_id, min(html) AS html, sha256(rec) AS hash, min(strlen(rec)) AS length, count(*) AS copies FROM r GROUP BY sha256(rec)),
+def _level_sql(name: str, below: str) -> str:
+    parts = ", ".join(f"sha256(string_agg({h} || ':' || s || ':' || e, '|' ORDER BY idx)) AS {h}" for h in ("hash", "replica"))
+    return f"{name} AS (SELECT warc_file, idx // {FANOUT} AS idx, min(s) AS s, max(e) AS e, {parts} FROM {below} GROUP BY warc_file, idx // {FANOUT})"
+
+
+#: The tables of the audit, with trees of up to three levels above the records (4,096 records to a file).
+OP5_SQL = f"""
+WITH b AS (SELECT page_id, url, coalesce(html, '') AS html, coalesce(page_id % 97 = 13, FALSE) AND length(coalesce(html, '')) > 0 AS bad FROM pages),
+c AS (
+  SELECT page_id, bad, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+    chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, CASE WHEN bad THEN '#' || substr(html, 2) ELSE html END AS other FROM b),
+r AS (SELECT page_id, bad, head || strlen(html) || gap || html || gap AS rec, head || strlen(other) || gap || other || gap AS rec2 FROM c),
+d AS (SELECT min(page_id) AS page_id, bool_or(bad) AS bad, sha256(rec) AS hash, min(sha256(rec2)) AS replica, min(strlen(rec)) AS length, count(*) AS copies FROM r GROUP BY sha256(rec)),
 f AS (SELECT *, CAST('0x' || substr(hash, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 512.0) AS BIGINT)) FROM d) AS warc_file FROM d),
-o AS (SELECT *, sum(length) OVER w AS e, row_number() OVER w - 1 AS seq FROM f WINDOW w AS (PARTITION BY warc_file ORDER BY page_id NULLS FIRST, hash ROWS UNBOUNDED PRECEDING))
-SELECT page_id, copies, warc_file, seq, CAST(e - length AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", hash, coalesce(page_id % 97 = 13, FALSE) AND length(coalesce(html, '')) > 0 AS corrupt FROM o
+o AS (SELECT *, sum(length) OVER w AS e, row_number() OVER w - 1 AS idx FROM f WINDOW w AS (PARTITION BY warc_file ORDER BY page_id NULLS FIRST, hash ROWS UNBOUNDED PRECEDING)),
+l0 AS (SELECT warc_file, idx, CAST(e - length AS BIGINT) AS s, CAST(e AS BIGINT) AS e, hash, replica FROM o),
+{_level_sql("l1", "l0")},
+{_level_sql("l2", "l1")},
+{_level_sql("l3", "l2")},
+t AS (SELECT CASE WHEN max(idx) = 0 THEN 0 WHEN max(idx) < 16 THEN 1 WHEN max(idx) < 256 THEN 2 ELSE 3 END AS level FROM l0),
+k AS (SELECT 0 AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3),
+roots AS (SELECT warc_file, hash AS root, replica AS replica_root FROM k WHERE level = (SELECT level FROM t))
+SELECT page_id, copies, o.warc_file, o.idx AS seq, CAST(e - length AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", hash, bad AS corrupt, root, replica_root
+FROM o JOIN roots ON o.warc_file = roots.warc_file
 """
