@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Small transducers (insult, threat, target, negation, reported speech) each read the classes of a clause's words, keep a
-state, and rewrite an attack's class with a factor. They are composed into one machine that runs over the clauses in
-which an attack word stands; what counts is the matched clause, such as an insult at a target, and not the word alone:
+state, and rewrite an attack's class with a factor. One reads a clause from its end and tells attacks whose target follows;
+the others are composed into one machine that reads what it writes, over the clauses in which an attack word stands; what counts is the matched clause, such as an insult at a target, and not the word alone:
 a negated or quoted insult matches another pattern. A logistic model over the weights of the matched patterns gives the
 score; it learns from labels how much each pattern tells.
 
@@ -53,14 +53,18 @@ class Transducer:
 
 # A word's class: I insult, H threat, T target, N negation, R report, Q quotation mark, O other. Rewritten attack classes:
 # J repeated insult, A insult at a target, B threat at a target, X negated, Y reported.
-INSULT = Transducer({(0, "I"): (1, "I", 1.0), (1, "I"): (1, "J", 1.25), (1, "O"): (1, "O", 1.0)})
-THREAT = Transducer({(0, "H"): (1, "H", 1.0), (1, "H"): (1, "H", 1.1)})
+INSULT = Transducer({(0, "I"): (1, "I", 1.0), (1, "I"): (1, "J", 1.25), (0, "A"): (1, "A", 1.0), (1, "A"): (1, "A", 1.25)})
+THREAT = Transducer({(0, "H"): (1, "H", 1.0), (1, "H"): (1, "H", 1.1), (0, "B"): (1, "B", 1.0), (1, "B"): (1, "B", 1.1)})
 TARGET = Transducer({(0, "T"): (1, "T", 1.0), (1, "I"): (1, "A", 1.5), (1, "J"): (1, "A", 1.5), (1, "H"): (1, "B", 1.5)})
 NEGATION = Transducer({(0, "N"): (3, "N", 1.0)} | {(s, "O"): (s - 1, "O", 1.0) for s in (1, 2, 3)} | {(s, "T"): (s, "T", 1.0) for s in (1, 2, 3)} | {(s, a): (0, "X", 0.5) for s in (1, 2, 3) for a in "IJAHB"})
 REPORT = Transducer({(0, "R"): (1, "R", 1.0), (1, "Q"): (2, "Q", 1.0), (0, "Q"): (2, "Q", 1.0), (2, "Q"): (0, "Q", 1.0)} | {(s, a): (s, "Y", 0.5) for s in (1, 2) for a in "IJAHBX"})
 CASCADE = (INSULT, THREAT, TARGET, NEGATION, REPORT)
 
 
+#: Read from the end of a clause: a target within three words after the attack ("idiot, you").
+FOLLOWED = Transducer({(s, "T"): (3, "T", 1.0) for s in range(4)} | {(s, c): (s - 1, c, 1.0) for s in (1, 2, 3) for c in "NRQO"} | {(s, a): (s - 1, b, 1.5) for s in (1, 2, 3) for a, b in ("IA", "HB")})
+
+
 class Composed:
     """The cascade as one machine, its states made when they are first reached."""
 
@@ -115,9 +119,8 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         start = end - length + 1
         if start < done or (start and (lowered[start - 1].isalnum())):
             continue  # within a clause that has been read, or within a word
-        begin = max((lowered.rfind(c, 0, start) for c in ".!?;\n"), default=-1) + 1
-        stop = m.start() if (m := _CLAUSE_END.search(lowered, end)) else len(lowered)
-        begin, done = max(begin, done), stop
+        begin = max(done, 0, max(lowered.rfind(c, max(done, 0), start) for c in ".!?;\n") + 1)
+        done = stop = m.start() if (m := _CLAUSE_END.search(lowered, end)) else len(lowered)
         clause = _clause(lowered[begin:stop], lexicon)
         for k, w in clause:
             sums[k] += w
@@ -127,18 +130,18 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
 
 
 def _clause(clause: str, lexicon: Lexicon) -> list[tuple[int, float]]:
-    """(pattern, weight) of each attack in a clause. Targets count from either side of the attack."""
+    """(pattern, weight) of each attack in a clause: one pass from its end, one from its beginning."""
     tagged = [lexicon.weigh(w) for w in _WORD.findall(clause)]
-    attacks = {i: w for i, (_, w) in enumerate(tagged) if w}
-    if not attacks:
+    if not any(w for _, w in tagged):
         return []
+    back, after = [], 0
+    for symbol, weight in reversed(tagged):
+        after, symbol, factor = FOLLOWED.step(after, symbol)
+        back.append((symbol, weight * factor))
     state, out = _MACHINE.start, []
-    later = [i for i, (c, _) in enumerate(tagged) if c == "T"]
-    for i, (symbol, weight) in enumerate(tagged):
+    for symbol, weight in reversed(back):
         state, symbol, factor = _MACHINE.step(state, symbol)
         if weight:
-            if symbol in "IJH" and later and i < later[-1] <= i + 3:  # "idiot, you": the target follows
-                symbol, factor = ("B" if symbol == "H" else "A"), factor * 1.5
             out.append((_PATTERN.get(symbol, 0), weight * factor))
     return out
 
@@ -224,16 +227,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -
 
     Learns from ``labels`` (doc_id, toxic) of rows that are not held out; labels that are null are skipped, and without
     any label of one of the two classes the fixed words alone decide. A null text counts as empty; a row without id is
-    scored and counts as held out; repeated rows are scored each; an empty table gives no rows; other columns do not
-    matter and may have any name.
+    scored and counts as held out; repeated rows are scored each; very long texts take time in proportion; an empty
+    table gives no rows; other columns do not matter and may have any name.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
-    sample = known.where(share < int(1_000_000 * min(1.0, fit_rows / max(n, 1)))).withColumn("half", share % 2)
-    labelled = texts.join(F.broadcast(sample), "doc_id")  # fit_rows ids at most, but for the chance of the hash
+    drawn = F.xxhash64("doc_id", F.lit(11))
+    sample = known.withColumn("half", F.pmod(drawn, F.lit(2))).orderBy(drawn, "doc_id").limit(fit_rows)
+    labelled = cut(texts.join(F.broadcast(sample), "doc_id"))  # fit_rows ids at most; their texts are read once
     first, second, entries = learn_entries(labelled.select("text", "toxic", "half"))
     crossed = [_feature_rows(labelled.where(F.col("half") == half).select("text", "toxic"), other, "toxic").collect() for half, other in ((1, first), (0, second))]
     fit = np.array([tuple(r) for part in crossed for r in part], dtype=float).reshape(-1, len(FEATURES) + 1)
