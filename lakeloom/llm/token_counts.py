@@ -3,6 +3,11 @@
 Texts up to ``long_chars`` characters are encoded whole. A longer text is cut into chunks that overlap, the chunks are
 spread over the cluster and encoded apart, and neighbours are spliced at a boundary that both encodings have.
 
+A byte-level vocabulary whose tokens all encode to themselves gives the same pieces whether pairs merge by a list of
+merges or by the rank of what they give: where merging inside a token has come to two parts that make it up, those are the
+parts of its own merge. So whole texts are counted by rank, which is quicker, if all their characters belong to classes
+that have not changed since Unicode 3.2 and they hold no special string; other texts are counted by the library itself.
+
 Why a common boundary is safe: the library first splits a text into words by scanning from left to right, and where it
 goes on from a position depends only on what follows. So once two chunks have a word boundary at the same place, all
 that follows is the same in both, and tokens never span words. A chunk's last words may be affected by its end, so only
@@ -13,6 +18,7 @@ boundary (one word as long as the overlap), the texts concerned are encoded agai
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +57,63 @@ def _token_bytes(name: str) -> np.ndarray:
     return out
 
 
+#: Fixed value: how the byte-level libraries split a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@functools.lru_cache(maxsize=1)
+def settled() -> np.ndarray:
+    """The characters of the basic plane that are letters, numbers, blanks or neither in Unicode 3.2 as today."""
+    kind = {"L": 1, "N": 2, "Z": 3}
+    out = np.zeros(0x10000, dtype=bool)
+    for c in range(0x10000):
+        old, new = unicodedata.ucd_3_2_0.category(chr(c)), unicodedata.category(chr(c))
+        out[c] = old not in ("Cn", "Cs", "Co") and kind.get(old[0]) == kind.get(new[0])
+    return out
+
+
+@functools.lru_cache(maxsize=4)
+def by_rank(name: str):
+    """An encoder by rank with the same results as ``tokenizer(name)`` on settled texts; None where that cannot be shown."""
+    import json
+
+    import tiktoken
+
+    made = tokenizer(name)
+    parts = json.loads(made.to_str())
+    pre, model = parts["pre_tokenizer"] or {}, parts["model"]
+    plain = parts["normalizer"] is None and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or pre.get("type") != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
+        return None
+    added = {t["content"] for t in parts["added_tokens"]}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in added}
+    if any([x.id for x in made.model.tokenize(t)] != [i] for t, i in vocabulary.items()):
+        return None
+    # byte-level tokens write each byte as a printable character
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    merged = {m if isinstance(m, str) else " ".join(m): r for r, m in enumerate(model["merges"])}
+    rank = {"".join(m.split(" ")): r for m, r in merged.items()}
+    ranks = {bytes(byte[c] for c in t): rank.get(t, -1) for t in vocabulary}
+    ordered = {b: n for n, b in enumerate(sorted(ranks, key=lambda b: (ranks[b], b)))}  # single bytes first, then by merge
+    return tiktoken.Encoding(name, pat_str=WORDS, mergeable_ranks=ordered, special_tokens={})
+
+
+def counts(texts: list[str], name: str) -> list[int]:
+    """The tokens of whole texts, as the library counts them."""
+    encoder, special = by_rank(name), [t.content for t in tokenizer(name).get_added_tokens_decoder().values()]
+    out, rest = [0] * len(texts), []
+    for i, text in enumerate(texts):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        if encoder is None or (len(code) and (code.max() > 0xFFFF or not settled()[code].all())) or any(x in text for x in special):
+            rest.append(i)
+        else:
+            out[i] = len(encoder.encode_ordinary(text))
+    for i, made in zip(rest, tokenizer(name).encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+        out[i] = len(made)
+    return out
+
+
 def chunk_spans(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
     """Character ranges of the chunks of a text of ``n`` characters; the last one takes a remainder up to the overlap."""
     count = max(1, (n - overlap) // size) if n > size else 1
@@ -119,10 +182,8 @@ def _encode_chunks(name: str):
 def _encode_whole(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: list[int] = []
-            for _, texts in text_slices(batch, "text", 400_000):
-                counts += [len(x) for x in tokenizer(name).encode_batch_fast(texts, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            found = [n for _, texts in text_slices(batch, "text", 400_000) for n in counts(texts, name)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(found, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 

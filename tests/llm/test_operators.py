@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -63,12 +64,13 @@ def test_license_rows(docs):
 
 
 def test_license_expressions():
-    run = lambda e: license_scan.evaluate(license_scan.to_postfix(e))
-    assert license_scan.to_postfix("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
-    assert license_scan.to_postfix("(a or b) and c") == ["a", "b", "or", "c", "and"]
+    to_postfix = lambda e: license_scan.to_postfix(license_scan.expression(e, 0, len(e)))
+    run = lambda e: license_scan.evaluate(to_postfix(e))
+    assert to_postfix("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
+    assert to_postfix("(a or b) and c") == ["a", "b", "or", "c", "and"]
     assert run("MIT OR GPL-3.0-only")[0] == 1.0 and run("MIT AND GPL-3.0-only")[0] == 0.4
     assert run("GPL-2.0-only WITH Classpath-exception-2.0") == (0.5, ["gpl-2.0-only"])
-    assert license_scan.to_postfix(") or") is None and license_scan.to_postfix("MIT and") == ["mit"] and license_scan.to_postfix("((MIT") is None
+    assert to_postfix(") or") is None and to_postfix("MIT and") == ["mit"] and to_postfix("((MIT") is None
     found = license_scan.scan("# SPDX-License-Identifier: (Apache-2.0 OR MIT) AND CC-BY-4.0\nAll rights reserved")
     assert found[4] == "cc-by,reserved" and {"apache-2.0", "mit", "cc-by-4.0", "reserved"} <= set(found[5].split(",")) and found[6] == 1.0 and found[8] == 1
 
@@ -81,15 +83,154 @@ def test_license_expressions_are_read_to_their_end():
     assert found[5] == "isc,mit" and found[8] == 2
 
 
+    for text in ("SPDX-License-Identifier: gpl-2.0 and\n (mit or\n apache-2.0)\nand more", "# SPDX-License-Identifier: GPL-2.0 AND\n# (MIT\n# OR Apache-2.0)\n# isc"):
+        assert license_scan.scan(text)[5] == "apache-2.0,gpl-2.0,mit"
+    assert license_scan.scan("SPDX-License-Identifier: MIT\nor else")[5] == "mit"
+
+
+def plain_value(tokens):
+    """A recursive reading of a whole expression: (freedom, licences)."""
+
+    def level(at, operators):
+        if not operators:
+            if tokens[at] == "(":
+                value, at = level(at + 1, ("or", "and", "with"))
+                return value, at + 1
+            return (license_scan.freedom(tokens[at]), [tokens[at]]), at + 1
+        (value, names), at = level(at, operators[1:])
+        while at < len(tokens) and tokens[at] == operators[0]:
+            (other, more), at = level(at + 1, operators[1:])
+            value, names = (min(1.0, value + 0.1), names) if operators[0] == "with" else ((max if operators[0] == "or" else min)(value, other), names + more)
+        return (value, names), at
+
+    return level(0, ("or", "and", "with"))[0]
+
+
+def test_license_scan_against_a_plain_one():
+    """Notices found word by word and expressions read by recursion: labels, score and freedom of random texts."""
+    rng = random.Random(17)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.4:
+            return [rng.choice(["mit", "gpl-3.0-only", "cc-by-nc-4.0", "apache-2.0", "odd-1.0", "mpl-2.0"])]
+        inner = made(depth - 1) + [rng.choice(["and", "or"])] + made(depth - 1)
+        return ["(", *inner, ")"] if rng.random() < 0.5 else [*inner, "with", "some-exception"]
+
+    for _ in range(200):
+        phrases = rng.sample(sorted(license_scan.NOTICES), rng.randint(0, 2)) + rng.sample(sorted(license_scan.BASE), rng.randint(0, 1))
+        exprs = [made(rng.randint(0, 4)) for _ in range(rng.randint(0, 2))]
+        parts = [p.upper() if rng.random() < 0.3 else p for p in phrases] + [f"// SPDX-License-Identifier: {' '.join(e)}" for e in exprs]
+        rng.shuffle(parts)
+        text = "\n".join(f"{x}\nfiller é words." for x in parts)
+        found = license_scan.scan(text)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        holds = lambda p: any(words[i : i + len(p.split())] == p.split() for i in range(len(words)))  # noqa: E731, B023
+        labels = {v for p, v in (license_scan.NOTICES | license_scan.BASE).items() if holds(p)}
+        values = [plain_value(e) for e in exprs]
+        for _, names in values:
+            labels.update(names)
+        assert set(filter(None, found[5].split(","))) == labels, text
+        noticed = any(holds(p) for p in license_scan.NOTICES)
+        assert found[6] == (1.0 if exprs else 0.9 if noticed else 0.6 if labels else 0.0)
+        assert found[7] == (min(v for v, _ in values) if exprs else min(map(license_scan.freedom, labels), default=None)) and found[8] == len(exprs)
+
+
+def test_license_scan_of_long_texts_and_none(spark, docs):
+    long = "cc by " * 200_000 + "SPDX-License-Identifier: " + "(" * 5000 + "MIT" + ")" * 5000 + " or isc"
+    found = license_scan.scan(long)
+    assert found[1] == 200_000 and found[3] == 399_998 and found[5] == "cc-by,isc,mit"
+    assert license_scan.scan_licenses(docs.limit(0)).count() == 0
+
+
 # ---- op2
 
-def test_language_models_are_distributions():
-    grams = language_id.grams(["the thing and the rest of it"] * 3 + ["another thing"])[0]
-    keys, counts = np.unique(grams, return_counts=True)
-    alphabet = np.unique(grams & np.uint64(0xFFFF))
-    model = language_id.Model(keys, counts, 5, 3, len(alphabet))
-    for context in np.unique(keys >> np.uint64(16))[:20].tolist() + [0x0001_0001_0099]:
-        assert np.exp(model.score((np.uint64(context) << np.uint64(16)) | alphabet)).sum() == pytest.approx(1, abs=1e-3)
+class PlainKneserNey:
+    """Interpolated Kneser-Ney over dictionaries, straight from the definition."""
+
+    def __init__(self, texts, alphabet):
+        self.alphabet, self.counts = alphabet, {n: Counter() for n in range(1, 5)}
+        for t in texts:
+            for i in range(3, len(t)):
+                self.counts[4][t[i - 3 : i + 1]] += 1
+        for n in (3, 2, 1):
+            self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])
+        once = {n: Counter(c.values()) for n, c in self.counts.items()}
+        self.discount = {n: min(0.95, max(0.1, o[1] / (o[1] + 2 * o[2]))) if o[1] else 0.5 for n, o in once.items()}
+
+    def p(self, gram):
+        n = len(gram)
+        if not n:
+            return 1 / self.alphabet
+        beside = {g: c for g, c in self.counts[n].items() if g[:-1] == gram[:-1]}
+        if not beside:
+            return self.p(gram[1:])
+        total = sum(beside.values())
+        return max(self.counts[n][gram] - self.discount[n], 0) / total + self.discount[n] * len(beside) / total * self.p(gram[1:])
+
+
+def plain_characters(text):
+    return "\x01\x01\x01" + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+
+
+@pytest.mark.parametrize("broadcast_grams", [8_000_000, 0])
+def test_language_models_against_plain_kneser_ney(spark, broadcast_grams):
+    """Cross-entropies of every text, by arrays and by joins; letters beyond the basic plane, repeats, nulls and a long text."""
+    rng = random.Random(3)
+    texts = [(prose(rng, lang, rng.randint(1, 25)), lang) for lang in ("en", "de") for _ in range(25)]
+    texts += [texts[0], texts[0], ("", "en"), (None, "de"), ("\U00010428\U00010429 ab", "en"), ("123 --", "de"), ("\ue123\ue124", "en"), (prose(rng, "en", 3000), "en")]
+    rows = [(i, t, x) for i, (t, x) in enumerate(texts)] + [(None, "the thing", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("best", F.lit(1)).withColumn("digest", F.lit("x"))
+    got = {r["doc_id"]: r for r in language_id.identify(df, broadcast_grams=broadcast_grams).collect()}
+    assert len(got) == len(rows)
+    spare = language_id.fit(language_id.teachable(df))
+    assert (spare.models is None) is False and spare.languages == ["de", "en"]
+    # the sample that calibrates is known by its hashes; the models learn from the other rows
+    known = [r for r in language_id.teachable(df).withColumn("h", F.xxhash64("text", "lang", F.lit(5))).collect()]
+    hashes = sorted({r["h"] for r in known})
+    left = [r for r in known if r["h"] not in set(hashes[: len(hashes) // 10])]
+    marked = {x: [plain_characters(r["text"]) for r in left if r["lang"] == x] for x in ("de", "en")}
+    alphabet = len({c for ts in marked.values() for t in ts for c in t[3:]}) + 1
+    models = {x: PlainKneserNey(ts, alphabet) for x, ts in marked.items()}
+    for i, text, _ in rows[:12] + rows[50:57]:
+        t = plain_characters(text or "")
+        if not any(c.isalpha() for c in t):
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        ce = {x: -sum(np.log(m.p(t[k - 3 : k + 1])) for k in range(3, len(t))) / (len(t) - 3) for x, m in models.items()}
+        assert got[i]["entropy"] == pytest.approx(min(ce.values()), rel=1e-4), text
+        assert got[i]["lang_pred"] == min(sorted(ce), key=ce.get)
+    kept = {r["doc_id"] for r in language_id.keep_identified(df, broadcast_grams=broadcast_grams).collect()}
+    assert kept == {i for i, r in got.items() if r["accepted"]}
+
+
+def test_language_of_a_text_does_not_depend_on_its_batch():
+    """A private-use character is no letter, also beside an astral one in the same slice."""
+    alone = language_id.grams(["\ue123 \ue124"])
+    beside = language_id.grams(["\ue123 \ue124", "a \U00010428 b"])
+    own = beside[1] == 0
+    assert not alone[2].any() and np.array_equal(beside[0][own], alone[0]) and not beside[2][own].any() and beside[2].sum() == 3
+
+
+def test_language_rejection_of_junk(spark):
+    """Random letters and scripts that were not learned go; clean texts of the learned languages stay."""
+    rng = random.Random(29)
+    clean = [(i, prose(rng, lang, rng.randint(20, 60)), lang) for i, lang in enumerate(rng.choice(list(SYLLABLES)) for _ in range(400))]
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(200)) for _ in range(20)] + ["".join(rng.choice("абвгдежзик ") for _ in range(150)) for _ in range(20)]
+    df = spark.createDataFrame(clean + [(1000 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language_id.keep_identified(df).collect()}
+    assert not [i for i in kept if i >= 1000] and len(kept) >= 398
+
+
+def test_language_calibration_sample_is_bounded_by_distinct_texts(spark):
+    """A text that a third of the rows repeat counts once, and the sample never exceeds its bound."""
+    rng = random.Random(31)
+    rows = [(i, prose(rng, "en", 30), "en") for i in range(200)] + [(1000 + i, "the thing and the thing", "en") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("text", "lang")
+    fitted = language_id.fit(df, calibration_rows=15)
+    assert np.isfinite(fitted.limits).all()
+    total = sum(len(plain_characters(t)) - 3 for _, t, _ in rows)
+    counts = language_id.gram_counts(df).agg(F.sum("n")).first()[0]
+    assert counts == total
 
 
 def test_language_held_out(spark):
@@ -115,11 +256,13 @@ def test_language_models_keep_rare_grams(spark):
     rows = [(f"{common} {i}", "en") for i in range(60)] + [("quixotic zephyrs jab my fjord", "en")]
     df = spark.createDataFrame(rows, "text string, lang string")
     assert sum(len(t) for t, _ in rows) > 2**19
-    _, (model,), _ = language_id.fit(df, calibration_rows=0)
-    keys, counts = np.unique(np.concatenate([language_id.grams([t])[0] for t, _ in rows]), return_counts=True)
+    model = language_id.fit(df, calibration_rows=0).models[0]
+    keys = np.unique(np.concatenate([language_id.grams([t])[0] for t, _ in rows]))
     assert np.array_equal(model.keys[0], keys)
-    whole = language_id.Model(keys, counts, int((counts == 1).sum()), int((counts == 2).sum()), len(np.unique(keys & np.uint64(0xFFFF))) + 1)
-    assert np.allclose(model.score(keys), whole.score(keys)) and np.allclose(model.backoff[0], whole.backoff[0])
+    alphabet = np.unique(keys & np.uint64(0xFFFF))
+    for context in np.unique(keys >> np.uint64(16))[:20].tolist() + [0x0001_0001_0099]:
+        p = np.exp(model.score((np.uint64(context) << np.uint64(16)) | alphabet).astype(float)).sum()
+        assert p + np.exp(model.score(np.array([(context << 16) | 0xFFFF], dtype=np.uint64)))[0] == pytest.approx(1, abs=1e-3)  # the alphabet and what was not seen
 
 
 # ---- op3
@@ -158,8 +301,9 @@ def test_tiling_matches_plain(spark):
         texts.append((i, " ".join(words)))
     docs_ = spark.createDataFrame(texts + [(100, None), (101, ""), (None, items[5][1])], "doc_id long, text string")
     bench = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
-    for block in (16_000_000, 40):  # in one block, and in many
-        got = {(r["doc_id"], r["item_id"]): r["covered_words"] for r in decontamination.tilings(docs_, bench, coverage=0.4, block_bytes=block).collect()}
+    docs_, bench = docs_.withColumn("digest", F.lit("x")).withColumn("item_id", F.lit(0)), bench.withColumn("digest", F.lit(1)).withColumn("doc_id", F.lit(2))
+    for size in (16_000_000, 0):  # sent, and joined
+        got = {(r["doc_id"], r["item_id"]): r["covered_words"] for r in decontamination.tilings(docs_, bench, coverage=0.4, broadcast_bytes=size).collect()}
         want = {}
         for d, t in [*texts, (None, items[5][1])]:
             for i, item in items:
@@ -168,11 +312,28 @@ def test_tiling_matches_plain(spark):
                 if covered and covered >= 0.4 * len(w):
                     want[d, i] = covered
         assert got == want and len(want) > 20
-    clean = decontamination.decontaminate(docs_, bench, coverage=0.4, block_bytes=200)
-    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in texts + [(100, 0), (101, 0), (None, 0)]} - {d for d, _ in want}
+        clean = decontamination.decontaminate(docs_, bench, coverage=0.4, broadcast_bytes=size)
+        assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in texts + [(100, 0), (101, 0), (None, 0)]} - {d for d, _ in want} and clean.columns == docs_.columns
+    assert {r["item_id"] for r in decontamination.too_short(bench).collect()} >= {98, 99}
+    twice = decontamination.tilings(docs_.union(docs_), bench.union(bench), coverage=0.4, broadcast_bytes=0)
+    assert twice.count() == 4 * len(want) == decontamination.tilings(docs_.union(docs_), bench.union(bench), coverage=0.4).count()
     assert decontamination.tilings(docs_, bench.limit(0)).count() == 0 and decontamination.decontaminate(docs_.limit(0), bench).count() == 0
 
 
+def test_tiling_of_repeated_words():
+    """Equal words on both sides: runs are held by their ends, so memory and time stay small; and the tiles are the plain ones."""
+    rng = random.Random(19)
+    tiled = lambda item, text: decontamination.tiled(item, decontamination.run_hashes(item, 5), text, decontamination.run_hashes(text, 5), 5)
+    for _ in range(60):
+        item, text = ([b"a" if rng.random() < 0.8 else b"b" for _ in range(rng.randint(5, 30))] for _ in range(2))
+        hit = tiled(item, text)
+        assert (hit[2] if hit else 0) == plain_coverage(item, text)
+    assert tiled([b"the"] * 1000, [b"the"] * 20_000) == (1000, 1, 1000, 1000)
+    begin, _, n = decontamination.diagonals(np.ones(996, dtype=np.uint64), np.ones(19_996, dtype=np.uint64))
+    assert len(begin) == 996 + 19_996 - 1 and n.max() == 996
+    assert tiled([b"a", b"b"] * 500, [b"b", b"a"] * 5000)[2] == 1000
+
+
 # ---- op4
 
 def plain_dedup(rows, least=20):
@@ -282,6 +443,34 @@ def test_fixity_goes_through_many_files_and_lost_records(spark):
     assert warc_fixity.audit(left, warc_fixity.tree(lost)).where("right_hash is null").count() == 1
 
 
+def test_fixity_descends_only_where_nodes_differ(spark):
+    """The nodes that are compared are those on the way to the damage, also for trees of unlike height."""
+    pages = spark.createDataFrame([(i, f"u{i}", f"h{i}") for i in range(1200)], "page_id long, url string, html string")
+    placed = warc_fixity.layout(pages, file_records=10_000).cache()
+    left = warc_fixity.tree(placed)
+    changed = placed.withColumn("hash", F.when(F.col("seq") == 777, F.lit("x")).otherwise(F.col("hash")))
+    steps = warc_fixity.descent(left, warc_fixity.tree(changed))
+    assert [n.count() for _, n in steps] == [1, 1, 5, 16, 16] and [r["seq"] for r in warc_fixity.audit(left, warc_fixity.tree(changed)).collect()] == [777]
+    short = warc_fixity.tree(changed.where("seq < 1000 and seq <> 5").withColumn("seq", F.col("seq") - (F.col("seq") > 5).cast("int")).where("seq < 200"))
+    assert short.file_levels < left.file_levels
+    steps = warc_fixity.descent(left, short)
+    assert steps[0][0] == short.file_levels - 1 and steps[0][1].count() == 5
+    found = warc_fixity.audit(left, short)
+    assert found.count() == 1200 - 5 and found.where("right_hash is null").count() == 1000
+    assert warc_fixity.descent(left, left)[-1][0] == len(left.levels) - 1 and warc_fixity.audit(left, left).count() == 0
+
+
+def test_many_gzip_members_take_linear_time(spark, tmp_path):
+    import gzip
+    import time
+
+    member = gzip.compress(bytes(random.Random(2).randrange(256) for _ in range(3000)))
+    (tmp_path / "many.warc.gz").write_bytes(member * 6000)
+    began = time.perf_counter()
+    rows = warc_fixity.read_records(spark, str(tmp_path)).agg(F.count("*").alias("n"), F.max("end").alias("e")).first()
+    assert (rows["n"], rows["e"]) == (6000, 6000 * len(member)) and time.perf_counter() - began < 15
+
+
 def test_read_records(spark, tmp_path):
     import gzip
     import hashlib
@@ -513,6 +702,33 @@ def test_long_texts_of_every_kind(spark):
     assert got == {i: len(made.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
 
 
+def test_counts_by_rank_are_the_librarys():
+    """Every settled character in several surroundings, and texts that must go to the library itself."""
+    name = "byte_bpe_50k.json"
+    made, encoder = token_counts.tokenizer(name), token_counts.by_rank(name)
+    settled = np.flatnonzero(token_counts.settled()).tolist()
+    assert encoder is not None and len(settled) > 45_000
+    for around in ("a%sb", "1%s2 %s", " \n%s\t", "'%ss %s."):
+        texts = [around.replace("%s", chr(c)) for c in settled]
+        want = [len(x) for x in made.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [len(encoder.encode_ordinary(t)) for t in texts] == want
+    texts = ["", "<|endoftext|>", "a <|endoftext|>b", "😀 é", "\ue000x", "\u0378", "漢字", "a" * 20_000, "\x00\x1f\x85\xa0 "]
+    assert token_counts.counts(texts, name) == [len(made.encode(t, add_special_tokens=False)) for t in texts]
+    assert token_counts.by_rank("word_bpe_49k.json") is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_counts_of_any_text(text):
+    text = text.encode("utf-8", "replace").decode()
+    made = token_counts.tokenizer("byte_bpe_50k.json")
+    assert token_counts.counts([text], "byte_bpe_50k.json") == [len(made.encode(text, add_special_tokens=False))]
+
+
+def test_counts_of_an_empty_table(docs):
+    assert token_counts.count_tokens(docs.limit(0)).count() == 0
+
+
 # ---- op9
 
 @pytest.fixture(scope="module")
@@ -603,3 +819,46 @@ def test_grammar_scores_clauses():
         state, written, factor = machine.step(state, symbol)
         out.append((written, factor))
     assert out[-1] == ("A", 1.5)
+
+
+def plain_features(text, lexicon):
+    """The cascade one transducer after another over every clause, each a pass over all classes."""
+    sums, strongest, hits, lowered = [0.0] * 5, 0.0, 0, (text or "").lower()
+    for clause in re.split(r"[.!?;\n]", lowered):
+        tagged = [lexicon.weigh(w) for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»]", clause)]
+        symbols, weights = [c for c, _ in tagged], [w for _, w in tagged]
+        for transducer, step in [(toxicity.FOLLOWED, -1), *((t, 1) for t in toxicity.CASCADE)]:
+            state = 0
+            for i in list(range(len(symbols)))[::step]:
+                state, symbols[i], factor = transducer.arcs.get((state, symbols[i]), (state, symbols[i], 1.0))
+                weights[i] *= factor
+        for c, w in zip(symbols, weights):
+            if w:
+                sums[{"I": 0, "J": 0, "A": 1, "H": 2, "B": 2, "X": 3, "Y": 4}[c]] += w
+                hits += 1
+        strongest = max(strongest, sum(weights))
+    return [np.log1p(x) for x in sums] + [np.log1p(strongest), np.log1p(1000 * hits / (len(lowered) + 100))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "IDIOTS", "you", "not", "said", '"', "kill", "hurt", "she", "thing", ".", "!", ";", "\n", ",", "never", "isn't", "grumble", "trash", "é"]), max_size=30))
+def test_grammar_against_a_plain_cascade(parts):
+    lexicon = toxicity._lexicon((("grum*", 5.0), ("thing", 1.5)))
+    text = " ".join(parts)
+    assert toxicity.features(text, lexicon) == pytest.approx(plain_features(text, lexicon))
+
+
+def test_targets_that_follow_an_attack():
+    lexicon = toxicity._lexicon(())
+    near, far = (toxicity.features(t, lexicon) for t in ("idiot, you", "idiot, you know well what they did there to them"))
+    assert near[1] == far[1] > 0 == near[0]
+    assert toxicity.features("idiot of the one place you", lexicon)[1] == 0
+
+
+def test_grammar_reads_long_texts_in_linear_time():
+    import time
+
+    lexicon = toxicity._lexicon(())
+    for text in ("idiot, " * 150_000, "an idiot. " * 100_000, "word " * 300_000 + "idiot"):
+        began = time.perf_counter()
+        assert max(toxicity.features(text, lexicon)) > 0 and time.perf_counter() - began < 20
