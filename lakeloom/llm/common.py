@@ -144,19 +144,20 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Alternates the large-star and small-star rewrites until the edges stay as they are, which takes a number of rounds
     that is logarithmic in the diameter. A node's neighbours are only ever reduced to their minimum and joined back,
-    never collected, so a hub costs no more than its edges. Each round is cut from its lineage, as are the minima, so
-    that the joins have plain sides and Spark can split a hub's edges over tasks.
+    never collected, so a hub costs no more than its edges. Each round is cut from its lineage; of many edges so are the
+    minima, so that the joins have plain sides and Spark can split a hub's edges over tasks.
     """
     edges = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
     edges = cut(edges)
     state = _changed(edges)
     before = None
     while state[0] and state != before:
+        keep = cut if state[0] > 1_000_000 else lambda df: df
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large)
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = keep(large)
+        low = keep(large.groupBy("a").agg(F.min("b").alias("m")))
         edges = cut(large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         before, state = state, _changed(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
