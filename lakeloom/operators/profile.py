@@ -1,7 +1,7 @@
 """Column statistics and what follows from them: roles, quality, warnings, anomalies.
 
-Everything that a table's columns are judged by comes from one aggregate pass over the table (``column_stats``); the rules
-then run over one small row a column.
+Everything that a table's columns are judged by comes from one aggregate of its rows and one count of its values
+(``column_stats``); the rules then run over one small row a column.
 """
 
 from __future__ import annotations
@@ -27,15 +27,37 @@ def kinds(df: DataFrame) -> dict[str, str]:
     return {c: kind(t) for c, t in df.dtypes}
 
 
-def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
+#: What ``column_stats`` takes from the counts of values instead of from the rows.
+FROM_COUNTS = ("distinct", "q1", "median", "q3", "tokens", "length", "numbers", "times", "cleaned", "digits")
+_FROM_ROWS = ("mean", "std", "min", "max", "skew", "kurtosis", "zeros")
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """``position, s, d, n``: how often each column (by place) has each of its values; nulls and NaN are not counted.
+
+    Numbers are in ``d``, as double; ``s`` has the text of all other values, and of numbers that a double may round.
+    """
+    cells = []
+    for i, (name, kind) in enumerate(kinds(df).items()):
+        c, dtype = F.col(f"`{name}`"), dict(df.dtypes)[name]
+        d = E.finite(c.cast("double")) if kind == "numeric" else F.lit(None).cast("double")
+        s = F.lit(None).cast("string") if kind == "numeric" and not (dtype == "bigint" or dtype.startswith("decimal")) else c.cast("string")
+        if kind != "complex":
+            cells.append(F.struct(F.lit(i).alias("position"), s.alias("s"), d.alias("d")))
+    if not cells:
+        return df.sparkSession.createDataFrame([], "position int, s string, d double, n long")
+    return df.select(F.inline(F.array(*cells))).where("s is not null or d is not null").groupBy("position", "s", "d").agg(F.count("*").alias("n"))
+
+
+def column_stats(df: DataFrame, exact: bool = True, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each column: name, kind, whole, rows, missing, distinct, and by kind mean ... outliers or text measures.
 
-    ``exact``: distinct counts and quantiles as the values have them; else from bounded sketches, for tables whose
-    columns have more distinct values than memory has room for.
+    Moments come from one aggregate of the rows; distinct values, quantiles and text measures from counts of values, which
+    one shuffle spreads over all tasks. ``exact``: quantiles as the values have them, for which one task a column orders
+    its distinct values; else from bounded sketches of the counts' rows. ``wanted``: only these measures are computed,
+    others are null.
     """
     known, dtypes = kinds(df), dict(df.dtypes)
-    quantile = E.quantile if exact else E.approx_quantile
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     none = F.lit(None).cast("double")
     aggs, shapes = [F.count("*").alias("rows")], []
     for i, (name, kind) in enumerate(known.items()):
@@ -43,22 +65,39 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
         if kind == "numeric":
             c = E.finite(c.cast("double")) if dtypes[name] in ("float", "double") else c
         parts: dict[str, Column] = {"n": F.count(c)}
-        if kind != "complex":
-            parts["distinct"] = distinct(c)
         if kind == "numeric":
             d = c.cast("double")
-            parts |= {"mean": F.avg(d), "std": F.stddev_samp(d), "min": F.min(d), "q": quantile(d, 0.25, 0.5, 0.75), "max": F.max(d), "skew": E.skew(d), "kurtosis": E.kurtosis(d), "zeros": F.count_if(d == 0)}
-        elif kind == "string":
-            parts |= {"tokens": F.avg(E.tokens(c)), "length": F.avg(F.length(c)), "numbers": F.count(E.to_number(c)), "times": F.count(E.to_time(c)), "cleaned": F.count(E.clean_number(c)), "digits": F.count_if(c.rlike(r"\d"))}
+            parts |= {"mean": F.avg(d), "std": F.stddev_samp(d), "min": F.min(d), "max": F.max(d), "skew": E.skew(d), "kurtosis": E.kurtosis(d), "zeros": F.count_if(d == 0)}
+            parts = {k: v for k, v in parts.items() if wanted is None or k == "n" or k in wanted}
         aggs += [v.alias(f"{k}_{i}") for k, v in parts.items()]
-        get = lambda k, i=i, parts=parts: F.col(f"{k}_{i}").cast("double") if k in parts else none
-        q = [F.col(f"q_{i}")[j] if "q" in parts else none for j in range(3)]
         shapes.append(F.struct(
             F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(dtypes[name] in WHOLE).alias("whole"), F.lit(i).alias("position"), F.col("rows"), (F.col("rows") - F.col(f"n_{i}")).alias("missing"),
-            (F.col(f"distinct_{i}") if "distinct" in parts else F.lit(None)).cast("long").alias("distinct"), *(get(k).alias(k) for k in ("mean", "std", "min")),
-            q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), *(get(k).alias(k) for k in ("max", "skew", "kurtosis", "zeros", "tokens", "length", "numbers", "times", "cleaned", "digits")),
+            *((F.col(f"{k}_{i}").cast("double") if k in parts else none).alias(k) for k in _FROM_ROWS),
         ))
-    return df.agg(*aggs).select(F.inline(F.array(*shapes)))
+    moments = df.agg(*aggs).select(F.inline(F.array(*shapes)))
+    if wanted is not None and not set(wanted) & set(FROM_COUNTS):
+        out = moments.withColumns({c: F.lit(None).cast("long") if c == "distinct" else none for c in FROM_COUNTS})
+    else:
+        n, text = F.col("n"), F.col("is_text")
+        share = lambda v: E.ratio(F.sum(F.when(text, n * v)).cast("double"), F.sum(F.when(text & v.isNotNull(), n)))
+        number = lambda test: F.sum(F.when(text, F.when(test, n).otherwise(0))).cast("double")
+        value = F.col("s")
+        measures = {"distinct": F.count("*"), "q": F.expr("percentile(d, array(0.25, 0.5, 0.75), n)") if exact else E.approx_quantile(F.col("d"), 0.25, 0.5, 0.75)}
+        measures |= {"tokens": share(E.tokens(value)), "length": share(F.length(value)), "numbers": number(E.to_number(value).isNotNull()), "times": number(E.to_time(value).isNotNull())}
+        measures |= {"cleaned": number(E.clean_number(value).isNotNull()), "digits": number(value.rlike(r"\d"))}
+        keep = {"q"} if wanted is not None and {"q1", "median", "q3"} & set(wanted) else set()
+        measures = {k: v for k, v in measures.items() if wanted is None or k in wanted or k in keep}
+        strings = [i for i, k in enumerate(known.values()) if k == "string"]
+        counts = value_counts(df).withColumn("is_text", F.col("position").isin(strings) if strings else F.lit(False))
+        found = counts.groupBy("position").agg(*(v.alias(k) for k, v in measures.items()))
+        if "q" in measures:
+            found = found.withColumns({k: F.col("q")[j].cast("double") for j, k in enumerate(("q1", "median", "q3"))})
+        joined = moments.join(found, "position", "left")  # a row for each column on both sides
+        simple = F.col("kind") != "complex"
+        out = joined.withColumns({c: none for c in FROM_COUNTS if c not in joined.columns})
+        out = out.withColumn("distinct", F.when(simple, F.coalesce(F.col("distinct"), F.lit(0))).cast("long") if "distinct" in measures else F.lit(None).cast("long"))
+        out = out.withColumns({c: F.when(F.col("kind") == "string", F.coalesce(F.col(c), F.lit(0.0))) for c in ("numbers", "times", "cleaned", "digits") if c in measures})
+    return out.select("name", "kind", "whole", "position", "rows", "missing", "distinct", "mean", "std", "min", "q1", "median", "q3", "max", "skew", "kurtosis", "zeros", "tokens", "length", "numbers", "times", "cleaned", "digits")
 
 
 def role(name: str = "name", rows: str = "rows") -> Column:
@@ -128,7 +167,7 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 def quality_score(df: DataFrame) -> DataFrame:
     """``score`` (0 to 100) from missing cells, duplicate rows, constant columns and near-unique strings; with its parts."""
-    stats = column_stats(df).agg(
+    stats = column_stats(df, wanted=("distinct",)).agg(
         F.sum("missing").alias("m"), F.sum("rows").alias("cells"), F.count("*").alias("columns"), F.count_if(F.col("distinct") == 1).alias("constant"),
         F.count_if((F.col("kind") == "string") & (E.ratio(F.col("distinct"), F.col("rows")) > 0.9)).alias("near_unique"),
     )
@@ -152,7 +191,7 @@ def warnings(df: DataFrame) -> DataFrame:
 def anomalies(df: DataFrame) -> DataFrame:
     """``name, anomaly, severity`` of numeric columns."""
     numeric = [c for c, k in kinds(df).items() if k == "numeric"]
-    stats = column_stats(df.select(*numeric))
+    stats = column_stats(df.select(*numeric), wanted=("distinct", "mean", "std", "min", "q1", "median", "q3", "max"))
     mode = top_share(df, numeric).select("name", "share")
     iqr, std = F.col("q3") - F.col("q1"), F.col("std")
     tests = [

@@ -12,7 +12,7 @@ from . import profile
 
 def business_scores(df: DataFrame) -> DataFrame:
     """``name, kind, score``: variation, range and name of numeric columns; number, name and spread of categories."""
-    stats = profile.column_stats(df).where(F.col("kind").isin("numeric", "string", "boolean"))
+    stats = profile.column_stats(df, wanted=("mean", "std", "min", "max", "distinct")).where(F.col("kind").isin("numeric", "string", "boolean"))
     stats = stats.join(profile.top_share(df, [c for c, k in profile.kinds(df).items() if k != "complex"]), "name", "left")
     low, n, d = F.lower("name"), F.col("rows"), F.col("distinct")
     id_name = E.any_of(low, words.ID_PARTS)
@@ -40,7 +40,7 @@ def semantic(name: Column) -> Column:
 def stat_scores(df: DataFrame) -> DataFrame:
     """``name, stat_score, meaning, semantic_score, score`` of numeric columns; -999 where no value is valid."""
     numeric = [c for c, k in profile.kinds(df).items() if k == "numeric"]
-    stats = profile.column_stats(df.select(*numeric)).join(profile.top_share(df, numeric).select("name", "known_share"), "name", "left")
+    stats = profile.column_stats(df.select(*numeric), wanted=("std", "zeros", "distinct")).join(profile.top_share(df, numeric).select("name", "known_share"), "name", "left")
     n = F.col("rows") - F.col("missing")
     spread = F.when(F.col("std") > 0, F.least(F.log1p("std"), F.lit(10.0))).otherwise(0.0)
     stat = 20 * n / F.col("rows") + 15 * (1 - F.col("zeros") / n) + spread - F.when(F.col("distinct") / n > 0.98, 20.0).otherwise(0.0) - F.when(F.col("known_share") > 0.9, 12.0).otherwise(0.0)
@@ -88,14 +88,14 @@ def quality_warnings(df: DataFrame, few_rows: int = 50) -> DataFrame:
 
 def kpis(df: DataFrame, most: int = 6) -> DataFrame:
     """``place, label, value``: the number of records, then columns by kind of name and score, then completeness; the first six."""
-    found = business_scores(df).where("kind = 'numeric'").orderBy(F.desc("score"), "name").limit(200).collect()  # a row for each column
+    found = business_scores(df).where("kind = 'numeric'").orderBy(F.desc("score"), "name").collect()  # a row for each column
     chosen: list[tuple[str, str, str]] = []
     for parts, agg, prefix in words.KPI:
         for r in found:
             if any(p in r["name"].lower() for p in parts) and all(r["name"] != c for c, _, _ in chosen):
                 chosen.append((r["name"], agg, prefix))
                 break
-    stats = {r["name"]: r for r in profile.column_stats(df).collect()}
+    stats = {r["name"]: r for r in profile.column_stats(df, wanted=("mean",)).collect()}
     for r in found:
         if len(chosen) >= 4:
             break
