@@ -46,10 +46,16 @@ def coerce_plain(df: DataFrame, least: float = 0.85) -> tuple[DataFrame, list[st
     return df.withColumns({c: E.plain_number(F.col(c)) if c in chosen else F.trim(F.col(c)) for c in strings}), chosen
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """A column in which NaN and infinities of floating columns are null, as they count as missing."""
+    c = F.col(f"`{name}`")
+    return E.finite(c.cast("double")) if dict(df.dtypes)[name] in ("float", "double") else c
+
+
 def drop_sparse_columns(df: DataFrame, most_missing: float = 0.5) -> DataFrame:
     """Without the columns that are missing in that share of rows or more."""
-    row = df.agg(F.count("*").alias("__rows"), *(F.count(F.col(f"`{c}`")).alias(c) for c in df.columns)).first()
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if row["__rows"] == 0 or 1 - row[c] / row["__rows"] < most_missing))
+    row = df.agg(F.count("*"), *(F.count(present(df, c)) for c in df.columns)).first()
+    return df.select(*(F.col(f"`{c}`") for c, n in zip(df.columns, row[1:], strict=True) if row[0] == 0 or 1 - n / row[0] < most_missing))
 
 
 def fix_types(df: DataFrame, roles: dict[str, str]) -> DataFrame:
@@ -64,7 +70,7 @@ def missing_plan(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     known = kinds(df)
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
-        aggs.append(F.count(F.col(c)).alias(f"n{i}"))
+        aggs.append(F.count(present(df, c)).alias(f"n{i}"))
         if known[c] == "numeric":
             d = E.finite(F.col(c).cast("double"))
             aggs += [F.avg(d).alias(f"mean{i}"), E.quantile(d, 0.5).alias(f"median{i}"), E.skew(d).alias(f"skew{i}")]
@@ -95,7 +101,7 @@ def impute(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame,
                 continue
             mean = p["missing"] < 0.05 and abs(p["skew"] or 0) <= 1
             if p["missing"] >= 0.3:
-                new[f"{c}_missing"] = F.col(c).isNull().cast("int")
+                new[f"{c}_missing"] = present(df, c).isNull().cast("int")
             value = p["mean"] if mean else p["median"]
             new[c] = F.coalesce(E.finite(F.col(c).cast("double")), F.lit(float(value)))
             done[c] = "mean" if mean else "median_indicator" if p["missing"] >= 0.3 else "median"

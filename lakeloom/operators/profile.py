@@ -29,7 +29,7 @@ def kinds(df: DataFrame) -> dict[str, str]:
 
 #: What ``column_stats`` takes from the counts of values instead of from the rows.
 FROM_COUNTS = ("distinct", "q1", "median", "q3", "tokens", "length", "numbers", "times", "cleaned", "digits")
-_FROM_ROWS = ("mean", "std", "min", "max", "skew", "kurtosis", "zeros")
+_FROM_ROWS = ("mean", "std", "min", "max", "zeros")
 
 
 def value_counts(df: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def value_counts(df: DataFrame) -> DataFrame:
 def column_stats(df: DataFrame, exact: bool = True, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each column: name, kind, whole, rows, missing, distinct, and by kind mean ... outliers or text measures.
 
-    Moments come from one aggregate of the rows; distinct values, quantiles and text measures from counts of values, which
+    Moments come from an aggregate of the rows; distinct values, quantiles and text measures from counts of values, which
     one shuffle spreads over all tasks. ``exact``: quantiles as the values have them, for which one task a column orders
     its distinct values; else from bounded sketches of the counts' rows. ``wanted``: only these measures are computed,
     others are null.
@@ -67,7 +67,7 @@ def column_stats(df: DataFrame, exact: bool = True, wanted: tuple[str, ...] | No
         parts: dict[str, Column] = {"n": F.count(c)}
         if kind == "numeric":
             d = c.cast("double")
-            parts |= {"mean": F.avg(d), "std": F.stddev_samp(d), "min": F.min(d), "max": F.max(d), "skew": E.skew(d), "kurtosis": E.kurtosis(d), "zeros": F.count_if(d == 0)}
+            parts |= {"mean": F.avg(d), "std": F.stddev_samp(d), "min": F.min(d), "max": F.max(d), "zeros": F.count_if(d == 0)}
             parts = {k: v for k, v in parts.items() if wanted is None or k == "n" or k in wanted}
         aggs += [v.alias(f"{k}_{i}") for k, v in parts.items()]
         shapes.append(F.struct(
@@ -75,6 +75,12 @@ def column_stats(df: DataFrame, exact: bool = True, wanted: tuple[str, ...] | No
             *((F.col(f"{k}_{i}").cast("double") if k in parts else none).alias(k) for k in _FROM_ROWS),
         ))
     moments = df.agg(*aggs).select(F.inline(F.array(*shapes)))
+    higher = [k for k in ("skew", "kurtosis") if wanted is None or k in wanted]
+    numbers = [F.struct(F.lit(i).alias("position"), E.finite(F.col(f"`{c}`").cast("double")).alias("d")) for i, (c, k) in enumerate(known.items()) if k == "numeric"]
+    if higher and numbers:  # by column, so that the code for one column is small enough to be compiled
+        shape = df.select(F.inline(F.array(*numbers))).groupBy("position").agg(*({"skew": E.skew, "kurtosis": E.kurtosis}[k](F.col("d")).alias(k) for k in higher))
+        moments = moments.join(shape, "position", "left")
+    moments = moments.withColumns({k: none for k in ("skew", "kurtosis") if k not in moments.columns})
     if wanted is not None and not set(wanted) & set(FROM_COUNTS):
         out = moments.withColumns({c: F.lit(None).cast("long") if c == "distinct" else none for c in FROM_COUNTS})
     else:

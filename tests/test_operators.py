@@ -200,3 +200,24 @@ def test_stream(spark, tmp_path):
     run.awaitTermination(60)
     assert sorted((r["n"], r["total"]) for r in spark.table("hours").collect()) == [(1, 4.0), (2, 3.0)]
     assert windows.sessions(events).count() == 2
+
+
+def test_nan_counts_as_missing_when_cleaning(spark):
+    """A floating column with NaN and no null is imputed, marked, and dropped where it is sparse."""
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, nan), (2.0, nan), (nan, nan), (3.0, 5.0)], "a double, b double")
+    assert cleaning.drop_sparse_columns(df).columns == ["a"]
+    out, _ = cleaning.impute(df)
+    rows = out.orderBy("a").collect()
+    assert sorted(r["a"] for r in rows) == [1.0, 2.0, 2.0, 3.0] and {r["b"] for r in rows} == {5.0} and sum(r["b_missing"] for r in rows) == 3
+
+
+def test_column_stats_of_wanted_measures(spark):
+    """Measures that are not asked for are null, the others the same; whole numbers that a double rounds stay distinct."""
+    df = spark.createDataFrame([(2**60, "a b", 1.5), (2**60 + 1, "c", float("nan")), (None, None, 2.5), (2**60, "a b", 1.5)], "k long, s string, v double")
+    whole = {r["name"]: r.asDict() for r in profile.column_stats(df).collect()}
+    some = {r["name"]: r.asDict() for r in profile.column_stats(df, wanted=("median", "tokens")).collect()}
+    assert whole["k"]["distinct"] == 2 and whole["v"]["distinct"] == 2 and whole["v"]["missing"] == 1 and whole["s"]["tokens"] == pytest.approx(5 / 3)
+    for name, row in some.items():
+        assert {k for k, v in row.items() if v is not None} <= {"name", "kind", "whole", "position", "rows", "missing", "median", "q1", "q3", "tokens"}
+        assert row["median"] == whole[name]["median"] and row["tokens"] == whole[name]["tokens"]
