@@ -32,7 +32,7 @@ from .common import table, text_slices
 MARK = "▁"
 PUNCTUATION = ".,;:!?"
 #: Words kept by a worker, about 270 bytes each.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 class Codec:
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(name, kind)
         for batch in batches:
-            for start, texts in text_slices(batch, "text", 3_000_000):
+            for start, texts in text_slices(batch, "text", 1_000_000):
                 ids, words = made.encode(texts)
                 sizes = [len(x) for x in ids]
                 right = [made.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]

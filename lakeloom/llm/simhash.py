@@ -413,7 +413,7 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in text_slices(batch, "text"):
+            for start, texts in text_slices(batch, "text", 500_000):
                 made = [shingle_hashes(x, shingle) for x in texts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(start, len(texts)), pa.array([d for d, _ in made], pa.binary()), pa.array([len(h) for _, h in made], pa.int64()),
