@@ -405,7 +405,8 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (MinHash) of its shingles. Quick searches gather large groups first: over the first ``quick`` bands, then over one
     text of each group in a file, in time that is linear. The last search takes the files in which groups still meet, and
     every pair there that may be alike and is not in one group yet; a file beyond ``block`` classes is dealt into pairs
-    of blocks. Exact similarity decides.
+    of blocks. Exact similarity decides; a pair of similarity 0.8 is missed in 3 of a million cases (see ``BANDS``). Null
+    counts as empty, rows without an id take no part, and an empty table gives no rows.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     again = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
