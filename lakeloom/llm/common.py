@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -62,6 +64,48 @@ def text_slices(batch: pa.RecordBatch, column: str | int = "text", limit: int =
         start = stop
 
 
+#: What drops the caches that a Python worker holds, by operator.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """An operator keeps something for its next task in this worker; ``drop`` lets go of it."""
+    _held[owner] = drop
+
+
+def give_back() -> None:
+    """Hands memory that is free in this process back to the system, which Python and Arrow else keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        return
+
+
+def let_go(owner: str) -> None:
+    """Drops what tasks of operators other than ``owner`` left in this worker."""
+    others = [name for name in _held if name != owner]
+    for name in others:
+        _held.pop(name)()
+    if others:
+        give_back()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which first drops what tasks of other operators left in this worker, and at its end gives free memory back.
+
+    Spark uses a Python worker again for later stages, so what one operator caches would stay in memory under all others.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(owner)
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def keep_rows(docs: DataFrame, text_col: str, test: Callable[[list[str]], list[bool]], limit: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` whose text passes a test; no column is moved between tasks, and null counts as empty."""
     at = docs.columns.index(text_col)
@@ -71,7 +115,7 @@ def keep_rows(docs: DataFrame, text_col: str, test: Callable[[list[str]], list[b
             kept = [bool(x) for _, texts in text_slices(batch, at, limit) for x in test(texts)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, few, free_name, table, text_slices
+from .common import Forest, components, cut, few, free_name, table, text_slices, tidy
 
 SEED = 42
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(x, words) for _, texts in text_slices(batch, "text") for x in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def within_radius(differences: np.ndarray, radius: int) -> np.ndarray:
@@ -255,7 +255,7 @@ def hamming_links(classes: DataFrame, radius: int = 2, block: int = 4096, neares
         F.when(F.col("blocks") == 1, F.col("file")).otherwise(F.xxhash64("file", F.least("own", "other"), F.greatest("own", "other"))).alias("file"),
         (F.col("own") != F.col("other")).alias("cross"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "fp",
     )
-    return pairs.repartition("file").sortWithinPartitions("file", "cross").mapInArrow(_compare(radius, nearest), "a long, b long")
+    return pairs.repartition("file").sortWithinPartitions("file", "cross").mapInArrow(tidy(_compare(radius, nearest)), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -422,7 +422,7 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     ["id", "words", "n", "bits", "bands"],
                 )
 
-    known = cut(rows.mapInArrow(sets, "id long, words binary, n long, bits binary, bands array<long>"))
+    known = cut(rows.mapInArrow(tidy(sets), "id long, words binary, n long, bits binary, bands array<long>"))
     classes = cut(known.groupBy("words").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("words", F.col("id").alias("b")))
     same = cut(known.select("id", "words").join(few(classes), "words").where("id <> b").select(F.col("id").alias("a"), "b"))
     known = known.join(few(same.select(F.col("a").alias("id"))), "id", "left_anti").drop("words")
@@ -437,11 +437,11 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         """The pairs that are alike among rows ``file, cross, side, id, group``."""
         about = known.select("id", "n", "bits").join(few(filed.select("id").distinct()), "id", "left_semi")
         files = filed.join(few(cut(about), 200_000), "id").select("file", "cross", "side", "id", "group", "n", "bits")
-        pairs = cut(files.repartition("file").sortWithinPartitions("file", "cross", "n", "id").mapInArrow(_shared_shingles(least, fast), "a long, b long").distinct())
+        pairs = cut(files.repartition("file").sortWithinPartitions("file", "cross", "n", "id").mapInArrow(tidy(_shared_shingles(least, fast)), "a long, b long").distinct())
         nominated = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         texts = cut(rows.join(few(nominated), "id", "left_semi"))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return cut(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+        return cut(both.select("a", "b", "x", "y").mapInArrow(tidy(alike), "a long, b long"))
 
     def grouped(found: DataFrame) -> DataFrame:
         """``id, group, file`` of all bands, in the files in which groups meet."""
