@@ -35,6 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, where the session does not say otherwise.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Python workers Arrow batches of about ``BATCH_BYTES`` at most.
+
+    Spark's own default is 10,000 rows or 64 MB, held several times over at both ends. A limit that the user has set stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores in front until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}
@@ -115,7 +130,7 @@ def keep_rows(docs: DataFrame, text_col: str, test: Callable[[list[str]], list[b
             kept = [bool(x) for _, texts in text_slices(batch, at, limit) for x in test(texts)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return bounded(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:

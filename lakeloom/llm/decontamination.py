@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, few, free_name, in_bitmap, keep_rows, table, text_slices, tidy
+from .common import bitmap, bounded, cut, few, free_name, in_bitmap, keep_rows, table, text_slices, tidy
 
 _NOT_WORD = bytes(i if i >= 0x80 or chr(i).isalnum() else 32 for i in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -189,9 +189,9 @@ def _by_join(rows: DataFrame, items: DataFrame, coverage: float, least: int) ->
     digest = F.sha2(F.col("text").cast("binary"), 256)
     texts = rows.where("text is not null").select("text", digest.alias("digest"))
     kinds = items.select("text", digest.alias("item")).dropDuplicates(["item"])
-    item_runs = cut(kinds.mapInArrow(tidy(runs("item")), "item string, h long"))
+    item_runs = cut(bounded(kinds).mapInArrow(tidy(runs("item")), "item string, h long"))
     bits = rows.sparkSession.sparkContext.broadcast(bitmap(item_runs.select("h").distinct()))  # 128 MB at most
-    text_runs = texts.mapInArrow(tidy(runs("digest", bits)), "digest string, h long")
+    text_runs = bounded(texts).mapInArrow(tidy(runs("digest", bits)), "digest string, h long")
     pairs = cut(text_runs.join(item_runs, "h").select("digest", "item").distinct())
     own = texts.join(few(pairs.select("digest").distinct()), "digest", "left_semi").dropDuplicates(["digest"])
     both = pairs.join(own.withColumnRenamed("text", "x"), "digest").join(kinds.select("item", F.col("text").alias("y")), "item").select("digest", "item", "x", "y")
@@ -207,7 +207,7 @@ def _by_join(rows: DataFrame, items: DataFrame, coverage: float, least: int) ->
                     found.append((digest_.as_py(), item.as_py(), *hit, hit[2] / hit[0]))
             yield _batch(found, schema)
 
-    return both.mapInArrow(tidy(lay), schema)
+    return bounded(both).mapInArrow(tidy(lay), schema)
 
 
 def tilings(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, least: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 16_000_000) -> DataFrame:
@@ -236,7 +236,7 @@ def tilings(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, least:
                     found += [(ids[i], *hit, hit[3] / hit[1]) for hit in shared.value.search(text) if hit[3] >= coverage * hit[1]]
             yield _batch(found, _FOUND)
 
-    return rows.mapInArrow(tidy(search), _FOUND)
+    return bounded(rows).mapInArrow(tidy(search), _FOUND)
 
 
 def too_short(benchmark: DataFrame, least: int = 5) -> DataFrame:
@@ -247,7 +247,7 @@ def too_short(benchmark: DataFrame, least: int = 5) -> DataFrame:
             sizes = [len(words(x)) for _, texts in text_slices(batch, "text") for x in texts]
             yield _batch([(i, n) for i, n in zip(batch.column("item_id").to_pylist(), sizes, strict=True) if n < least], "item_id long, n_words long")
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "item_id long, n_words long")
+    return bounded(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "item_id long, n_words long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, least: int = 5, broadcast_bytes: int = 16_000_000) -> DataFrame:

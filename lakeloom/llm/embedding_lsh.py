@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, table
+from .common import Forest, bounded, components, cut, table
 
 
 def collision(distance: float, width: float) -> float:
@@ -161,7 +161,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     rows = rows.withColumn("vec", F.when(F.col("vec_id").isNotNull() & usable(F.col("vec")), F.transform("vec", lambda x: x + F.lit(0).cast("float"))))  # no negative zero
     classes = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "n", "vec")
     depth, tables = plan_tables(classes.count(), threshold, recall, width)
-    hashed = cut(classes.mapInArrow(_keys(depth, tables, width, seed), f"id long, n long, vec {rows.schema['vec'].dataType.simpleString()}, keys array<int>"))
+    hashed = cut(bounded(classes).mapInArrow(_keys(depth, tables, width, seed), f"id long, n long, vec {rows.schema['vec'].dataType.simpleString()}, keys array<int>"))
     file = F.col("t") * F.lit(2**32) + F.col("key")
     large = hashed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("m")).where(F.col("m") > block)
     large = cut(large.select("t", "key", F.ceil(F.col("m") / block).cast("int").alias("blocks")))

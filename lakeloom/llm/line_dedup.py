@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, free_name, table, text_slices, tidy
+from .common import bitmap, bounded, cut, free_name, table, text_slices, tidy
 
 _KEYS = ["k1", "k2"]
 
@@ -112,9 +112,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(text_col).cast("string").alias("text"))
     known = rows.where("text is not null")
-    again = cut(known.mapInArrow(tidy(_hash_rows(least_words)), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    again = cut(bounded(known).mapInArrow(tidy(_hash_rows(least_words)), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     sieve = docs.sparkSession.sparkContext.broadcast(bitmap(again))  # 128 MB at most; it only saves moving chunks that stand once
-    texts = cut(known.mapInArrow(tidy(_text_rows(least_words, sieve)), "k1 long, k2 long, first int, end int, chunk binary, above binary, below binary"))
+    texts = cut(bounded(known).mapInArrow(tidy(_text_rows(least_words, sieve)), "k1 long, k2 long, first int, end int, chunk binary, above binary, below binary"))
     place = F.struct("k1", "k2", "first", "above", "below")
     # cut, so that the join below has plain sides and Spark can split a chunk that stands very often
     groups = cut(texts.groupBy("chunk").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"))
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(others)), "text string, n_lines long, n_removed long, removed_lines array<int>"])
     back = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
-    return plain.mapInArrow(tidy(_rewrite), schema).select(*(back[c].alias(c) for c in docs.columns), *(F.col(c).alias(names[c]) for c in ("n_lines", "n_removed", "removed_lines")))
+    return bounded(plain).mapInArrow(tidy(_rewrite), schema).select(*(back[c].alias(c) for c in docs.columns), *(F.col(c).alias(names[c]) for c in ("n_lines", "n_removed", "removed_lines")))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, table, text_slices, tidy
+from .common import bounded, hold, table, text_slices, tidy
 
 MARK = "▁"
 PUNCTUATION = ".,;:!?"
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe"
                 flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), pa.array(words, pa.int64()), pa.array(sizes, pa.int64()), flat, pa.array(right, pa.bool_())], ["doc_id", "n_words", "n_pieces", "pieces", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run, "sentencepiece"), _SCHEMA)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run, "sentencepiece"), _SCHEMA)
 
 
 def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "bpe", id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
@@ -284,7 +284,7 @@ def decode(encoded: DataFrame, name: str = "piece_bpe_32k.model", kind: str = "b
                 texts = [made.decode(x) if x is not None and all(i is not None and 0 <= i < len(made.pieces) for i in x) else None for x in part.column("pieces").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(pieces_col).cast("array<int>").alias("pieces")).mapInArrow(tidy(run, "sentencepiece"), "doc_id long, text string")
+    return bounded(encoded).select(F.col(id_col).cast("long").alias("doc_id"), F.col(pieces_col).cast("array<int>").alias("pieces")).mapInArrow(tidy(run, "sentencepiece"), "doc_id long, text string")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

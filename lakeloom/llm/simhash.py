@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, few, free_name, table, text_slices, tidy
+from .common import Forest, bounded, components, cut, few, free_name, table, text_slices, tidy
 
 SEED = 42
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(x, words) for _, texts in text_slices(batch, "text") for x in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def within_radius(differences: np.ndarray, radius: int) -> np.ndarray:
@@ -422,7 +422,7 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     ["id", "words", "n", "bits", "bands"],
                 )
 
-    known = cut(rows.mapInArrow(tidy(sets), "id long, words binary, n long, bits binary, bands array<long>"))
+    known = cut(bounded(rows).mapInArrow(tidy(sets), "id long, words binary, n long, bits binary, bands array<long>"))
     classes = cut(known.groupBy("words").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("words", F.col("id").alias("b")))
     same = cut(known.select("id", "words").join(few(classes), "words").where("id <> b").select(F.col("id").alias("a"), "b"))
     known = known.join(few(same.select(F.col("a").alias("id"))), "id", "left_anti").drop("words")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_slices
+from .common import bounded, cut, table, text_slices
 
 TAIL_WORDS, TAIL_BYTES = 4, 32
 
@@ -213,7 +213,7 @@ def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     is_long = F.length("text") > long_chars
     whole = rows.where(~is_long).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    short = whole.mapInArrow(_encode_whole(name), "doc_id long, n_bytes long, n_tokens long")
+    short = bounded(whole).mapInArrow(_encode_whole(name), "doc_id long, n_bytes long, n_tokens long")
     # Rows alike in id and text have one key and one count.
     long = rows.where(is_long).withColumns({"k1": F.xxhash64("doc_id", F.col("doc_id").isNull()), "k2": F.xxhash64("text")})
     keyed = cut(long.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first(F.octet_length("text").cast("long")).alias("n_bytes"), F.max(F.length("text")).alias("chars"), F.count("*").alias("copies")))
@@ -222,7 +222,7 @@ def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", id_col: str =
     tasks = max(2, docs.sparkSession.sparkContext.defaultParallelism)
     while longest:
         size = max(chunk_chars, 4 * width)
-        pieces = todo.mapInArrow(_cut_up(size, width), "k1 long, k2 long, chunk int, before int, after int, text string")
+        pieces = bounded(todo).mapInArrow(_cut_up(size, width), "k1 long, k2 long, chunk int, before int, after int, text string")
         made = pieces.repartition(max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_encode_chunks(name), _CHUNKS)
         found = cut(splice(made.dropDuplicates(["k1", "k2", "chunk"])))
         ready = found.where("n_tokens is not null")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_slices
+from .common import bounded, cut, table, text_slices
 
 #: Attack, target, negation and report words of four languages.
 INSULTS = {"idiot", "moron", "stupid", "loser", "trash", "scum", "worthless", "pathetic", "disgusting", "dummkopf", "vollidiot", "abschaum", "imbécile", "crétin", "ordure", "imbécil", "estúpido", "basura"}
@@ -173,7 +173,7 @@ def learn_entries(labelled: DataFrame, most: int = 4096, share_docs: float = 0.0
             part = keys[s : s + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([seen[k][x] for x in part], pa.int64()) for k in kinds)], ["entry", *names])
 
-    counts = labelled.mapInArrow(count, "entry string, " + ", ".join(f"{n} long" for n in names)).groupBy("entry").agg(*(F.sum(n).alias(n) for n in names))
+    counts = bounded(labelled).mapInArrow(count, "entry string, " + ", ".join(f"{n} long" for n in names)).groupBy("entry").agg(*(F.sum(n).alias(n) for n in names))
     totals = {(r["half"], r["toxic"]): r["count"] for r in labelled.groupBy("half", "toxic").count().collect()}
     counts = cut(counts.where(F.col("n01") + F.col("n11") >= 2))  # the entries of too few toxic texts go
     out = []
@@ -209,7 +209,7 @@ def _feature_rows(rows: DataFrame, entries: dict[str, float], keep: str) -> Data
             got = [features(x, lexicon) for _, texts in text_slices(batch, "text") for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(keep).cast(pa.int64()), *(pa.array([g[i] for g in got], pa.float64()) for i in range(len(FEATURES)))], [keep, *FEATURES])
 
-    return rows.mapInArrow(run, f"{keep} long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return bounded(rows).mapInArrow(run, f"{keep} long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 @functools.lru_cache(maxsize=2)
