@@ -35,6 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Narrow rows that one partition takes, where their number is known.
+PART_ROWS = 100_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` narrow rows at most, in no more partitions than they need, so that few rows make few tasks and files."""
+    return df.coalesce(1 + rows // PART_ROWS)
+
+
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """A table of narrow rows, computed once, kept in the shared folder, and read in partitions by its number of rows."""
+    made = cut(df)
+    return gathered(made, made.count())
+
+
 #: Bytes of an Arrow batch on its way to a Python worker, where the session does not say otherwise.
 BATCH_BYTES = 8 << 20
 
@@ -209,14 +224,16 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     edges = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
     edges = cut(edges)
     state = _changed(edges)
-    before = None
+    n, before = state[0], None  # edges never grow in number
+    edges = gathered(edges, n)
     while state[0] and state != before:
-        keep = cut if state[0] > 1_000_000 else lambda df: df
+        few_parts = lambda df: gathered(df, n)
+        keep = (lambda df: cut(few_parts(df))) if state[0] > 1_000_000 else few_parts
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = keep(large)
         low = keep(large.groupBy("a").agg(F.min("b").alias("m")))
-        edges = cut(large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        edges = cut(few_parts(large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()))
         before, state = state, _changed(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, bounded, components, cut, few, free_name, table, text_slices, tidy
+from .common import Forest, bounded, components, cut, cut_narrow, few, free_name, table, text_slices, tidy
 
 SEED = 42
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -409,7 +409,7 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts as empty, rows without an id take no part, and an empty table gives no rows.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    again = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    again = cut_narrow(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     rows = rows.join(few(again), "id", "left_anti").union(rows.join(few(again), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,8 +423,8 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 )
 
     known = cut(bounded(rows).mapInArrow(tidy(sets), "id long, words binary, n long, bits binary, bands array<long>"))
-    classes = cut(known.groupBy("words").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("words", F.col("id").alias("b")))
-    same = cut(known.select("id", "words").join(few(classes), "words").where("id <> b").select(F.col("id").alias("a"), "b"))
+    classes = cut_narrow(known.groupBy("words").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("words", F.col("id").alias("b")))
+    same = cut_narrow(known.select("id", "words").join(few(classes), "words").where("id <> b").select(F.col("id").alias("a"), "b"))
     known = known.join(few(same.select(F.col("a").alias("id"))), "id", "left_anti").drop("words")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,39 +436,39 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def linked(filed: DataFrame, fast: bool) -> DataFrame:
         """The pairs that are alike among rows ``file, cross, side, id, group``."""
         about = known.select("id", "n", "bits").join(few(filed.select("id").distinct()), "id", "left_semi")
-        files = filed.join(few(cut(about), 200_000), "id").select("file", "cross", "side", "id", "group", "n", "bits")
-        pairs = cut(files.repartition("file").sortWithinPartitions("file", "cross", "n", "id").mapInArrow(tidy(_shared_shingles(least, fast)), "a long, b long").distinct())
-        nominated = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        files = filed.join(few(cut_narrow(about), 200_000), "id").select("file", "cross", "side", "id", "group", "n", "bits")
+        pairs = cut_narrow(files.repartition("file").sortWithinPartitions("file", "cross", "n", "id").mapInArrow(tidy(_shared_shingles(least, fast)), "a long, b long").distinct())
+        nominated = cut_narrow(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         texts = cut(rows.join(few(nominated), "id", "left_semi"))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return cut(both.select("a", "b", "x", "y").mapInArrow(tidy(alike), "a long, b long"))
+        return cut_narrow(both.select("a", "b", "x", "y").mapInArrow(tidy(alike), "a long, b long"))
 
     def grouped(found: DataFrame) -> DataFrame:
         """``id, group, file`` of all bands, in the files in which groups meet."""
-        so_far = cut(components(found))
+        so_far = cut_narrow(components(found))
         filed = known.join(few(so_far), known.id == so_far.node, "left").select("id", F.coalesce("component", "id").alias("group"), F.explode("bands").alias("file"))
-        met = cut(filed.groupBy("file").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("file"))
-        return cut(filed.join(few(met), "file").select("id", "group", "file"))
+        met = cut_narrow(filed.groupBy("file").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("file"))
+        return cut_narrow(filed.join(few(met), "file").select("id", "group", "file"))
 
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
     plain = (F.lit(False).alias("cross"), F.lit(0).alias("side"), "id", "group")
 
     def parts(filed: DataFrame) -> DataFrame:
         """Files, cut into parts of about ``block`` rows, as a quick search takes them."""
-        sizes = cut(filed.groupBy("file").agg(F.count("*").alias("size")).where("size > 1"))
-        return cut(filed.join(few(sizes), "file").withColumn("blocks", F.ceil(F.col("size") / block)).select(F.xxhash64("file", own).alias("file"), *plain))
+        sizes = cut_narrow(filed.groupBy("file").agg(F.count("*").alias("size")).where("size > 1"))
+        return cut_narrow(filed.join(few(sizes), "file").withColumn("blocks", F.ceil(F.col("size") / block)).select(F.xxhash64("file", own).alias("file"), *plain))
 
     found = linked(parts(known.select("id", F.col("id").alias("group"), F.explode(F.slice("bands", 1, quick)).alias("file"))), True)
     one = grouped(found).groupBy("file", "group").agg(F.min("id").alias("id"))
-    found = cut(found.union(linked(parts(one), True)))
+    found = cut_narrow(found.union(linked(parts(one), True)))
     filed = grouped(found)
-    sizes = cut(filed.groupBy("file").agg(F.count("*").alias("size")))
+    sizes = cut_narrow(filed.groupBy("file").agg(F.count("*").alias("size")))
     filed = filed.join(few(sizes), "file").withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("own", own)
     dealt = filed.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select(
         F.when(F.col("blocks") == 1, F.col("file")).otherwise(F.xxhash64("file", F.least("own", "other"), F.greatest("own", "other"))).alias("file"),
         (F.col("own") != F.col("other")).alias("cross"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "group",
     )
-    return components(found.union(linked(cut(dealt), False)).union(same))
+    return components(found.union(linked(cut_narrow(dealt), False)).union(same))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
