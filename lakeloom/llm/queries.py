@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_lsh, language_id, license_scan, line_dedup, resampling, sentencepiece_codec, simhash, token_counts, toxicity, warc_fixity
+from . import decontamination, embedding_lsh, language_id, lexical_search, license_scan, line_dedup, resampling, sentencepiece_codec, simhash, token_counts, toxicity, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_resampling": resampling.op11_resampling,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_fixity": warc_fixity.OP5_SQL, "op11_resampling": resampling.OP11_SQL}
+    return {"op5_warc_fixity": warc_fixity.OP5_SQL, "op11_resampling": resampling.OP11_SQL, "op13_lexical_search": lexical_search.OP13_SQL}
