@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_lsh, language_id, lexical_search, license_scan, line_dedup, resampling, sentencepiece_codec, simhash, token_counts, toxicity, warc_fixity
+from . import decontamination, embedding_lsh, language_id, lexical_search, license_scan, line_dedup, resampling, sentencepiece_codec, simhash, token_counts, token_output, toxicity, warc_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_resampling": resampling.op11_resampling,
+        "op12_token_ids": token_output.op12_token_ids,
         "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
