@@ -139,11 +139,11 @@ class Coder:
 
     def _encode(self, blocks: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
         n, steps = len(blocks), int(lengths[0]) if len(lengths) else 0
-        ids = np.zeros((steps, n), dtype=np.int64)
+        if any(len(b) and (b.min() < 0 or b.max() >= self.vocabulary) for b in blocks):
+            raise ValueError("an id is outside the vocabulary")
+        ids = np.zeros((steps, n), dtype=np.uint16)
         for i, b in enumerate(blocks):
             ids[: len(b), i] = b
-        if ids.size and (ids.min() < 0 or ids.max() >= self.vocabulary):
-            raise ValueError("an id is outside the vocabulary")
         models = self._fresh(n)
         low, span, written = np.zeros(n, dtype=np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64), np.zeros(n, dtype=np.int64)
         digits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -171,7 +171,7 @@ class Coder:
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes with more than t ids
         for t in range(steps):
             k = int(active[t])
-            now = ids[t, :k]
+            now = ids[t, :k].astype(np.int64)
             id_2, id_1, share_2, share_1 = models.predict(k)
             hit_2 = id_2 == now
             hit_1 = (id_1 == now) & ~hit_2
@@ -222,7 +222,7 @@ class Coder:
         words = [np.frombuffer(p, dtype=">u4").astype(np.uint64) for p in payloads]
         flat = np.concatenate([*words, np.zeros(2, dtype=np.uint64)])
         at_digit = np.r_[0, np.cumsum([len(w) for w in words])][:-1].astype(np.int64)
-        ids = np.zeros((steps, n), dtype=np.uint32)
+        ids = np.zeros((steps, n), dtype=np.uint16)
         models = self._fresh(n)
         off, span = (flat[at_digit] << _U32) | flat[at_digit + 1], np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         at_digit += 2
@@ -271,4 +271,4 @@ class Coder:
                 now[who] = made
             ids[t, :k] = now
             models.learn(k, now)
-        return [np.ascontiguousarray(ids[: lengths[i], i]) for i in range(n)]
+        return [ids[: lengths[i], i].astype(np.uint32) for i in range(n)]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import bounded, hold, shared_folder, table, tidy
+from .common import bounded, give_back, hold, let_go, shared_folder, table
 from .id_coder import BLOCK, LANES, Coder
 from .token_counts import tokenizer
 
@@ -102,31 +102,29 @@ def _runs(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def token_ids(docs: DataFrame, name: str = "word_bpe_49k.json", end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids`` (little-endian unsigned 32-bit) of every row in ascending order of ``doc_id``, sorted by range.
+def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text`` of every row in ascending order of ``doc_id``, sorted by range.
 
-    The ids are the library's for the whole text, without special tokens added, and ``end_id`` after them. A null or empty
-    text has the end id alone. Null ids come first; rows that share an id are ordered by a hash of their text and by
-    their place in the input, so that they spread over tasks. Other columns do not matter.
+    Null ids come first; rows that share an id are ordered by a hash of their text and by their place in the input, so
+    that they spread over tasks. Other columns do not matter.
     """
     kinds = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = kinds.withColumns({"k": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    ordered = bounded(keyed).orderBy(F.asc_nulls_first("doc_id"), "k", "row").select("doc_id", "text")
-    tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
+    return bounded(keyed).orderBy(F.asc_nulls_first("doc_id"), "k", "row").select("doc_id", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(name)
-        for batch in batches:
-            column = batch.column("text")
-            for start, stop in _runs(column, 2_000_000):
-                flat, sizes = made.encode(column.slice(start, stop - start))
-                ends = np.cumsum(sizes)
-                flat = np.insert(flat, np.repeat(ends, len(tail)), np.tile(tail, len(sizes))).astype("<u4")
-                offsets = np.r_[0, ends + len(tail) * np.arange(1, len(sizes) + 1)] * 4
-                ids = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), ids.cast(pa.binary())], ["doc_id", "ids"])
 
-    return ordered.mapInArrow(tidy(run, "token_output"), "doc_id long, ids binary")
+def _encoded(batch: pa.RecordBatch, name: str, tail: np.ndarray) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """Keys, ids and numbers of ids of the rows of a batch, whose second column holds ids or texts, in slices."""
+    column = batch.column(1)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        made = encoder(name)
+        for start, stop in _runs(column, 2_000_000):
+            flat, sizes = made.encode(column.slice(start, stop - start))
+            flat = np.insert(flat, np.repeat(np.cumsum(sizes), len(tail)), np.tile(tail, len(sizes)))
+            yield batch.column(0).slice(start, stop - start).to_pylist(), flat, sizes + len(tail)
+    else:
+        raw = [b"" if x is None else x for x in column.to_pylist()]
+        yield batch.column(0).to_pylist(), np.frombuffer(b"".join(raw), dtype="<u4"), np.array([len(x) // 4 for x in raw], dtype=np.int64)
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -188,29 +186,30 @@ def _coder(vocabulary: int) -> Coder:
 
 
 class IdWriter(DataSourceArrowWriter):
-    """Rows ``doc_id, ids`` in the order of their partitions."""
+    """Rows ``doc_id, text`` or ``doc_id, ids`` in the order of their partitions."""
 
-    def __init__(self, path: str, vocabulary: int):
-        self.path, self.vocabulary = path, vocabulary
+    def __init__(self, path: str, vocabulary: int, name: str, end_id: int | None):
+        self.path, self.vocabulary, self.name, self.end_id = path, vocabulary, name, end_id
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, at = _place(self.path)
         part = TaskContext.get().partitionId()
-        name = f"_{uuid.uuid4().hex}"
+        name, tail = f"_{uuid.uuid4().hex}", np.array([] if self.end_id is None else [self.end_id], dtype=np.uint32)
         coder, keys, lengths, held, size, docs, total = _coder(self.vocabulary), [], [], [], 0, 0, 0
         files.create_dir(at, recursive=True)
         with files.open_output_stream(f"{at}/{name}") as out:
             for batch in iterator:
-                for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    keys.append(key)
-                    held.append(np.frombuffer(ids.as_buffer(), dtype="<u4"))
-                    lengths.append(len(held[-1]))
-                    size += lengths[-1]
+                for some, ids, sizes in _encoded(batch, self.name, tail):
+                    keys += some
+                    lengths += sizes.tolist()
+                    held.append(ids.astype(np.uint32, copy=False))
+                    size += len(ids)
                     if size >= SECTION:
                         out.write(_section(coder, keys, lengths, np.concatenate(held)))
                         docs, total, keys, lengths, held, size = docs + len(keys), total + size, [], [], [], 0
             if keys:
                 out.write(_section(coder, keys, lengths, np.concatenate(held)))
+        give_back()
         return Written(part, name, docs + len(keys), total + size)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -248,8 +247,11 @@ class IdReader(DataSourceReader):
             start += f["ids"]
         return out
 
-    def read(self, partition: IdFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: IdFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no file
+            return
         files, at = _place(self.path)
+        let_go("token_output_coder")  # the writer's encoder, if this worker has one
         start, coder = partition.start, _coder(self.manifest["vocabulary"])
         with files.open_input_stream(f"{at}/{partition.name}") as file:
             for keys, lengths, ids in _sections(file, coder, partition.name):
@@ -264,7 +266,10 @@ class IdReader(DataSourceReader):
 
 
 class TokenIdSource(DataSource):
-    """``spark.read.format("token_ids").load(path)``, and ``write`` of ``doc_id long, ids binary`` (option ``vocabulary``)."""
+    """``spark.read.format("token_ids").load(path)``, and ``write`` of ``doc_id long, ids binary`` or ``doc_id long, text string``.
+
+    Options of the writer: ``vocabulary`` (all ids are below it), and for texts ``tokenizer`` and ``endId``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -277,14 +282,19 @@ class TokenIdSource(DataSource):
         return IdReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> IdWriter:
-        return IdWriter(self.options["path"], int(self.options.get("vocabulary", 1 << 16)))
+        end = self.options.get("endId", "")
+        return IdWriter(self.options["path"], int(self.options.get("vocabulary", 1 << 16)), self.options.get("tokenizer", ""), int(end) if end else None)
 
 
 def write_ids(docs: DataFrame, path: str, name: str = "word_bpe_49k.json", end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes whole texts (see ``token_ids``) and writes them under ``path``, a new folder; an empty table gives no files but the manifest."""
+    """Encodes whole texts and writes them under ``path``, a new folder, in ascending order of ``doc_id`` (see ``in_order``).
+
+    The ids are the library's for the whole text, without special tokens added, and ``end_id`` after them; a null or empty
+    text has the end id alone. An empty table gives no files but the manifest.
+    """
     docs.sparkSession.dataSource.register(TokenIdSource)
-    made = token_ids(docs, name, end_id, id_col, text_col)
-    made.write.format("token_ids").option("vocabulary", max(tokenizer(name).get_vocab_size(), (end_id or 0) + 1)).mode("append").save(path)
+    options = {"vocabulary": max(tokenizer(name).get_vocab_size(), (end_id or 0) + 1), "tokenizer": name, "endId": "" if end_id is None else end_id}
+    in_order(docs, id_col, text_col).write.format("token_ids").options(**options).mode("append").save(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
