@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions import words
+from . import neighbours
 from .profile import kinds
 
 
@@ -81,10 +82,11 @@ def missing_plan(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     return {c: {"missing": 1 - row[f"n{i}"] / row["rows"] if row["rows"] else 0.0} | {k: row.get(f"{k}{i}") for k in keys} for i, c in enumerate(columns)}
 
 
-def impute(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def impute(df: DataFrame, columns: list[str] | None = None, near: int | None = 5) -> tuple[DataFrame, dict[str, str]]:
     """Missing values filled, and how each column was.
 
-    Numeric: under 5 % the median where abs(skewness) > 1, else the mean; under 30 % the median (see ``impute_knn``);
+    Numeric: under 5 % the median where abs(skewness) > 1, else the mean; under 30 % the mean of the ``near`` nearest rows over
+    all numeric columns of ``columns`` as they came (the median where there is one such column, or ``near`` is None);
     from 30 % the median and a column ``{c}_missing``. Others: under 10 % the mode (smallest of ties), else ``Missing``.
     """
     known = kinds(df)
@@ -92,11 +94,18 @@ def impute(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame,
     plan = missing_plan(df, columns)
     new: dict[str, Column] = {}
     done: dict[str, str] = {}
+    usable = [c for c in columns if known[c] == "numeric" and plan[c]["median"] is not None][: neighbours.MOST_COLUMNS]
+    by_rows = [c for c in usable if 0.05 <= plan[c]["missing"] < 0.3] if near and len(usable) > 1 else []
+    if by_rows:
+        others = {c: df.schema[c].dataType for c in usable if c not in by_rows}
+        df = neighbours.impute_nearest(df, usable, None, near, only=by_rows).withColumns({c: F.col(c).cast(t) for c, t in others.items()})
     for c in columns:
         p = plan[c]
         if not p["missing"]:
             continue
-        if known[c] == "numeric":
+        if c in by_rows:
+            done[c] = "knn"
+        elif known[c] == "numeric":
             if p["median"] is None:
                 continue
             mean = p["missing"] < 0.05 and abs(p["skew"] or 0) <= 1
@@ -112,29 +121,9 @@ def impute(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame,
     return df.withColumns(new), done
 
 
-def impute_knn(df: DataFrame, columns: list[str], row_id: str, k: int = 5, donors: int = 4096) -> DataFrame:
-    """Missing numeric values as the mean of the ``k`` nearest of a bounded set of complete donor rows.
-
-    Donors are the complete rows with the smallest hashes, ``donors`` at most, so each row meets a bounded number of
-    them. The distance is Euclidean over the columns that the row has, scaled up for those it lacks.
-    """
-    whole = df.dropna(subset=columns).select(row_id, *(F.col(c).cast("double").alias(c) for c in columns))
-    bank = whole.orderBy(F.xxhash64(row_id), row_id).limit(donors).select(F.array(*columns).alias("v"))
-    packed = F.broadcast(bank.agg(F.collect_list("v").alias("bank")))  # donors rows at most
-    own = F.array(*(F.col(c).cast("double") for c in columns))
-    seen = F.size(F.filter(own, lambda x: x.isNotNull()))
-
-    def distance(v: Column) -> Column:
-        squares = F.zip_with(own, v, lambda a, b: F.coalesce((a - b) * (a - b), F.lit(0.0)))
-        return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) * F.lit(float(len(columns))) / seen
-
-    near = F.slice(F.array_sort(F.transform("bank", lambda v: F.struct(distance(v).alias("d"), v.alias("v")))), 1, k)
-    gaps = df.where(F.greatest(*(F.col(c).isNull() for c in columns)) & (F.coalesce(*(F.col(c) for c in columns)).isNotNull()))
-    rest = df.where(~(F.greatest(*(F.col(c).isNull() for c in columns)) & (F.coalesce(*(F.col(c) for c in columns)).isNotNull())))
-    filled = gaps.crossJoin(packed).withColumn("__near", near)
-    mean = lambda i: F.try_divide(F.aggregate("__near", F.lit(0.0), lambda s, x: s + x["v"][i]), F.size("__near"))
-    filled = filled.withColumns({c: F.coalesce(F.col(c).cast("double"), mean(i)) for i, c in enumerate(columns)}).select(*df.columns)
-    return filled.unionByName(rest.withColumns({c: F.col(c).cast("double") for c in columns}))
+def impute_knn(df: DataFrame, columns: list[str], row_id: str | None = None, k: int = 5) -> DataFrame:
+    """Missing numeric values as the mean of the ``k`` nearest of all rows that have the column (see ``neighbours``); exact."""
+    return neighbours.impute_nearest(df, columns, row_id, k)
 
 
 def fill_in_order(df: DataFrame, column: str, order: list[str], by: list[str]) -> DataFrame:

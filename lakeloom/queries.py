@@ -448,7 +448,7 @@ _IMPUTE = "SELECT l_returnflag AS f, CASE WHEN l_orderkey % 25 <> 0 THEN l_quant
 def q55(t):
     k = F.col("l_orderkey")
     df = t("lineitem").select(F.col("l_returnflag").alias("f"), F.when(k % 25 != 0, F.col("l_quantity")).alias("a"), F.when(k % 5 != 0, F.col("l_extendedprice")).alias("b"), F.when(k % 3 != 0, F.col("l_tax")).alias("c"))
-    out = cleaning.impute(df, ["a", "b", "c"])[0]
+    out = cleaning.impute(df, ["a", "b", "c"], near=None)[0]
     return rounded(rounded(out.groupBy("f").agg(*(F.sum(x).alias(x) for x in ("a", "b", "c", "c_missing"))), "a", "b", places=2), "c")
 
 
@@ -836,8 +836,20 @@ def q103(t):
     return files.candidates(catalogue, catalogue.where("dataset_id % 3 = 0")).select("dataset_id", "rows")
 
 
-@query("q104_impute_knn")
+_PART_GAPS = "SELECT p_partkey AS id, CASE WHEN p_partkey % {a} <> 0 THEN CAST(p_size AS DOUBLE) END AS a, CASE WHEN p_partkey % {b} <> 0 THEN CAST(p_retailprice AS DOUBLE) END AS b FROM part"
+#: Imputation by the five nearest rows, over all pairs: distances over the shared columns, scaled up by both over shared ones.
+_NEAREST = """WITH d AS ({rows}), pairs AS (
+      SELECT r.id, x.id AS donor, x.a, x.b, sqrt(2.0 / ((r.a IS NOT NULL AND x.a IS NOT NULL)::INT + (r.b IS NOT NULL AND x.b IS NOT NULL)::INT)) * sqrt(coalesce(pow(r.a - x.a, 2), 0) + coalesce(pow(r.b - x.b, 2), 0)) AS apart
+      FROM d r JOIN d x ON (r.a IS NULL OR r.b IS NULL) AND ((r.a IS NOT NULL AND x.a IS NOT NULL) OR (r.b IS NOT NULL AND x.b IS NOT NULL))),
+    fa AS (SELECT id, avg(a) AS v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY apart, donor) AS n FROM pairs WHERE a IS NOT NULL) WHERE n <= 5 GROUP BY 1),
+    fb AS (SELECT id, avg(b) AS v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY apart, donor) AS n FROM pairs WHERE b IS NOT NULL) WHERE n <= 5 GROUP BY 1)
+    SELECT d.id AS p_partkey, round(coalesce(d.a, fa.v, (SELECT avg(a) FROM d)), 4) AS p_size, round(coalesce(d.b, fb.v, (SELECT avg(b) FROM d)), 4) AS p_retailprice FROM d LEFT JOIN fa USING (id) LEFT JOIN fb USING (id)"""
+
+
+def _part_gaps(t, a: int, b: int) -> DataFrame:
+    return _gaps(_gaps(t("part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_partkey", a), "p_retailprice", "p_partkey", b)
+
+
+@query("q104_impute_knn", _NEAREST.format(rows=_PART_GAPS.format(a=33, b=20)))
 def q104(t):
-    df = _gaps(t("part").select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", "p_partkey", 20)
-    out = cleaning.impute_knn(df, ["p_size", "p_retailprice"], "p_partkey")
-    return out.agg(F.count("*").alias("n"), F.count_if(F.col("p_retailprice").isNull()).alias("missing"))
+    return rounded(cleaning.impute_knn(_part_gaps(t, 33, 20), ["p_size", "p_retailprice"], "p_partkey"), "p_size", "p_retailprice")

@@ -1,11 +1,12 @@
 """Operators on small literal tables: the fixture with injected faults, edge cases, and models that must learn."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators import charts, cleaning, features, insights, meta_features, metrics, models, profile, scoring
+from lakeloom.operators import charts, cleaning, features, insights, meta_features, metrics, models, neighbours, ordered, profile, scoring
 from lakeloom.plans import stages
 from lakeloom.sources import files, synthetic
 from lakeloom.streaming import windows
@@ -44,7 +45,7 @@ def test_clean_faults(faults):
     assert row["age"] < 9999 and row["n"] == 100 and row["g"] == 2
     lo, hi, _ = report.bounds["age"]
     assert out.where(~F.col("age").between(lo - 1e-3, hi + 1e-3)).isEmpty()
-    assert report.strategies["score"].startswith("median")
+    assert report.strategies["score"] == "knn"
 
 
 def test_profile_of_odd_columns(spark):
@@ -221,3 +222,62 @@ def test_column_stats_of_wanted_measures(spark):
     for name, row in some.items():
         assert {k for k, v in row.items() if v is not None} <= {"name", "kind", "whole", "position", "rows", "missing", "median", "q1", "q3", "tokens"}
         assert row["median"] == whole[name]["median"] and row["tokens"] == whole[name]["tokens"]
+
+
+def plain_nearest(rows, k):
+    """Imputation over all pairs; rows are (id, values...)."""
+    columns, out = list(zip(*[r[1:] for r in rows])), []
+    for r in rows:
+        new = list(r)
+        for c in [c for c in range(len(columns)) if r[1 + c] is None]:
+            near = []
+            for d in (d for d in rows if d[1 + c] is not None):
+                both = [i for i in range(len(columns)) if r[1 + i] is not None and d[1 + i] is not None]
+                if both:
+                    near.append((math.sqrt(len(columns) / len(both)) * math.sqrt(sum((r[1 + i] - d[1 + i]) ** 2 for i in both)), d[0], d[1 + c]))
+            near = [x[2] for x in sorted(near)[:k]]
+            known = [x for x in columns[c] if x is not None]
+            new[1 + c] = sum(near) / len(near) if near else sum(known) / len(known) if known else None
+        out.append(tuple(new))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_nearest_rows_equal_all_pairs(spark, monkeypatch, block):
+    """Gaps in any column, ties, rows without a value, and large groups of copies, in one block and in many."""
+    rng = random.Random(1)
+    rows = [(i, *(None if rng.random() < 0.15 else float(rng.choice([rng.gauss(0, 5), rng.randint(0, 3)])) for _ in range(3))) for i in range(150)]
+    rows += [(1000 + i, 1.0, 2.0, None) for i in range(40)] + [(2000 + i, 1.0, 2.0, 3.0 + i) for i in range(40)] + [(3000, None, None, None)]
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "id long, a double, b double, c double, pattern string")
+    got = sorted(tuple(r)[:4] for r in neighbours.impute_nearest(df, ["a", "b", "c"], "id").collect())
+    assert [x for r in got for x in r] == pytest.approx([x for r in plain_nearest(rows, 5) for x in r])
+
+
+def test_nearest_rows_without_donors(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, float("nan"), None)], "id long, a double, b double")
+    assert sorted(tuple(r) for r in neighbours.impute_nearest(df, ["a", "b"], "id").collect()) == [(1, 1.0, None), (2, 1.0, None), (3, 1.0, None)]
+    assert neighbours.impute_nearest(df.limit(0), ["a", "b"]).collect() == []
+
+
+def test_impute_takes_near_rows_in_its_tier(spark):
+    df = spark.createDataFrame([(float(i), None if i % 10 == 0 else 10.0 * i) for i in range(100)], "a double, b double")
+    out, how = cleaning.impute(df)
+    assert how == {"b": "knn"}
+    assert {r["a"]: r["b"] for r in out.collect()}[50.0] == pytest.approx(500, abs=20)
+
+
+def test_positions_and_running_sums(spark):
+    rng = random.Random(2)
+    values = [rng.randint(0, 50) for _ in range(500)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in enumerate(values)], "id long, v long, part string").repartition(7)
+    want = sorted((v, i) for i, v in enumerate(values))
+    got = sorted((r["position"], r["v"], r["id"]) for r in ordered.with_position(df, "v", "id").collect())
+    assert got == [(n, v, i) for n, (v, i) in enumerate(want, 1)]
+    sums = {r["id"]: r["total"] for r in ordered.running_sums(df, ["v", "id"], total=F.col("v")).collect()}
+    before = {r["id"]: r["previous"] for r in ordered.with_previous(df, ["v", "id"], "v").collect()}
+    run = 0
+    for n, (v, i) in enumerate(want):
+        run += v
+        assert sums[i] == run and before[i] == (want[n - 1][0] if n else None)
+    assert ordered.with_position(df.limit(0), "v").collect() == []
