@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as E
 from .functions import questions
-from .operators import charts, cleaning, features, insights, meta_features, metrics, models, profile, scoring
+from .operators import charts, cleaning, explain, features, insights, meta_features, metrics, models, profile, scoring
 from .operators.charts import ChartSpec
 from .sources import files
 from .streaming import windows
@@ -853,3 +853,23 @@ def _part_gaps(t, a: int, b: int) -> DataFrame:
 @query("q104_impute_knn", _NEAREST.format(rows=_PART_GAPS.format(a=33, b=20)))
 def q104(t):
     return rounded(cleaning.impute_knn(_part_gaps(t, 33, 20), ["p_size", "p_retailprice"], "p_partkey"), "p_size", "p_retailprice")
+
+
+@query("q105_tree_shap", """WITH d AS (SELECT CAST(l_quantity > 25 AS INT) AS a, CAST(l_discount > 0.05 AS INT) AS b FROM lineitem), s AS (SELECT a, count(*) / (SELECT count(*) FROM d) AS share, avg(b) AS b FROM d GROUP BY 1),
+    v AS (SELECT d.a, d.b, count(*) AS n, (SELECT sum(share * (100 * a + 10 * b)) FROM s) AS none, 100 * d.a + 10 * any_value(s.b) AS q, (SELECT sum(share * 100 * a) FROM s) + 10 * d.b AS d, 100 * d.a + 10 * d.b AS qd FROM d JOIN s ON d.a = s.a GROUP BY 1, 2)
+    SELECT a, b, n, round((q - none + qd - d) / 2, 6) AS quantity, round((d - none + qd - q) / 2, 6) AS discount FROM v""")
+def q105(t):
+    a, b = (F.col("l_quantity") > 25).cast("int"), (F.col("l_discount") > 0.05).cast("int")
+    df = t("lineitem").withColumns({"side": 2 * a + b, "y": 100.0 * a + 10.0 * b})
+    rows, _ = models.prepare(df, ["l_quantity", "l_discount"], "y", "side")
+    shap, _ = explain.tree_shap(rows, models.DecisionTreeRegressor(maxDepth=2, maxBins=64).fit(rows), ["l_quantity", "l_discount"])
+    mean = lambda c: r(F.avg(F.when(F.col("name") == f"l_{c}", F.col("shap"))), 6).alias(c)
+    return shap.groupBy(F.floor(F.col("row_id") / 2).cast("int").alias("a"), (F.col("row_id") % 2).alias("b")).agg(F.count_if(F.col("name") == "l_quantity").alias("n"), mean("quantity"), mean("discount"))
+
+
+@query("q106_kernel_shap", """SELECT s_suppkey, round(3 * (s_acctbal - (SELECT avg(s_acctbal) FROM supplier)), 3) AS s_acctbal, round(5 * (s_nationkey - (SELECT avg(s_nationkey) FROM supplier)), 3) AS s_nationkey FROM supplier""")
+def q106(t):
+    df = t("supplier").withColumn("y", 3 * F.col("s_acctbal") + 5 * F.col("s_nationkey"))
+    rows, _ = models.prepare(df, ["s_acctbal", "s_nationkey"], "y", "s_suppkey")
+    shap = explain.kernel_shap(rows, models.LinearRegression().fit(rows), ["s_acctbal", "s_nationkey"], explain.background(rows, 1))
+    return shap.groupBy(F.col("row_id").alias("s_suppkey")).agg(*(r(F.max(F.when(F.col("name") == c, F.col("shap"))), 3).alias(c) for c in ("s_acctbal", "s_nationkey")))

@@ -1,12 +1,16 @@
 """Operators on small literal tables: the fixture with injected faults, edge cases, and models that must learn."""
 
+import itertools
 import math
 import random
 
 import pytest
+from pyspark.ml.feature import VectorIndexer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from lakeloom.operators import charts, cleaning, features, insights, meta_features, metrics, models, neighbours, ordered, profile, scoring
+from lakeloom.operators import charts, cleaning, explain, features, insights, meta_features, metrics, models, neighbours, ordered, profile, scoring
 from lakeloom.plans import stages
 from lakeloom.sources import files, synthetic
 from lakeloom.streaming import windows
@@ -281,3 +285,85 @@ def test_positions_and_running_sums(spark):
         run += v
         assert sums[i] == run and before[i] == (want[n - 1][0] if n else None)
     assert ordered.with_position(df.limit(0), "v").collect() == []
+
+
+def subset_values(x, value, m):
+    """Shapley values by all subsets; ``value`` gives a set's worth for row ``x``."""
+    out = []
+    for i in range(m):
+        rest = [j for j in range(m) if j != i]
+        out.append(sum(math.factorial(n) * math.factorial(m - 1 - n) / math.factorial(m) * (value(x, {*s, i}) - value(x, set(s))) for n in range(m) for s in itertools.combinations(rest, n)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def shaped(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(0, 4), rng.uniform(0, 4), float(rng.randint(0, 2)), rng.gauss(0, 1)]) for i in range(200)]
+    df = spark.createDataFrame([(i, *v, (3.0 if v[0] > 2 and v[1] > 1 else 0.0) + v[2] * (v[0] > 1), float(v[0] + v[3] > 2)) for i, v in rows], "id long, a double, b double, c double, d double, y double, z double")
+    return df, ["a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize("name", ["tree", "forest", "boosted", "classes", "categories"])
+def test_tree_shap(spark, shaped, name):
+    """Values equal the subset sums over the trees themselves, and with the base value add up to the prediction."""
+    df, columns = shaped
+    target, positive = ("z", 1) if name == "classes" else ("y", None)
+    rows, _ = models.prepare(df, columns, target, "id")
+    if name == "categories":
+        rows = models.VectorAssembler(inputCols=columns, outputCol="raw").transform(df.select("id", *columns, F.col("y").alias("label")))
+        rows = VectorIndexer(inputCol="raw", outputCol="features", maxCategories=3).fit(rows).transform(rows).select(F.col("id").alias("row_id"), "label", "features")
+    estimator = {
+        "tree": models.DecisionTreeRegressor(maxDepth=4), "categories": models.DecisionTreeRegressor(maxDepth=4), "forest": models.RandomForestRegressor(numTrees=5, maxDepth=4, seed=1),
+        "boosted": models.GBTRegressor(maxIter=4, maxDepth=3, seed=1), "classes": models.RandomForestClassifier(numTrees=5, maxDepth=4, seed=1),
+    }[name]
+    model = estimator.fit(rows)
+    shap, base = explain.tree_shap(rows, model, columns, positive)
+    made = model.transform(rows)
+    want = made.select("row_id", "features", (vector_to_array("probability")[1] if positive else F.col("prediction")).alias("p")).collect()
+    got = {(r["row_id"], r["name"]): r["shap"] for r in shap.collect()}
+    assert all(base + sum(got[r["row_id"], c] for c in columns) == pytest.approx(r["p"], abs=1e-9) for r in want)
+    found = explain.leaves(spark, model, positive)
+
+    def value(x, known):
+        total = 0.0
+        for leaf in found:
+            part = leaf.value
+            for n, c in enumerate(leaf.columns.tolist()):
+                fits = x[c] in leaf.among[n].tolist() if n in leaf.among else leaf.low[n] < x[c] <= leaf.high[n]
+                part *= float(fits) if c in known else leaf.shares[n]
+            total += part
+        return total
+
+    for r in want[:10]:
+        assert [got[r["row_id"], c] for c in columns] == pytest.approx(subset_values(r["features"].toArray(), value, 4), abs=1e-9)
+
+
+def test_kernel_shap_equals_subsets(shaped):
+    df, columns = shaped
+    rows, _ = models.prepare(df, columns, "z", "id")
+    model = models.estimators("classification")["decision_tree"].fit(rows)
+    against = explain.background(rows, 4)
+    some = rows.where("row_id < 6")
+    got = {(r["row_id"], r["name"]): r["shap"] for r in explain.kernel_shap(some, model, columns, against).collect()}
+    xs = {r["row_id"]: r["features"].toArray() for r in some.collect()}
+    sets = [set(s) for n in range(5) for s in itertools.combinations(range(4), n)]
+    mixed = [(i * 100 + n, k, w, Vectors.dense([x[c] if c in s else b[c] for c in range(4)])) for i, x in xs.items() for n, s in enumerate(sets) for k, (w, b) in enumerate(against)]
+    worth: dict = {}
+    for r in model.transform(df.sparkSession.createDataFrame(mixed, ["key", "k", "w", "features"])).collect():
+        worth[r["key"]] = worth.get(r["key"], 0.0) + r["w"] * float(r["probability"][1])
+    for i, x in xs.items():
+        want = subset_values(x, lambda x, s, i=i: worth[i * 100 + sets.index(s)], 4)
+        assert [got[i, c] for c in columns] == pytest.approx(want, abs=1e-9)
+
+
+def test_kernel_shap_draws_sets_of_many_columns(spark):
+    """Beyond eight columns sets are drawn; a linear model's values are still exact."""
+    columns = [f"x{i}" for i in range(11)]
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, *(rng.gauss(0, 1) for _ in columns)) for i in range(60)], "id long, " + ", ".join(f"{c} double" for c in columns))
+    rows, _ = models.prepare(df.withColumn("y", sum(((i + 1.0) * F.col(c) for i, c in enumerate(columns)), F.lit(0.0))), columns, "y", "id")
+    against = explain.background(rows, 1)
+    x = rows.where("row_id = 3").first()["features"].toArray()
+    got = {r["name"]: r["shap"] for r in explain.kernel_shap(rows.where("row_id = 3"), models.LinearRegression().fit(rows), columns, against, drawn=400).collect()}
+    assert [got[c] for c in columns] == pytest.approx([(i + 1) * (x[i] - against[0][1][i]) for i in range(11)], abs=1e-6)
