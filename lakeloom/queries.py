@@ -873,3 +873,15 @@ def q106(t):
     rows, _ = models.prepare(df, ["s_acctbal", "s_nationkey"], "y", "s_suppkey")
     shap = explain.kernel_shap(rows, models.LinearRegression().fit(rows), ["s_acctbal", "s_nationkey"], explain.background(rows, 1))
     return shap.groupBy(F.col("row_id").alias("s_suppkey")).agg(*(r(F.max(F.when(F.col("name") == c, F.col("shap"))), 3).alias(c) for c in ("s_acctbal", "s_nationkey")))
+
+
+_PSI = "(ln({n} + 10.0) - 1 / (2 * ({n} + 10.0)) - 1 / (12 * pow({n} + 10.0, 2)) + 1 / (120 * pow({n} + 10.0, 4)) - 1 / (252 * pow({n} + 10.0, 6)) - list_sum(list_transform(range(10), lambda i: 1.0 / ({n} + i))))"
+
+
+@query("q107_neighbour_information", f"""WITH d AS (SELECT c_custkey AS id, name, x, t, count(*) OVER (PARTITION BY name, t) AS n FROM (SELECT c_custkey, c_mktsegment AS t, 'c_acctbal' AS name, CAST(c_acctbal AS DOUBLE) AS x FROM customer UNION ALL SELECT c_custkey, c_mktsegment, 'c_nationkey', CAST(c_nationkey AS DOUBLE) FROM customer)),
+    near AS (SELECT a.name, a.id, a.x, a.n, abs(a.x - b.x) AS far, row_number() OVER (PARTITION BY a.name, a.id ORDER BY abs(a.x - b.x)) AS k FROM d a JOIN d b ON a.name = b.name AND a.t = b.t AND a.id <> b.id),
+    own AS (SELECT * FROM near WHERE k = least(3, n - 1)),
+    m AS (SELECT own.name, own.id, own.n, own.k, count(*) AS m FROM own JOIN d ON d.name = own.name AND (abs(d.x - own.x) < own.far OR d.x = own.x) GROUP BY 1, 2, 3, 4)
+    SELECT name, round(greatest(0, {_PSI.format(n="count(*)")} + avg({_PSI.format(n="k")}) - avg({_PSI.format(n="n")}) - avg({_PSI.format(n="m")})), 6) AS mi FROM m GROUP BY 1""")
+def q107(t):
+    return rounded(features.neighbour_information(t("customer"), ["c_acctbal", "c_nationkey"], "c_mktsegment"), "mi", places=6)

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.ml.feature import VectorIndexer
@@ -367,3 +368,30 @@ def test_kernel_shap_draws_sets_of_many_columns(spark):
     x = rows.where("row_id = 3").first()["features"].toArray()
     got = {r["name"]: r["shap"] for r in explain.kernel_shap(rows.where("row_id = 3"), models.LinearRegression().fit(rows), columns, against, drawn=400).collect()}
     assert [got[c] for c in columns] == pytest.approx([(i + 1) * (x[i] - against[0][1][i]) for i in range(11)], abs=1e-6)
+
+
+def plain_information(rows, k=3):
+    """(value, class) pairs by all pairs."""
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n))
+    size = Counter(c for _, c in rows)
+    rows = [(i, x, c) for i, (x, c) in enumerate(rows) if size[c] > 1]
+    total = 0.0
+    for i, x, c in rows:
+        own = min(k, size[c] - 1)
+        far = sorted(abs(x - y) for j, y, d in rows if d == c and j != i)[own - 1]
+        nearer = sum(abs(x - y) < far or x == y for _, y, _ in rows)
+        total += psi(own) - psi(size[c]) - psi(nearer)
+    return max(0.0, psi(len(rows)) + total / len(rows))
+
+
+@pytest.mark.parametrize("stretch", [50_000, 7])
+def test_neighbour_information(spark, monkeypatch, stretch):
+    """Ties, a class of one, a class of two, gaps, and classes that run over many stretches."""
+    rng = random.Random(9)
+    rows = [(rng.gauss(2.0 * (i % 3 == 0), 1), float(rng.randint(0, 4)), "a" if i % 3 == 0 else "b") for i in range(90)] + [(0.5, 1.0, "c"), (0.1, 2.0, "d"), (9.0, 2.0, "d"), (None, 3.0, "a"), (float("nan"), 3.0, None)]
+    monkeypatch.setattr(features, "STRETCH", stretch)
+    df = spark.createDataFrame(rows, "x double, p double, t string").repartition(5)
+    got = {r["name"]: r["mi"] for r in features.neighbour_information(df, ["x", "p"], "t").collect()}
+    assert got["x"] == pytest.approx(plain_information([(x, t) for x, _, t in rows if t and x is not None]), abs=1e-9)
+    assert got["p"] == pytest.approx(plain_information([(p, t) for _, p, t in rows if t]), abs=1e-9)
+    assert features.select_top(df, ["x", "p"], "t", 1) == ["x"]
