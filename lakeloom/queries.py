@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as E
 from .functions import questions
-from .operators import charts, cleaning, explain, features, insights, meta_features, metrics, models, profile, scoring
+from .operators import answers, charts, cleaning, explain, features, insights, meta_features, metrics, models, profile, scoring
 from .operators.charts import ChartSpec
 from .sources import files
 from .streaming import windows
@@ -885,3 +885,26 @@ _PSI = "(ln({n} + 10.0) - 1 / (2 * ({n} + 10.0)) - 1 / (12 * pow({n} + 10.0, 2))
     SELECT name, round(greatest(0, {_PSI.format(n="count(*)")} + avg({_PSI.format(n="k")}) - avg({_PSI.format(n="n")}) - avg({_PSI.format(n="m")})), 6) AS mi FROM m GROUP BY 1""")
 def q107(t):
     return rounded(features.neighbour_information(t("customer"), ["c_acctbal", "c_nationkey"], "c_mktsegment"), "mi", places=6)
+
+
+_ASKED = ("show monthly price trend", "average price by priority", "top 2 status by price", "how many records per status", "pie chart of priority", "distribution of price", "maximum price by status", "quarterly price trend by status", "median price by status", "what is the total price", "count of status", "how many rows")
+
+
+@query("q108_answers", """WITH d AS (SELECT CAST(o_totalprice AS DOUBLE) AS price, o_orderstatus AS status, o_orderpriority AS priority, o_orderdate AS date FROM orders),
+    e AS (SELECT min(price) AS lo, max(price) AS hi FROM d),
+    a AS (SELECT 1 AS id, strftime(date, '%Y-%m') AS key, NULL AS color, sum(price) AS value, NULL AS o FROM d GROUP BY 2
+      UNION ALL SELECT 2, priority, NULL, avg(price), -avg(price) FROM d GROUP BY 2
+      UNION ALL SELECT 3, status, NULL, sum(price), -sum(price) FROM d GROUP BY 2
+      UNION ALL SELECT 5, priority, NULL, count(*), NULL FROM d GROUP BY 2
+      UNION ALL SELECT 6, lpad(CAST(CAST(least(floor((price - lo) / (hi - lo) * 30), 29) AS INT) AS VARCHAR), 2, '0'), NULL, count(*), NULL FROM d, e GROUP BY 2
+      UNION ALL SELECT 7, status, NULL, max(price), -max(price) FROM d GROUP BY 2
+      UNION ALL SELECT 8, year(date) || 'Q' || quarter(date), status, sum(price), NULL FROM d GROUP BY 2, 3
+      UNION ALL SELECT 9, status, NULL, median(price), -median(price) FROM d GROUP BY 2
+      UNION ALL SELECT 10, '', NULL, sum(price), NULL FROM d UNION ALL SELECT 11, '', NULL, count(DISTINCT status), NULL FROM d UNION ALL SELECT 4, '', NULL, count(*), NULL FROM d UNION ALL SELECT 12, '', NULL, count(*), NULL FROM d),
+    p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o, key, color) AS place FROM a)
+    SELECT id, CAST(place AS INT) AS place, key, color, round(value, 2) AS value FROM p WHERE id <> 3 OR place <= 2""")
+def q108(t):
+    df = t("orders").select(F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("date"))
+    asked = df.sparkSession.createDataFrame(list(enumerate(_ASKED, 1)), "id int, question string")
+    compiled = questions.compile_requests(asked, "question", ["price"], ["status", "priority"], ["date"], direct=True)
+    return rounded(answers.answer(df, compiled), "value", places=2)
