@@ -78,12 +78,16 @@ def compile_requests(df, text_col: str, numeric: list[str], categories: list[str
     its scalar; else both become charts. A null question is an empty one.
     """
     names = ("request", "chart_type", "x", "y", "color", "agg", "top_n", "granularity", "sort_by", "reply")
-    low = F.lower(F.trim(F.coalesce(F.col(text_col), F.lit(""))))
-    num, cat, dt = mentioned(low, numeric), mentioned(low, categories), mentioned(low, times)
-    kind = intent(low, num, cat, dt, bool(times))
-    text = F.lit(None).cast("string")
-    none, whole = text, F.lit(None).cast("int")
-    agg, top, every = first_word(low, words.AGGREGATES), top_n(low), first_word(low, words.GRANULARITIES)
+
+    def step(frame, **made):
+        """Columns that later steps use by name: behind a generator, so that Spark does not write each out wherever it is used."""
+        return frame.select("*", F.inline(F.array(F.struct(*(c.alias(f"__{n}") for n, c in made.items())))))
+
+    low, num, cat, dt, kind, agg, top, every = (F.col(f"__{n}") for n in ("low", "num", "cat", "dt", "kind", "agg", "top", "every"))
+    made = step(df, low=F.lower(F.trim(F.coalesce(F.col(text_col), F.lit("")))))
+    made = step(made, num=mentioned(low, numeric), cat=mentioned(low, categories), dt=mentioned(low, times), agg=first_word(low, words.AGGREGATES), top=top_n(low), every=first_word(low, words.GRANULARITIES))
+    made = step(made, kind=intent(low, num, cat, dt, bool(times)))
+    none, whole = F.lit(None).cast("string"), F.lit(None).cast("int")
     business = next((c for w in words.BUSINESS_NUMERIC for c in numeric if w in c.lower()), numeric[0] if numeric else None)
     first = lambda found, default: F.coalesce(F.get(found, F.lit(0)), F.lit(default).cast("string"))
     measure, group, time = first(num, business), first(cat, categories[0] if categories else None), first(dt, times[0] if times else None)
@@ -119,6 +123,6 @@ def compile_requests(df, text_col: str, numeric: list[str], categories: list[str
         asks = E.any_of(low, words.ROW_QUESTIONS)
         out = out.when(asks & E.any_of(low, words.ROW_WORDS), other("rows")).when(asks & (F.size(cat) > 0), other("distinct", x=group))
         out = out.when(E.any_of(low, words.STAT_QUESTIONS) & (F.size(num) > 0) & (F.size(cat) == 0) & (F.size(dt) == 0), other("stat", x=measure, agg=summed))
-    for key, made in (("time_series", trend), ("pie", pie), ("histogram", histogram), ("scatter", scatter), ("heatmap", heatmap), ("count", count), ("stat", stat)):
-        out = out.when(kind == key, made)
-    return df.withColumn("__request", out.otherwise(bar)).select(*df.columns, *(F.col(f"__request.{n}").alias(n) for n in names))
+    for key, request in (("time_series", trend), ("pie", pie), ("histogram", histogram), ("scatter", scatter), ("heatmap", heatmap), ("count", count), ("stat", stat)):
+        out = out.when(kind == key, request)
+    return made.select(*(F.col(c) for c in df.columns), F.inline(F.array(out.otherwise(bar))))
