@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from .ordered import with_position
 
 #: What is tried where no policy has an opinion.
 DEFAULT = {"classification": ("random_forest", "gradient_boosting", "logistic"), "regression": ("random_forest", "gradient_boosting", "ridge")}
@@ -59,6 +60,60 @@ def with_folds(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.xxhash64("row_id", F.lit(42)), F.lit(k)).cast("int"))
 
 
+#: Bits of a hash that one pass of ``stratified_split`` decides, and classes at most.
+PASS_BITS, MOST_CLASSES = 12, 1000
+
+
+def quotas(counts: dict, share: tuple[int, int]) -> dict:
+    """How many rows of each class go to the test set: its share rounded down, and one more for the largest remainders until the whole is the share rounded up."""
+    taken = {c: n * share[0] // share[1] for c, n in counts.items()}
+    left = -(-sum(counts.values()) * share[0] // share[1]) - sum(taken.values())
+    for c in sorted(counts, key=lambda c: (-(counts[c] * share[0] % share[1]), c))[:left]:
+        taken[c] += 1
+    return taken
+
+
+def stratified_split(rows: DataFrame, label: str = "label", row_id: str = "row_id", share: tuple[int, int] = (1, 5), seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows; each class gives its exact quota (see ``quotas``) to the test set, those with the smallest hashes.
+
+    The hash that ends a class's quota is found by counting: each pass counts the hashes under the prefix found so far by
+    their next bits, so rows are neither sorted nor moved and no class is one task's. Rows that share the last hash (repeated ids)
+    are numbered by a sort of them alone. Rows without a label stay in training; the same rows and seed give the same split.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn("__h", F.shiftrightunsigned(F.xxhash64(row_id, F.lit(seed)), 3)).withColumn("__c", F.col(label).cast("string"))  # 61 bits
+    counts = {r["__c"]: r["n"] for r in rows.where("__c is not null").groupBy("__c").agg(F.count("*").alias("n")).limit(MOST_CLASSES + 1).collect()}
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"{label!r} has more than {MOST_CLASSES} classes")
+    open_, found, bits = {c: (0, q) for c, q in quotas(counts, share).items()}, {}, 61  # class: prefix, rows still to take under it
+    for c in [c for c, (_, q) in open_.items() if not q]:
+        found[c] = (0, 0)
+        del open_[c]
+    while open_ and bits:
+        width = min(PASS_BITS, bits)
+        state = F.broadcast(spark.createDataFrame([(c, p, q) for c, (p, q) in open_.items()], "__c string, p long, q long"))
+        inside = rows.select("__c", "__h").join(state, "__c").where(F.shiftright("__h", bits) == F.col("p"))
+        slots = inside.groupBy("__c", "p", "q", F.shiftright("__h", bits - width).alias("slot")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("__c").orderBy("slot"))  # 4096 rows a class at most
+        bits -= width
+        for r in slots.withColumn("upto", upto).where((F.col("upto") >= F.col("q")) & (F.col("upto") - F.col("n") < F.col("q"))).collect():  # a row a class
+            if r["upto"] == r["q"]:
+                found[r["__c"]] = ((r["slot"] + 1) << bits, 0)
+                del open_[r["__c"]]
+            else:
+                open_[r["__c"]] = (r["slot"], r["q"] - (r["upto"] - r["n"]))
+    found |= open_  # the whole hash, and how many of the rows that share it
+    ends = F.broadcast(spark.createDataFrame([(c, h, n) for c, (h, n) in found.items()], "__c string, e long, more long"))
+    marked = rows.join(ends, "__c", "left")
+    clear, names = marked.where("__h <> e or more = 0 or e is null"), [c for c in rows.columns if not c.startswith("__")]
+    out = clear.select(*names, F.coalesce(F.col("__h") < F.col("e"), F.lit(False)).alias("__t"))
+    if any(n for _, n in found.values()):
+        ties = with_position(marked.where("__h = e and more > 0"), "__c", name="__p")
+        first = F.broadcast(ties.groupBy("__c").agg(F.min("__p").alias("__f")))
+        out = out.union(ties.join(first, "__c").select(*names, (F.col("__p") - F.col("__f") < F.col("more")).alias("__t")))
+    return out.where("not __t").drop("__t"), out.where("__t").drop("__t")
+
+
 def split(rows: DataFrame, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """Training and test rows, by the hash of the row id; every class keeps its share but for chance."""
     place = F.pmod(F.xxhash64("row_id", F.lit(7)), F.lit(10_000))

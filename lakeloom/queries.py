@@ -908,3 +908,11 @@ def q108(t):
     asked = df.sparkSession.createDataFrame(list(enumerate(_ASKED, 1)), "id int, question string")
     compiled = questions.compile_requests(asked, "question", ["price"], ["status", "priority"], ["date"], direct=True)
     return rounded(answers.answer(df, compiled), "value", places=2)
+
+
+@query("q109_stratified_split", """WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT *, n // 7 AS whole, row_number() OVER (ORDER BY n % 7 DESC, label) AS place FROM c)
+    SELECT label, n - t AS train, t AS test FROM (SELECT label, n, whole + CAST(place <= (SELECT CAST(ceil(sum(n) / 7) AS BIGINT) - sum(whole) FROM f) AS INT) AS t FROM f)""")
+def q109(t):
+    train, test = models.stratified_split(t("orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("label")), share=(1, 7))
+    both = train.withColumn("t", F.lit(0)).union(test.withColumn("t", F.lit(1)))
+    return both.groupBy("label").agg(F.count_if(F.col("t") == 0).alias("train"), F.count_if(F.col("t") == 1).alias("test"))

@@ -395,3 +395,16 @@ def test_neighbour_information(spark, monkeypatch, stretch):
     assert got["x"] == pytest.approx(plain_information([(x, t) for x, _, t in rows if t and x is not None]), abs=1e-9)
     assert got["p"] == pytest.approx(plain_information([(p, t) for _, p, t in rows if t]), abs=1e-9)
     assert features.select_top(df, ["x", "p"], "t", 1) == ["x"]
+
+
+def test_stratified_split(spark):
+    """Exact quotas, also of small classes and of rows that share an id; no row is lost or in both sets."""
+    rows = [(i, ("a", "b", "c")[0 if i % 10 < 7 else 1 if i % 10 < 9 else 2], i) for i in range(500)] + [(7000, "d", 10_000 + i) for i in range(30)] + [(9000, "e", 20_000), (9001, None, 20_001)]
+    df = spark.createDataFrame(rows, "row_id long, label string, v long")
+    train, test = models.stratified_split(df, share=(1, 4))
+    got = {r["label"]: r["n"] for r in test.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = Counter(c for _, c, _ in rows if c)
+    assert got == {c: q for c, q in models.quotas(counts, (1, 4)).items() if q} and sum(got.values()) == -(-531 // 4)
+    assert sorted(r["v"] for r in train.union(test).collect()) == sorted(v for _, _, v in rows) and test.columns == df.columns
+    assert sorted(r["row_id"] for r in test.where("label <> 'd'").collect()) == sorted(r["row_id"] for r in models.stratified_split(df.repartition(5), share=(1, 4))[1].where("label <> 'd'").collect())
+    assert models.stratified_split(df.limit(0))[1].count() == 0
