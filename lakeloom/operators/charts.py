@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..functions import names
 
 AGGREGATES = {
     "sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": lambda c: E.quantile(c, 0.5),
@@ -231,10 +232,12 @@ def legal_types(x_kind: str, y_kind: str | None) -> tuple[str, ...]:
 
 
 def build(df: DataFrame, spec: ChartSpec) -> DataFrame:
-    """The data of a chart."""
-    missing = [c for c in (spec.x, spec.y, spec.color, spec.filter_col) if c and c not in df.columns]
+    """The data of a chart; columns may be misspelt a little (see ``names.best_name``)."""
+    meant = {field: names.best_name(c, df.columns) for field in ("x", "y", "color", "filter_col") if (c := getattr(spec, field))}
+    missing = [field for field, c in meant.items() if c is None]
     if missing:
-        raise ValueError(f"no column {missing[0]!r}")
+        raise ValueError(f"no column {getattr(spec, missing[0])!r}")
+    spec = dataclasses.replace(spec, **meant)
     kind = spec.chart_type
     if kind in ("time_series", "line", "area"):
         return time_series(df, spec)

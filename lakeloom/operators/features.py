@@ -45,21 +45,26 @@ def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 1.
     return joined.withColumn(f"{column}_target", value).drop("__key", "__mean", "__n", "__prior")
 
 
-def scale(df: DataFrame, columns: list[str], method: str | None = None) -> tuple[DataFrame, str]:
-    """Columns as robust scores (median and IQR) where mean abs(skewness) is over 1, else standard scores (population)."""
+def scalers(df: DataFrame, columns: list[str], method: str | None = None) -> tuple[dict[str, tuple[float, float]], str]:
+    """Middle and width of each column that has a value: median and IQR where mean abs(skewness) is over 1, else mean and deviation (population)."""
     d = {c: F.col(c).cast("double") for c in columns}
     row = df.agg(*(x for i, c in enumerate(columns) for x in (E.skew(d[c]).alias(f"s{i}"), F.avg(d[c]).alias(f"m{i}"), F.stddev_pop(d[c]).alias(f"d{i}"), E.quantile(d[c], 0.25, 0.5, 0.75).alias(f"q{i}")))).first()
     if method is None:
         skews = [abs(row[f"s{i}"]) for i in range(len(columns)) if row[f"s{i}"] is not None]
         method = "robust" if skews and sum(skews) / len(skews) > 1 else "standard"
-    new: dict[str, Column] = {}
+    found: dict[str, tuple[float, float]] = {}
     for i, c in enumerate(columns):
         q = row[f"q{i}"]
-        if row[f"m{i}"] is None:
-            continue
-        middle, width = (q[1], q[2] - q[0]) if method == "robust" else (row[f"m{i}"], row[f"d{i}"])
-        new[c] = (d[c] - F.lit(middle)) / F.lit(width or 1.0)
-    return df.withColumns(new), method
+        if row[f"m{i}"] is not None:
+            middle, width = (q[1], q[2] - q[0]) if method == "robust" else (row[f"m{i}"], row[f"d{i}"])
+            found[c] = (middle, width or 1.0)
+    return found, method
+
+
+def scale(df: DataFrame, columns: list[str], method: str | None = None) -> tuple[DataFrame, str]:
+    """Columns as robust scores (median and IQR) where mean abs(skewness) is over 1, else standard scores (population)."""
+    found, method = scalers(df, columns, method)
+    return df.withColumns({c: (F.col(c).cast("double") - F.lit(middle)) / F.lit(width) for c, (middle, width) in found.items()}), method
 
 
 def align(row: DataFrame, columns: list[str]) -> DataFrame:

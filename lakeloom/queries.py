@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as E
-from .functions import questions
-from .operators import answers, charts, cleaning, explain, features, insights, meta_features, metrics, models, profile, scoring
+from .functions import names, questions
+from .operators import answers, charts, cleaning, encoders, explain, features, insights, meta_features, metrics, models, profile, scoring
 from .operators.charts import ChartSpec
+from .operators.ordered import shared_folder
 from .sources import files
 from .streaming import windows
 
@@ -916,3 +919,26 @@ def q109(t):
     train, test = models.stratified_split(t("orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("label")), share=(1, 7))
     both = train.withColumn("t", F.lit(0)).union(test.withColumn("t", F.lit(1)))
     return both.groupBy("label").agg(F.count_if(F.col("t") == 0).alias("train"), F.count_if(F.col("t") == 1).alias("test"))
+
+
+@query("q110_encode_as_trained", """WITH s AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) - 1 AS code FROM (SELECT DISTINCT o_orderstatus FROM orders)),
+    p AS (SELECT o_orderpriority, avg(o_totalprice) AS m, 1 / (1 + exp(-(count(*) - 1.0))) AS w FROM orders GROUP BY 1), g AS (SELECT avg(o_totalprice) AS a, stddev_pop(o_totalprice) AS d FROM orders)
+    SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE code END AS DOUBLE) AS o_orderstatus, round(CASE WHEN o_orderkey % 7 = 0 THEN a ELSE w * m + (1 - w) * a END, 2) AS o_orderpriority_target, round((o_totalprice - a) / d, 6) AS o_totalprice
+    FROM orders JOIN s USING (o_orderstatus) JOIN p USING (o_orderpriority), g""")
+def q110(t):
+    df = t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    fitted = encoders.RowEncoder(methods=json.dumps({"o_orderstatus": "label", "o_orderpriority": "target"}), columns=["o_totalprice"], scaled=["o_totalprice"], target="o_totalprice", method="standard").fit(df)
+    path = f"{shared_folder(df.sparkSession)}/encoder-{uuid.uuid4().hex}"
+    fitted.save(path)
+    unseen = lambda c, n: F.when(F.col("o_orderkey") % n == 0, "unseen").otherwise(F.col(c))
+    new = df.withColumns({"o_orderstatus": unseen("o_orderstatus", 10), "o_orderpriority": unseen("o_orderpriority", 7)})
+    out = encoders.RowEncoderModel.load(path).transform(new).drop("o_orderpriority")
+    return rounded(rounded(out, "o_orderpriority_target", places=2), "o_totalprice", places=6)
+
+
+@query("q111_resolve_names")
+def q111(t):
+    """Names of nations with a letter lost, as columns of a table of all of them."""
+    known = sorted(x["n_name"] for x in t("nation").select("n_name").limit(1000).collect())
+    written = t("nation").select(F.concat(F.lower(F.substring("n_name", 1, 3)), F.substring("n_name", 5, 100)).alias("written"))
+    return written.withColumn("resolved", names.resolved(F.col("written"), known))

@@ -11,7 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from lakeloom.operators import charts, cleaning, explain, features, insights, meta_features, metrics, models, neighbours, ordered, profile, scoring
+from lakeloom.functions import names
+from lakeloom.operators import charts, cleaning, encoders, explain, features, insights, meta_features, metrics, models, neighbours, ordered, profile, scoring
 from lakeloom.plans import stages
 from lakeloom.sources import files, synthetic
 from lakeloom.streaming import windows
@@ -408,3 +409,32 @@ def test_stratified_split(spark):
     assert sorted(r["v"] for r in train.union(test).collect()) == sorted(v for _, _, v in rows) and test.columns == df.columns
     assert sorted(r["row_id"] for r in test.where("label <> 'd'").collect()) == sorted(r["row_id"] for r in models.stratified_split(df.repartition(5), share=(1, 4))[1].where("label <> 'd'").collect())
     assert models.stratified_split(df.limit(0))[1].count() == 0
+
+
+def test_encoder_is_kept(spark, tmp_path):
+    """A saved encoder gives the training encoding again; unknown, null and missing values are defined."""
+    df = spark.createDataFrame([(1, "b", "x", "p", 1.0), (2, "a", "y", "p", 2.0), (3, "c", "z", "q", 6.0), (4, "a", "x", "q", 7.0), (5, None, None, None, 4.0)], "id int, l string, o string, t string, v double")
+    made = encoders.RowEncoder(methods='{"l": "label", "o": "onehot", "t": "target"}', columns=["v"], scaled=["v", "l"], target="v", method="standard").fit(df)
+    made.save(str(tmp_path / "e"))
+    again = encoders.RowEncoderModel.load(str(tmp_path / "e"))
+    assert again.feature_names == ["v", "l", "o_y", "o_z", "t_target"]
+    assert sorted(map(tuple, again.transform(df).collect())) == sorted(map(tuple, made.transform(df).collect()))
+    rows = {r["id"]: r for r in again.transform(df).collect()}
+    want = {r["id"]: r for r in features.target_encode(df, "t", "v").collect()}
+    assert all(rows[i]["t_target"] == pytest.approx(want[i]["t_target"]) for i in range(1, 6))
+    assert [(rows[i]["o_y"], rows[i]["o_z"]) for i in range(1, 6)] == [(0, 0), (1, 0), (0, 1), (0, 0), (0, 0)]
+    new = again.transform(spark.createDataFrame([("zzz", "zzz", "zzz")], "l string, o string, t string")).first()
+    assert (new["l"], new["o_y"], new["t_target"]) == (rows[2]["l"], 0.0, pytest.approx(4.0)) and new["v"] == pytest.approx(-4 / 2.2803508501982757)
+
+
+def test_names_are_resolved(spark):
+    columns = ["Order Date", "sales_amount", "region", "profit"]
+    written = ["Order Date", "order date", "ORDER-DATE", "sales amount", "sale_amount", "regoin", "profits", "zzz", "", None]
+    want = ["Order Date", "Order Date", "Order Date", "sales_amount", "sales_amount", "region", "profit", None, None, None]
+    assert [names.best_name(w, columns) for w in written] == want
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(written)], "id int, name string")
+    assert [r["r"] for r in df.select("id", names.resolved(F.col("name"), columns).alias("r")).orderBy("id").collect()] == want
+    table = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "region string, profit double")
+    assert charts.build(table, charts.ChartSpec("bar", "regoin", "Profits")).count() == 2
+    with pytest.raises(ValueError, match="no column"):
+        charts.build(table, charts.ChartSpec("bar", "nothing", "profit"))
