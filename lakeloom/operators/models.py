@@ -1,7 +1,6 @@
 """Training, choosing, combining and explaining models with Spark's own estimators.
 
-Where a family is missing there, a near one stands in: extra trees and boosted variants by random forest and gradient
-boosting, kernel machines by linear ones.
+Extremely randomised trees and kernel machines are in ``learners``; outside boosting libraries have gradient boosting as a stand-in.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from .learners import ExtraTrees, kernel_machine
 from .ordered import with_position
 
 #: What is tried where no policy has an opinion.
@@ -32,12 +32,13 @@ def estimators(task: str, classes: int = 2, seed: int = 42) -> dict[str, object]
         svc = LinearSVC(maxIter=50)
         return {
             "logistic": LogisticRegression(maxIter=100), "naive_bayes": NaiveBayes(modelType="gaussian"), "decision_tree": DecisionTreeClassifier(maxDepth=5, seed=seed),
-            "random_forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed), "extra_trees": RandomForestClassifier(numTrees=50, maxDepth=8, featureSubsetStrategy="onethird", seed=seed),
-            "gradient_boosting": boosted if classes <= 2 else OneVsRest(classifier=boosted), "svc": svc if classes <= 2 else OneVsRest(classifier=svc),
+            "random_forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed), "extra_trees": ExtraTrees(numTrees=50, maxDepth=8, classes=max(2, classes), seed=seed),
+            "gradient_boosting": boosted if classes <= 2 else OneVsRest(classifier=boosted), "svc": svc if classes <= 2 else OneVsRest(classifier=svc), "kernel_svc": kernel_machine(task, classes, seed=seed),
         }
     return {
         "linear": LinearRegression(), "ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0), "lasso": LinearRegression(regParam=0.1, elasticNetParam=1.0), "elastic_net": LinearRegression(regParam=0.1, elasticNetParam=0.5),
         "decision_tree": DecisionTreeRegressor(maxDepth=5, seed=seed), "random_forest": RandomForestRegressor(numTrees=50, maxDepth=8, seed=seed), "gradient_boosting": GBTRegressor(maxIter=20, maxDepth=3, seed=seed),
+        "extra_trees": ExtraTrees(numTrees=50, maxDepth=8, seed=seed), "kernel_ridge": kernel_machine(task, seed=seed),
     }
 
 

@@ -1,6 +1,7 @@
 """Operators on small literal tables: the fixture with injected faults, edge cases, and models that must learn."""
 
 import itertools
+import json
 import math
 import random
 from collections import Counter
@@ -12,7 +13,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lakeloom.functions import names
-from lakeloom.operators import charts, cleaning, encoders, explain, features, insights, meta_features, metrics, models, neighbours, ordered, profile, scoring
+from lakeloom.operators import charts, cleaning, encoders, explain, features, insights, learners, meta_features, metrics, models, neighbours, ordered, profile, scoring
 from lakeloom.plans import stages
 from lakeloom.sources import files, synthetic
 from lakeloom.streaming import windows
@@ -438,3 +439,36 @@ def test_names_are_resolved(spark):
     assert charts.build(table, charts.ChartSpec("bar", "regoin", "Profits")).count() == 2
     with pytest.raises(ValueError, match="no column"):
         charts.build(table, charts.ChartSpec("bar", "nothing", "profit"))
+
+
+def test_extra_trees(spark, tmp_path):
+    """One drawn split by hand, a forest near the other forest's held-out score, seeded, and the same after a reload."""
+    df = spark.createDataFrame([(i, float(i), 1.0 if i >= 50 else 0.0) for i in range(100)], "id long, x double, y double")
+    rows, _ = models.prepare(df, ["x"], "y", "id")
+    stump = learners.ExtraTrees(numTrees=1, maxDepth=1, seed=3).fit(rows)
+    at = json.loads(stump.getOrDefault(stump.state))["trees"][0]["at"][0]
+    left, right = [float(i >= 50) for i in range(100) if i <= at], [float(i >= 50) for i in range(100) if i > at]
+    got = {r["row_id"]: r["prediction"] for r in stump.transform(rows).collect()}
+    assert 0 < at < 99 and got[0] == pytest.approx(sum(left) / len(left)) and got[99] == pytest.approx(sum(right) / len(right))
+    df = synthetic.xor(spark, 600, seed=4)
+    rows, _ = models.prepare(df, ["x0", "x1"], "target", "id")
+    train, test = models.stratified_split(rows)
+    model = learners.ExtraTrees(numTrees=30, maxDepth=10, classes=2).fit(train)  # drawn splits need more levels
+    forest = models.RandomForestClassifier(numTrees=15, maxDepth=6, seed=1).fit(train)
+    own = models.score(model.transform(test), "classification")
+    assert own > models.score(forest.transform(test), "classification") - 0.08 and own > 0.85
+    assert learners.ExtraTrees(numTrees=30, maxDepth=10, classes=2).fit(train).getOrDefault("state") == model.getOrDefault("state")
+    model.save(str(tmp_path / "m"))
+    assert models.score(learners.ExtraTreesModel.load(str(tmp_path / "m")).transform(test), "classification") == own
+
+
+@pytest.mark.parametrize("shape", ["circles", "xor"])
+def test_kernel_machine_bends(spark, shape):
+    """It separates what a linear machine cannot."""
+    df = getattr(synthetic, shape)(spark, 400, seed=2)
+    rows, _ = models.prepare(df, ["x0", "x1"], "target", "id")
+    rows = rows.cache()
+    train, test = models.stratified_split(rows)
+    bent = models.score(learners.kernel_machine("classification", waves=100, gamma=1.0).fit(train).transform(test), "classification")
+    straight = models.score(models.LinearSVC(maxIter=20).fit(train).transform(test), "classification")
+    assert bent > 0.9 and straight < 0.75
