@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from .ordered import running_sums
 
 
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -41,8 +42,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     Running counts are taken over the distinct scores, so the ordered pass sees values, not rows.
     """
     at = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    w = Window.partitionBy(F.lit(1)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = at.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    below = running_sums(at, ["s"], upto=F.col("q")).withColumn("below", F.col("upto") - F.col("q"))
     return below.agg(E.ratio(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p").cast("double") * F.sum("q")).alias("auc"))
 
 
@@ -118,8 +118,7 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Signed-rank sum of positive differences, number of differences, and z by the normal approximation; mid-ranks for ties."""
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d is not null and d <> 0")
     sizes = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("pos"))
-    w = Window.partitionBy(F.lit(1)).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)  # over distinct sizes
-    mid = sizes.withColumn("mid", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    mid = running_sums(sizes, ["size"], upto=F.col("n")).withColumn("mid", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     n = F.sum("n").cast("double")
     out = mid.agg(F.coalesce(F.sum(F.col("mid") * F.col("pos")), F.lit(0.0)).alias("w_plus"), F.coalesce(n, F.lit(0.0)).alias("n"), (n * (n + 1) * (2 * n + 1) / 24 - F.sum(F.pow("n", F.lit(3)) - F.col("n")) / 48).alias("v"))
     return out.select("w_plus", "n", E.ratio(F.col("w_plus") - F.col("n") * (F.col("n") + 1) / 4, F.sqrt("v")).alias("z"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions import words
 from . import profile
+from .ordered import with_previous
 
 
 def business_scores(df: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def granularity(df: DataFrame, column: str) -> DataFrame:
     Times are counted first, so the ordered pass runs over distinct times; equal times count as gaps of zero.
     """
     times = df.where(F.col(column).isNotNull()).groupBy(F.unix_micros(F.col(column).cast("timestamp")).alias("t")).agg(F.count("*").alias("n"))
-    gaps = times.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy(F.lit(1)).orderBy("t")))
+    gaps = with_previous(times, ["t"], "t", "before").withColumn("gap", F.col("t") - F.col("before"))
     each = gaps.select("gap", F.lit(1).cast("long").alias("w"), "n").where("gap is not null").select("gap", "w").union(times.where("n > 1").select(F.lit(0).cast("long"), F.col("n") - 1))
     weighted = each.groupBy("gap").agg(F.sum("w").alias("w"))
     row = weighted.agg(F.expr("percentile(gap, 0.5, w)").alias("gap"), F.sum("w").alias("n"))
