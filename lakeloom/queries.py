@@ -14,7 +14,7 @@ from .functions import names, questions
 from .operators import answers, charts, cleaning, encoders, explain, features, insights, meta_features, metrics, models, profile, scoring
 from .operators.charts import ChartSpec
 from .operators.ordered import shared_folder
-from .sources import files
+from .sources import cache, files
 from .streaming import windows
 
 _QUERIES: dict[str, tuple[Callable[[Callable[[str], DataFrame]], DataFrame], str | None]] = {}
@@ -942,3 +942,12 @@ def q111(t):
     known = sorted(x["n_name"] for x in t("nation").select("n_name").limit(1000).collect())
     written = t("nation").select(F.concat(F.lower(F.substring("n_name", 1, 3)), F.substring("n_name", 5, 100)).alias("written"))
     return written.withColumn("resolved", names.resolved(F.col("written"), known))
+
+
+@query("q112_fingerprint", """WITH h AS (SELECT sha256(coalesce(length(c_mktsegment) || ':' || c_mktsegment, 'n') || coalesce(length(CAST(c_custkey AS VARCHAR)) || ':' || c_custkey, 'n') || coalesce(length(CAST(c_nationkey AS VARCHAR)) || ':' || c_nationkey, 'n')) AS h FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer)),
+    x AS (SELECT CAST('0x' || substr(h, 1, 15) AS BIGINT) AS low, CAST('0x' || substr(h, 16, 15) AS BIGINT) AS high FROM h)
+    SELECT count(*) AS rows, CAST(sum(low) AS VARCHAR) AS low, CAST(sum(high) AS VARCHAR) AS high FROM x""")
+def q112(t):
+    df = _gaps(t("customer").select("c_nationkey", "c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey", 9)
+    df = df.select("c_nationkey", F.col("c_mktsegment").alias("aa"), "c_custkey")  # columns count in the order of their names
+    return cache.fingerprint(df).select("rows", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"))

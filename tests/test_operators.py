@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import names
 from lakeloom.operators import charts, cleaning, encoders, explain, features, insights, learners, meta_features, metrics, models, neighbours, ordered, profile, scoring
 from lakeloom.plans import stages
-from lakeloom.sources import files, synthetic
+from lakeloom.sources import cache, files, synthetic
 from lakeloom.streaming import windows
 
 
@@ -472,3 +472,19 @@ def test_kernel_machine_bends(spark, shape):
     bent = models.score(learners.kernel_machine("classification", waves=100, gamma=1.0).fit(train).transform(test), "classification")
     straight = models.score(models.LinearSVC(maxIter=20).fit(train).transform(test), "classification")
     assert bent > 0.9 and straight < 0.75
+
+
+def test_results_are_found_by_content(spark, tmp_path):
+    rows = [(1, "a", 1.5), (2, None, 2.5), (2, None, 2.5), (3, "n", None)]
+    df = spark.createDataFrame(rows, "i int, s string, v double")
+    run = lambda d: d.groupBy("i").agg(F.sum("v").alias("v"))
+    get = lambda d, request: cache.cached(d, request, str(tmp_path), run)
+    made, hit = get(df, {"chart": "bar", "x": "i"})
+    assert not hit and made.count() == 3
+    turned = spark.createDataFrame(rows[::-1], "i int, s string, v double").repartition(3).select("v", "s", "i")
+    again, hit = get(turned, {"x": "i", "chart": "bar"})
+    assert hit and sorted(map(tuple, again.collect())) == sorted(map(tuple, made.collect()))
+    assert not get(df, {"chart": "pie", "x": "i"})[1]
+    for other in ([*rows[:3], (3, None, None)], [*rows[:3], (3, "n", 0.0)], rows[:3], [*rows, rows[0]], [rows[0], rows[1], rows[3], rows[3]]):
+        assert cache.key(spark.createDataFrame(other, "i int, s string, v double"), {}) != cache.key(df, {})
+    assert tuple(cache.fingerprint(df.limit(0)).first()) == (0, 0, 0)
