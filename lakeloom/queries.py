@@ -165,7 +165,7 @@ def q17(t):
 
 @query("q18_bottom_n", "SELECT s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier ORDER BY s_acctbal, s_name LIMIT 10")
 def q18(t):
-    return t("supplier").orderBy("s_acctbal", "s_name").limit(10).select("s_name", r("s_acctbal", 2).alias("s_acctbal"))
+    return charts.build(t("supplier"), ChartSpec("bar", "s_name", "s_acctbal", agg="min", sort_by="y_asc", top_n=10)).select("s_name", r("value", 2).alias("s_acctbal"))
 
 
 @query("q19_value_shares", "SELECT c_mktsegment AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM customer GROUP BY 1")
@@ -411,7 +411,7 @@ def q49(t):
     return _decorated(t).groupBy((F.col("l_orderkey") % 4).alias("kind")).agg(F.count("*").alias("n"), r(F.sum(E.clean_number(F.col("v"))), 2).alias("total"))
 
 
-@query("q50_coercion_decision", f"SELECT count(*) AS n, count(*) FILTER (regexp_matches(v, '[0-9]')) AS digits, count(*) AS parsed, 'double' AS becomes FROM ({_DECORATED})")
+@query("q50_coercion_decision", f"SELECT count(*) AS n, count(*) FILTER (regexp_matches(v, '[0-9]')) AS digits, count(*) FILTER (TRY_CAST(regexp_replace(v, '[^0-9.-]', '', 'g') AS DOUBLE) IS NOT NULL) AS parsed, CASE WHEN count(*) FILTER (regexp_matches(v, '[0-9]')) >= 0.5 * count(v) AND count(*) FILTER (TRY_CAST(regexp_replace(v, '[^0-9.-]', '', 'g') AS DOUBLE) IS NOT NULL) >= 0.8 * count(v) THEN 'double' ELSE 'string' END AS becomes FROM ({_DECORATED})")
 def q50(t):
     df = _decorated(t).select("v")
     made, _ = cleaning.coerce_numbers(df)
