@@ -1,16 +1,17 @@
 """Licence scan: an Aho-Corasick automaton finds notices, a shunting-yard parser evaluates licence expressions.
 
 A text is reduced to its words (A-Z lower-cased; runs of digits, a-z and non-ASCII characters) with single spaces, and
-one automaton over all phrases reads it once. Where it finds an identifier tag, the expression after the tag is read
-from the raw text: ``and``, ``or``, ``with`` and parentheses over licence names. It ends with its line, but goes on to the
-next one while a parenthesis is open or a name is still wanted.
+one automaton over all phrases reads it once. Where it finds an identifier tag that a colon follows, the expression after
+the colon is read from the raw text: ``and``, ``or``, ``with`` and parentheses over licence names. It ends with its line, but
+goes on to the next one while a parenthesis is open or a name is still wanted; a blank line or a word that is no licence
+name ends it in any case, and what is still open there is closed.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,8 @@ TAG = "spdx license identifier"
 _WORD_AT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: A line's end with what may lead the next line, a name or parenthesis, and what ends an expression.
 _PART = re.compile(r"(?P<line>\r?\n[ \t]*(?:[#*/;%-]+[ \t]*)?)|(?P<part>\(|\)|[A-Za-z0-9](?:[A-Za-z0-9.+\-]*[A-Za-z0-9+])?)|(?P<end>[;,*<>\"'])")
+#: What makes a word after a tag a tag's value: a colon, perhaps between quotes.
+_COLON = re.compile(r"[ \t\"'*`]*:[ \t\"'*`]*")
 _NOT_WORD = bytes(i if i >= 0x80 or chr(i).isdigit() or "a" <= chr(i) <= "z" else i + 32 if "A" <= chr(i) <= "Z" else 32 for i in range(256))
 
 
@@ -55,14 +58,29 @@ def freedom(label: str) -> float:
     return FREEDOM[max(found, key=len)] if found else 0.5
 
 
-def expression(text: str, start: int, stop: int) -> list[str]:
-    """The lower-cased names, operators and parentheses of the expression that begins at a place."""
+def is_name(word: str) -> bool:
+    """Whether a word can name a licence: a label of the phrases or a family, or written as identifiers are.
+
+    Those have a digit, a hyphen, or two letters and more that are all capitals.
+    """
+    known = word.lower() in FREEDOM or word.lower() in NOTICES.values()
+    return known or any(c.isdigit() or c == "-" for c in word) or (len(word) > 1 and word.isupper())
+
+
+def expression(text: str, start: int, stop: int, test: Callable[[str], bool] | None = None) -> list[str]:
+    """The lower-cased names, operators and parentheses of the expression that begins at a place.
+
+    The first name that fails ``test`` and the first blank line end it.
+    """
     tokens: list[str] = []
-    depth, wants_name = 0, True
+    depth, wants_name, blank = 0, True, False
     for m in _PART.finditer(text, start, stop):
-        if m["end"] or (m["line"] and tokens and not depth and not wants_name):
+        if m["end"] or (m["line"] and (blank or (tokens and not depth and not wants_name))):
             break
+        blank = bool(m["line"])
         if part := m["part"]:
+            if test and part not in "()" and part.lower() not in ("and", "or", "with") and not test(part):
+                break
             tokens.append(part.lower())
             depth += (part == "(") - (part == ")")
             wants_name = tokens[-1] in ("(", "and", "or", "with")
@@ -72,7 +90,7 @@ def expression(text: str, start: int, stop: int) -> list[str]:
 def to_postfix(tokens: list[str]) -> list[str] | None:
     """A licence expression as postfix tokens (shunting-yard; ``with`` binds tightest, then ``and``, then ``or``).
 
-    Reads as far as the expression is well formed; None when not even its first name is.
+    Reads as far as the expression is well formed and closes what is open there; None when not even its first name is.
     """
     rank = {"or": 1, "and": 2, "with": 3}
     out: list[str] = []
@@ -97,11 +115,11 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
             wants_name = False
         else:
             break
-        if not wants_name and not depth:
+        if not wants_name:
             good = at + 1
     else:
-        if not wants_name and not depth:
-            return out + stack[::-1]
+        if not wants_name:
+            return out + [x for x in reversed(stack) if x != "("]
     return to_postfix(tokens[:good]) if good else None
 
 
@@ -146,11 +164,12 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
             labels.add(NOTICES[phrase])
         if phrase == TAG:
             tags.append(counted)
+    colons = []
     if tags:
         ends = [m.end() for m in _WORD_AT.finditer(text or "")]  # where each word ends in the raw text
-        starts = [ends[n + 2] for n in tags]
-        for start, stop in zip(starts, [*(ends[n] for n in tags[1:]), len(text or "")], strict=True):
-            if postfix := to_postfix(expression(text or "", start, stop)):
+        colons = [_COLON.match(text or "", ends[n + 2]) for n in tags]
+        for colon, stop in zip(colons, [*(ends[n] for n in tags[1:]), len(text or "")], strict=True):
+            if colon and (postfix := to_postfix(expression(text or "", colon.end(), stop, is_name))):
                 value, names = evaluate(postfix)
                 values.append(value)
                 labels.update(names)
@@ -158,7 +177,7 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     score = 1.0 if values else 0.9 if labels else 0.6 if base else 0.0
     return (
         len(found), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(notices)),
-        score, min(values) if values else min(map(freedom, notices), default=None), len(tags),
+        score, min(values) if values else min(map(freedom, notices), default=None), sum(map(bool, colons)),
     )
 
 
@@ -168,7 +187,7 @@ _SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What ``scan`` finds in every row.
 
-    ``score`` is the strength of the evidence: 1 for a tag with a readable expression, 0.9 for a notice, 0.6 for a base
+    ``score`` is the strength of the evidence: 1 for a tag with a readable expression of licence names, 0.9 for a notice, 0.6 for a base
     phrase alone, else 0. ``freedom`` (0 to 1) evaluates the tags' expressions, or else takes the strictest notice; null
     without any. A null text counts as empty (no words) and a very long one is read whole, in time that is linear; rows
     without an id and repeated rows give a row each; an empty table gives no rows; other columns do not matter.

@@ -33,6 +33,8 @@ MARK = "▁"
 PUNCTUATION = ".,;:!?"
 #: Words kept by a worker, about 270 bytes each.
 CACHE_WORDS = 300_000
+#: And its characters; words longer than the second are not kept.
+CACHE_CHARS, KEEP_CHARS = 6_000_000, 64
 
 
 class Codec:
@@ -76,6 +78,7 @@ class Codec:
         self.edges: dict[str, tuple[float, list, list] | None] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.again: set[str] = set()
+        self.held = 0  # characters of the words in known
 
     def merge(self, text: str, least: int = 1) -> list[str]:
         """Merging by rank, as defined: the best-scored pair first, the leftmost of equals; stops at ``least`` parts."""
@@ -209,18 +212,24 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
         """Ids of whole texts, and their numbers of marked words.
 
-        Words seen lately are not encoded again. When there are too many, those stay that have come more than once.
+        Words seen lately are not encoded again, but for very long ones. When there are too many, in number or in
+        characters, those stay that have come more than once.
         """
         cut = [self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         distinct = set(chain.from_iterable(cut))
         fresh = distinct.difference(self.known)
         self.again.update(distinct.difference(fresh))
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in self.again} if len(self.again) < CACHE_WORDS // 2 else {}
-            self.again = set()
+        if len(self.known) + len(fresh) > CACHE_WORDS or self.held > CACHE_CHARS:
+            few = len(self.again) < CACHE_WORDS // 2 and sum(map(len, self.again)) < CACHE_CHARS // 2
+            self.known = {w: self.known[w] for w in self.again} if few else {}
+            self.held, self.again = sum(map(len, self.known)), set()
             fresh = distinct.difference(self.known)
-        self.known.update(self.encode_words(fresh))
-        known = self.known.__getitem__
+        made = self.encode_words(fresh)
+        passing = {w: made.pop(w) for w in [w for w in made if len(w) > KEEP_CHARS]}  # for these texts only
+        self.held += sum(map(len, made))
+        self.known.update(made)
+        lasting = self.known
+        known = (lambda w: lasting[w] if w in lasting else passing[w]) if passing else lasting.__getitem__
         return [np.fromiter(chain.from_iterable(map(known, words)), dtype=np.int32) for words in cut], [len(words) for words in cut]
 
     def decode(self, ids: Iterable[int]) -> str:

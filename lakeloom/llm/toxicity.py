@@ -226,7 +226,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -
     """``doc_id, held_out, score, predicted`` and the pattern weights for every row of ``docs``.
 
     Learns from ``labels`` (doc_id, toxic) of rows that are not held out; labels that are null are skipped, and without
-    any label of one of the two classes the fixed words alone decide. A null text counts as empty; a row without id is
+    any label of one of the two classes the fixed words alone decide; of rows that repeat an id the smallest text is
+    learned from. A null text counts as empty; a row without id is
     scored and counts as held out; repeated rows are scored each; very long texts take time in proportion; an empty
     table gives no rows; other columns do not matter and may have any name.
     """
@@ -235,7 +236,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = F.xxhash64("doc_id", F.lit(11))
     sample = known.withColumn("half", F.pmod(drawn, F.lit(2))).orderBy(drawn, "doc_id").limit(fit_rows)
-    labelled = cut(texts.join(F.broadcast(sample), "doc_id"))  # fit_rows ids at most; their texts are read once
+    drawn_texts = texts.join(F.broadcast(sample), "doc_id")  # fit_rows ids at most; their texts are read once
+    labelled = cut(drawn_texts.groupBy("doc_id").agg(*(F.min(c).alias(c) for c in ("text", "toxic", "half"))))  # a row for each id
     first, second, entries = learn_entries(labelled.select("text", "toxic", "half"))
     crossed = [_feature_rows(labelled.where(F.col("half") == half).select("text", "toxic"), other, "toxic").collect() for half, other in ((1, first), (0, second))]
     fit = np.array([tuple(r) for part in crossed for r in part], dtype=float).reshape(-1, len(FEATURES) + 1)

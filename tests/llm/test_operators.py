@@ -70,7 +70,7 @@ def test_license_expressions():
     assert to_postfix("(a or b) and c") == ["a", "b", "or", "c", "and"]
     assert run("MIT OR GPL-3.0-only")[0] == 1.0 and run("MIT AND GPL-3.0-only")[0] == 0.4
     assert run("GPL-2.0-only WITH Classpath-exception-2.0") == (0.5, ["gpl-2.0-only"])
-    assert to_postfix(") or") is None and to_postfix("MIT and") == ["mit"] and to_postfix("((MIT") is None
+    assert to_postfix(") or") is None and to_postfix("MIT and") == ["mit"] and to_postfix("((MIT") == ["mit"]
     found = license_scan.scan("# SPDX-License-Identifier: (Apache-2.0 OR MIT) AND CC-BY-4.0\nAll rights reserved")
     assert found[4] == "cc-by,reserved" and {"apache-2.0", "mit", "cc-by-4.0", "reserved"} <= set(found[5].split(",")) and found[6] == 1.0 and found[8] == 1
 
@@ -88,6 +88,22 @@ def test_license_expressions_are_read_to_their_end():
     assert license_scan.scan("SPDX-License-Identifier: MIT\nor else")[5] == "mit"
 
 
+@pytest.mark.parametrize(("text", "labels", "tags"), [
+    ("SPDX-License-Identifier:\n\nThis module reads files.", "", 1), ("SPDX-License-Identifier:\nThis module reads files.", "", 1), ("The SPDX-License-Identifier tag is required", "", 0),
+    ("SPDX-License-Identifier: MIT AND\n\nWe describe", "mit", 1), ("SPDX-License-Identifier: MIT AND\nWe describe", "mit", 1), ("SPDX-License-Identifier: (MIT", "mit", 1),
+    ("SPDX-License-Identifier: MIT OR (Apache-2.0 AND ISC", "apache-2.0,isc,mit", 1), ("SPDX-License-Identifier: (MIT OR\n", "mit", 1), ('"SPDX-License-Identifier": "MIT"', "mit", 1),
+    ("SPDX-License-Identifier:\nmit", "mit", 1), ("SPDX-License-Identifier : WTFPL", "wtfpl", 1), ("SPDX-License-Identifier:", "", 1), ("spdx license identifier A: b", "", 0),
+])
+def test_license_names_and_prose_after_a_tag(text, labels, tags):
+    found = license_scan.scan(text)
+    assert found[5] == labels and found[6] == (1.0 if labels else 0.0) and found[8] == tags
+
+
+def test_license_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "MIT license", 5, "z"), (2, None, 6, None)], "doc_id long, text string, n_words int, labels string")
+    assert {(r["doc_id"], r["n_words"], r["labels"]) for r in license_scan.scan_licenses(df).collect()} == {(1, 2, "mit"), (2, 0, "")}
+
+
 def plain_value(tokens):
     """A recursive reading of a whole expression: (freedom, licences)."""
 
@@ -862,3 +878,30 @@ def test_grammar_reads_long_texts_in_linear_time():
     for text in ("idiot, " * 150_000, "an idiot. " * 100_000, "word " * 300_000 + "idiot"):
         began = time.perf_counter()
         assert max(toxicity.features(text, lexicon)) > 0 and time.perf_counter() - began < 20
+
+
+def test_keep_identified_without_labels(spark):
+    rows = [(1, "some words", None), (1, "some words", None), (2, None, None), (3, "123 !", None), (None, "été", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert key([(r["doc_id"], r["text"]) for r in language_id.keep_identified(df).collect()]) == key([(1, "some words"), (1, "some words"), (None, "été")])
+
+
+def test_sentencepiece_keeps_no_long_words(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_CHARS", 400)
+    made = sentencepiece_codec.Codec("piece_bpe_32k.model", "bpe")
+    fresh = sentencepiece_codec.Codec("piece_bpe_32k.model", "bpe")
+    rng = random.Random(3)
+    for n in range(12):
+        texts = [prose(rng, "en", 30), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(900)), "the same words again", "y" * 200]
+        fresh.known, fresh.again, fresh.held = {}, set(), 0
+        assert [x.tolist() for x in made.encode(texts)[0]] == [x.tolist() for x in fresh.encode(texts)[0]], n
+        assert max(map(len, made.known)) <= sentencepiece_codec.KEEP_CHARS and made.held == sum(map(len, made.known)) < 2_000
+
+
+def test_toxicity_learns_one_text_an_id(spark):
+    rows = [(i % 40, f"you are {'awful' if i % 2 else 'kind'} number {i % 40}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    once = docs.dropDuplicates()
+    got = {(r["doc_id"], r["score"]) for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert got == {(r["doc_id"], r["score"]) for r in toxicity.score_toxicity(once, labels).collect()} and toxicity.score_toxicity(docs, labels).count() == 400
