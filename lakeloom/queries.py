@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as E
 from .functions import names, questions
-from .operators import answers, charts, cleaning, encoders, explain, features, insights, meta_features, metrics, models, profile, scoring
+from .operators import answers, charts, cleaning, encoders, explain, features, insights, meta_features, metrics, models, profile, scoring, tuning
 from .operators.charts import ChartSpec
 from .operators.ordered import shared_folder
 from .sources import cache, files
@@ -951,3 +951,11 @@ def q112(t):
     df = _gaps(t("customer").select("c_nationkey", "c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey", 9)
     df = df.select("c_nationkey", F.col("c_mktsegment").alias("aa"), "c_custkey")  # columns count in the order of their names
     return cache.fingerprint(df).select("rows", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"))
+
+
+@query("q113_search_within")
+def q113(t):
+    """The settings of a decision tree that were judged within two minutes, and which one is best."""
+    found = tuning.search_within(_orders_rows(t), "decision_tree", "classification", seconds=120, most=4)
+    rows = [(json.dumps(setting, sort_keys=True), value, setting == found.setting) for setting, value in found.tried]
+    return rounded(t("orders").sparkSession.createDataFrame(rows, "setting string, score double, best boolean"), "score")

@@ -4,16 +4,17 @@ import itertools
 import json
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.ml.feature import VectorIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lakeloom.functions import names
-from lakeloom.operators import charts, cleaning, encoders, explain, features, insights, learners, meta_features, metrics, models, neighbours, ordered, profile, scoring
+from lakeloom.operators import charts, cleaning, encoders, explain, features, insights, learners, meta_features, metrics, models, neighbours, ordered, profile, scoring, tuning
 from lakeloom.plans import stages
 from lakeloom.sources import cache, files, synthetic
 from lakeloom.streaming import windows
@@ -488,3 +489,42 @@ def test_results_are_found_by_content(spark, tmp_path):
     for other in ([*rows[:3], (3, None, None)], [*rows[:3], (3, "n", 0.0)], rows[:3], [*rows, rows[0]], [rows[0], rows[1], rows[3], rows[3]]):
         assert cache.key(spark.createDataFrame(other, "i int, s string, v double"), {}) != cache.key(df, {})
     assert tuple(cache.fingerprint(df.limit(0)).first()) == (0, 0, 0)
+
+
+def _labelled(spark, n=300):
+    rows = spark.range(n).select(F.col("id").alias("row_id"), ((F.col("id") % 7) > 3).cast("double").alias("label"), F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("x"))
+    return rows.select("row_id", "label", array_to_vector("x").alias("features"))
+
+
+def test_search_within_time_stops_its_jobs(spark, monkeypatch):
+    def slowly(rows, k, plain=models.with_folds):
+        def wait(batches):
+            for batch in batches:
+                time.sleep(60)
+                yield batch
+
+        return plain(rows, k).mapInArrow(wait, plain(rows, k).schema)
+
+    rows = _labelled(spark)
+    with monkeypatch.context() as patch:
+        patch.setattr(models, "with_folds", slowly)
+        began = time.monotonic()
+        found = tuning.search_within(rows, "decision_tree", "classification", seconds=2)
+        took = time.monotonic() - began
+    assert found.stopped and found.score is None and found.setting == {} and not found.tried and not found.failed
+    assert took < 40 and not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert models.score(found.model.transform(rows), "classification") > 0.9
+
+
+def test_search_within_time_equals_plain_folds(spark):
+    rows = _labelled(spark)
+    found = tuning.search_within(rows, "decision_tree", "classification", seconds=600, most=3)
+    assert not found.stopped and [s for s, _ in found.tried] == tuning.settings("decision_tree", 3)
+    for setting, value in found.tried:
+        made = models.estimators("classification")["decision_tree"]
+        made = made.copy({made.getParam(k): v for k, v in setting.items()})
+        plain = models.cross_validate(rows, made, "classification", 3)
+        assert value == pytest.approx(sum(plain) / len(plain))
+    assert found.score == max(v for _, v in found.tried)
+    bad = tuning.search_within(rows.withColumn("label", F.col("label") - 5), "linear", "regression", seconds=600, most=2)
+    assert bad.score is not None and bad.setting == {} and len(bad.tried) == 1  # a model without a grid is tried as it is
