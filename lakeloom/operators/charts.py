@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions import names
+from .quantiles import of_columns, quantiles
 
 AGGREGATES = {
     "sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max, "median": lambda c: E.quantile(c, 0.5),
@@ -126,7 +127,7 @@ def box(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
     """Quartiles, whiskers (the outermost values within 1.5 IQR) and the number of outliers, by group."""
     key = F.col(by).cast("string") if by else F.lit("all")
     rows = df.select(key.alias("grp"), number(df, y).cast("double").alias("v")).where("grp is not null and v is not null")
-    quartiles = rows.groupBy("grp").agg(E.quantile(F.col("v"), 0.25, 0.5, 0.75).alias("q"))
+    quartiles = quantiles(rows, ["grp"], "v", (0.25, 0.5, 0.75)).drop("n")
     marked = rows.join(F.broadcast(quartiles) if by is None else quartiles, "grp")  # without a group: one row
     iqr = F.col("q")[2] - F.col("q")[0]
     inside = F.col("v").between(F.col("q")[0] - 1.5 * iqr, F.col("q")[2] + 1.5 * iqr)
@@ -217,7 +218,8 @@ def trend(df: DataFrame, at: str, y: str, tie: str, by: str | None = None) -> Da
 def scalars(df: DataFrame, column: str) -> DataFrame:
     """sum (0 for no values), mean, median, min, max and count of a column."""
     c = number(df, column).cast("double")
-    return df.agg(F.coalesce(F.sum(c), F.lit(0.0)).alias("sum"), F.avg(c).alias("mean"), E.quantile(c, 0.5).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("count"))
+    median = F.lit(of_columns(df, {"y": c}, (0.5,)).get("y", [None])[0]).cast("double")
+    return df.agg(F.coalesce(F.sum(c), F.lit(0.0)).alias("sum"), F.avg(c).alias("mean"), median.alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("count"))
 
 
 def legal_types(x_kind: str, y_kind: str | None) -> tuple[str, ...]:

@@ -14,6 +14,7 @@ from ..functions import exprs as E
 from ..functions import words
 from . import neighbours
 from .profile import kinds
+from .quantiles import of_columns
 
 
 @dataclasses.dataclass
@@ -67,17 +68,19 @@ def fix_types(df: DataFrame, roles: dict[str, str]) -> DataFrame:
 
 
 def missing_plan(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Per column: rows, missing share, mean, median, skewness (numeric) or mode (others), in one pass."""
+    """Per column: rows, missing share, mean, median, skewness (numeric) or mode (others), the medians by selection."""
     known = kinds(df)
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
         aggs.append(F.count(present(df, c)).alias(f"n{i}"))
         if known[c] == "numeric":
             d = E.finite(F.col(c).cast("double"))
-            aggs += [F.avg(d).alias(f"mean{i}"), E.quantile(d, 0.5).alias(f"median{i}"), E.skew(d).alias(f"skew{i}")]
+            aggs += [F.avg(d).alias(f"mean{i}"), E.skew(d).alias(f"skew{i}")]
         else:
             aggs.append(F.mode(F.col(c), True).alias(f"mode{i}"))
     row = df.agg(*aggs).first().asDict()
+    medians = of_columns(df, {c: E.finite(F.col(c).cast("double")) for c in columns if known[c] == "numeric"}, (0.5,))
+    row |= {f"median{i}": medians[c][0] for i, c in enumerate(columns) if c in medians}
     keys = ("mean", "median", "skew", "mode")
     return {c: {"missing": 1 - row[f"n{i}"] / row["rows"] if row["rows"] else 0.0} | {k: row.get(f"{k}{i}") for k in keys} for i, c in enumerate(columns)}
 
@@ -135,11 +138,14 @@ def fill_in_order(df: DataFrame, column: str, order: list[str], by: list[str]) -
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], factor: float = 1.5, exact: bool = True) -> dict[str, tuple[float, float, int, int]]:
-    """Per column: lower and upper fence, values outside, values; two passes for all columns together."""
-    quantile = E.quantile if exact else E.approx_quantile
+    """Per column: lower and upper fence, values outside, values; the same passes for all columns."""
     value = {c: E.finite(F.col(c).cast("double")) for c in columns}
-    row = df.agg(*(quantile(value[c], 0.25, 0.75).alias(f"q{i}") for i, c in enumerate(columns))).first()
-    fences = {c: (q[0] - factor * (q[1] - q[0]), q[1] + factor * (q[1] - q[0])) for i, c in enumerate(columns) if (q := row[f"q{i}"]) and q[0] is not None}
+    if exact:
+        found = of_columns(df, value, (0.25, 0.75))
+    else:
+        row = df.agg(*(E.approx_quantile(value[c], 0.25, 0.75).alias(f"q{i}") for i, c in enumerate(columns))).first()
+        found = {c: row[f"q{i}"] for i, c in enumerate(columns)}
+    fences = {c: (q[0] - factor * (q[1] - q[0]), q[1] + factor * (q[1] - q[0])) for c in columns if (q := found.get(c)) and q[0] is not None}
     if not fences:
         return {}
     row = df.agg(*(x for c, (lo, hi) in fences.items() for x in (F.count_if(~value[c].between(lo, hi)).alias(f"o_{c}"), F.count(value[c]).alias(f"n_{c}")))).first()

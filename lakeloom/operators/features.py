@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from .ordered import kept, running_sums, with_position
+from .quantiles import of_columns
 
 
 def distinct_values(df: DataFrame, column: str, most: int) -> list[str]:
@@ -48,15 +49,16 @@ def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 1.
 def scalers(df: DataFrame, columns: list[str], method: str | None = None) -> tuple[dict[str, tuple[float, float]], str]:
     """Middle and width of each column that has a value: median and IQR where mean abs(skewness) is over 1, else mean and deviation (population)."""
     d = {c: F.col(c).cast("double") for c in columns}
-    row = df.agg(*(x for i, c in enumerate(columns) for x in (E.skew(d[c]).alias(f"s{i}"), F.avg(d[c]).alias(f"m{i}"), F.stddev_pop(d[c]).alias(f"d{i}"), E.quantile(d[c], 0.25, 0.5, 0.75).alias(f"q{i}")))).first()
+    row = df.agg(*(x for i, c in enumerate(columns) for x in (E.skew(d[c]).alias(f"s{i}"), F.avg(d[c]).alias(f"m{i}"), F.stddev_pop(d[c]).alias(f"d{i}")))).first()
     if method is None:
         skews = [abs(row[f"s{i}"]) for i in range(len(columns)) if row[f"s{i}"] is not None]
         method = "robust" if skews and sum(skews) / len(skews) > 1 else "standard"
+    quartiles = of_columns(df, d, (0.25, 0.5, 0.75)) if method == "robust" else {}
     found: dict[str, tuple[float, float]] = {}
     for i, c in enumerate(columns):
-        q = row[f"q{i}"]
+        q = quartiles.get(c)
         if row[f"m{i}"] is not None:
-            middle, width = (q[1], q[2] - q[0]) if method == "robust" else (row[f"m{i}"], row[f"d{i}"])
+            middle, width = (q[1], q[2] - q[0]) if method == "robust" and q else (row[f"m{i}"], row[f"d{i}"])
             found[c] = (middle, width or 1.0)
     return found, method
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions import words
+from .quantiles import quantiles
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 WHOLE = ("tinyint", "smallint", "int", "bigint")
@@ -52,10 +53,9 @@ def value_counts(df: DataFrame) -> DataFrame:
 def column_stats(df: DataFrame, exact: bool = True, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each column: name, kind, whole, rows, missing, distinct, and by kind mean ... outliers or text measures.
 
-    Moments come from an aggregate of the rows; distinct values, quantiles and text measures from counts of values, which
-    one shuffle spreads over all tasks. ``exact``: quantiles as the values have them, for which one task a column orders
-    its distinct values; else from bounded sketches of the counts' rows. ``wanted``: only these measures are computed,
-    others are null.
+    Moments come from an aggregate of the rows; distinct values and text measures from counts of values, which one shuffle
+    spreads over all tasks. ``exact``: quantiles as the values have them, by selection; else from bounded sketches of the
+    counts' rows. ``wanted``: only these measures are computed, others are null.
     """
     known, dtypes = kinds(df), dict(df.dtypes)
     none = F.lit(None).cast("double")
@@ -88,15 +88,22 @@ def column_stats(df: DataFrame, exact: bool = True, wanted: tuple[str, ...] | No
         share = lambda v: E.ratio(F.sum(F.when(text, n * v)).cast("double"), F.sum(F.when(text & v.isNotNull(), n)))
         number = lambda test: F.sum(F.when(text, F.when(test, n).otherwise(0))).cast("double")
         value = F.col("s")
-        measures = {"distinct": F.count("*"), "q": F.expr("percentile(d, array(0.25, 0.5, 0.75), n)") if exact else E.approx_quantile(F.col("d"), 0.25, 0.5, 0.75)}
+        measures = {"distinct": F.count("*"), "q": E.approx_quantile(F.col("d"), 0.25, 0.5, 0.75)}
         measures |= {"tokens": share(E.tokens(value)), "length": share(F.length(value)), "numbers": number(E.to_number(value).isNotNull()), "times": number(E.to_time(value).isNotNull())}
         measures |= {"cleaned": number(E.clean_number(value).isNotNull()), "digits": number(value.rlike(r"\d"))}
         keep = {"q"} if wanted is not None and {"q1", "median", "q3"} & set(wanted) else set()
         measures = {k: v for k, v in measures.items() if wanted is None or k in wanted or k in keep}
+        selected = None
+        if exact and measures.pop("q", None) is not None and numbers:
+            selected = quantiles(df.select(F.inline(F.array(*numbers))), ["position"], "d", (0.25, 0.5, 0.75)).select("position", "q")
         strings = [i for i, k in enumerate(known.values()) if k == "string"]
         counts = value_counts(df).withColumn("is_text", F.col("position").isin(strings) if strings else F.lit(False))
-        found = counts.groupBy("position").agg(*(v.alias(k) for k, v in measures.items()))
-        if "q" in measures:
+        found = counts.groupBy("position").agg(*(v.alias(k) for k, v in measures.items())) if measures else selected
+        if measures and selected is not None:
+            found = found.join(selected, "position", "left")  # a row for each column on both sides
+        if found is None:  # quantiles alone were asked for, and no column is numeric
+            found = moments.select("position").limit(0)
+        if "q" in found.columns:
             found = found.withColumns({k: F.col("q")[j].cast("double") for j, k in enumerate(("q1", "median", "q3"))})
         joined = moments.join(found, "position", "left")  # a row for each column on both sides
         simple = F.col("kind") != "complex"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as E
 from .functions import names, questions
-from .operators import answers, charts, cleaning, encoders, explain, features, insights, meta_features, metrics, models, profile, scoring, tuning
+from .operators import answers, charts, cleaning, encoders, explain, features, insights, meta_features, metrics, models, profile, quantiles, scoring, tuning
 from .operators.charts import ChartSpec
 from .operators.ordered import shared_folder
 from .sources import cache, files
@@ -959,3 +959,10 @@ def q113(t):
     found = tuning.search_within(_orders_rows(t), "decision_tree", "classification", seconds=120, most=4)
     rows = [(json.dumps(setting, sort_keys=True), value, setting == found.setting) for setting, value in found.tried]
     return rounded(t("orders").sparkSession.createDataFrame(rows, "setting string, score double, best boolean"), "score")
+
+
+@query("q114_group_quantiles", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.01), 4) AS low, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS middle,
+    round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.999), 4) AS high FROM lineitem GROUP BY 1, 2""")
+def q114(t):
+    found = quantiles.quantiles(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", (0.01, 0.5, 0.999))
+    return rounded(found.select("l_returnflag", "l_linestatus", "n", *(F.col("q")[i].alias(c) for i, c in enumerate(("low", "middle", "high")))), "low", "middle", "high")

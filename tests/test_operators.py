@@ -14,7 +14,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lakeloom.functions import names
-from lakeloom.operators import charts, cleaning, encoders, explain, features, insights, learners, meta_features, metrics, models, neighbours, ordered, profile, scoring, tuning
+from lakeloom.operators import charts, cleaning, encoders, explain, features, insights, learners, meta_features, metrics, models, neighbours, ordered, profile, quantiles, scoring, tuning
 from lakeloom.plans import stages
 from lakeloom.sources import cache, files, synthetic
 from lakeloom.streaming import windows
@@ -528,3 +528,33 @@ def test_search_within_time_equals_plain_folds(spark):
     assert found.score == max(v for _, v in found.tried)
     bad = tuning.search_within(rows.withColumn("label", F.col("label") - 5), "linear", "regression", seconds=600, most=2)
     assert bad.score is not None and bad.setting == {} and len(bad.tried) == 1  # a model without a grid is tried as it is
+
+
+@pytest.mark.parametrize(("accuracy", "most"), [(10_000, 100_000), (100, 50), (100, 10**9), (500, 20)])
+def test_quantiles_by_selection(spark, accuracy, most):
+    rng = random.Random(accuracy + most % 7)
+    values = {"a": [rng.gauss(0, 1) for _ in range(9000)], "b": [7.0] * 4000 + [rng.expovariate(1) * 10 for _ in range(5000)], "c": [1.0, 2.0], "d": [5.0], "e": [float(i % 3) for i in range(3000)], "f": [-math.inf, 1.0, math.inf]}
+    rows = [(g, x) for g, xs in values.items() for x in xs] + [("a", None), ("a", math.nan), (None, 3.0), ("none", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, x double")
+    at = (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = {r["g"]: (r["n"], r["q"]) for r in quantiles.quantiles(df, ["g"], "x", at, accuracy, most).collect()}
+    assert set(got) == set(values)
+    for g, xs in values.items():
+        xs = sorted(xs)
+        assert got[g][0] == len(xs)
+        for p, q in zip(at, got[g][1], strict=True):
+            place = p * (len(xs) - 1)
+            lo, hi = xs[math.floor(place)], xs[math.ceil(place)]
+            assert q == (lo if lo == hi else pytest.approx((math.ceil(place) - place) * lo + (place - math.floor(place)) * hi)), (g, p)
+    assert quantiles.quantiles(df.limit(0), ["g"], "x", at).count() == 0
+
+
+def test_quantiles_show_a_bracket_that_misses(spark):
+    df = spark.range(100).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("x"))
+    state = spark.createDataFrame([("g", [10.0, 20.0])], "g string, __ends array<double>")
+    row = quantiles._selected(df, ["g"], "x", state, (0.5,)).first()
+    assert row["n"] == 100 and row["q"] == [None]
+    assert quantiles._selected(df, ["g"], "x", state, (15 / 99,)).first()["q"] == [15.0]
+    assert quantiles.of_columns(df, {"x": F.col("x"), "none": F.lit(None), "half": F.col("x") / 2}, (0.25, 0.5)) == {"x": [24.75, 49.5], "half": [12.375, 24.75]}
+    assert quantiles.of_columns(df, {}, (0.5,)) == {}
