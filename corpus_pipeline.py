@@ -13,7 +13,7 @@ from lakeloom.llm.common import shared_folder, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go."""
-    return language_id.keep_identified(docs)
+    return language_id.keep_identified(docs, calibration_rows=None)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,12 +5,13 @@ characters packs into one 64-bit key (16 bits each; astral letters fold into the
 sorted key arrays with log-probabilities and back-off weights beside them. A text's language is the one with the lowest
 cross-entropy per character.
 
-Gram counts come from every training row but the calibration sample: tasks count within their rows, Spark adds the
-counts up and makes the models' tables from all of them (lower orders count the distinct characters in front). A model
-holds every gram that was seen, so it grows with the corpus's distinct grams. Tables of up to ``broadcast_grams`` rows
-are sent to the tasks as arrays; larger ones stay tables, and the grams of the distinct texts are joined with them.
-Rejection is calibrated on a sample of distinct training texts: a text goes whose cross-entropy exceeds, with regard to
-its length, what its language's own texts show.
+Gram counts come from every training row: tasks count within their rows, Spark adds the counts up and makes the models'
+tables from all of them (lower orders count the distinct characters in front). A model holds every gram that was seen, so
+it grows with the corpus's distinct grams. Tables of up to ``broadcast_grams`` rows are sent to the tasks as arrays;
+larger ones stay tables, and the grams of the distinct texts are joined with them. Rejection is calibrated on every
+distinct training text, each judged by models of the half of the texts that it is not in: a text goes whose cross-entropy
+exceeds, with regard to its length, what its language's own texts show. (With ``calibration_rows``, a sample calibrates
+that the models do not learn from.)
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import of_columns
 from .common import bounded, cut, keep_rows, table, text_slices, tidy
 
 ORDER, BEGIN, SPACE = 4, 1, 32
@@ -223,40 +225,79 @@ def _arrays(languages: list[str], grams_: DataFrame, contexts: DataFrame, alphab
     return [Model([keys[x, n] for n in range(ORDER, 0, -1)], [weights[x, n] for n in range(ORDER, 0, -1)], alphabet) for x in languages]
 
 
-def fit(rows: DataFrame, calibration_rows: int = 4000, broadcast_grams: int = 8_000_000) -> Fitted | None:
+def _fitted(counts: DataFrame, tables: tuple[DataFrame, DataFrame, int], broadcast_grams: int) -> Fitted | None:
+    """Models of the languages in ``counts``, from their tables; None where there is none."""
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    if not languages:
+        return None
+    grams_, contexts, alphabet = tables
+    small = grams_.count() + contexts.count() <= broadcast_grams
+    return Fitted(languages, grams_, contexts, alphabet, _arrays(languages, grams_, contexts, alphabet) if small else None)
+
+
+def fit(rows: DataFrame, calibration_rows: int | None = 4000, broadcast_grams: int = 8_000_000) -> Fitted | None:
     """Models of ``text, lang`` rows, and the limits of acceptance; None where there is nothing to learn from.
 
-    The calibration sample has distinct texts, the first by a hash: ``calibration_rows`` of them and a tenth at most. The
+    With ``calibration_rows`` None, the models learn from all rows and all distinct texts calibrate (``_crossed``).
+    Otherwise a sample does, of distinct texts, the first by a hash: ``calibration_rows`` of them and a tenth at most. The
     models learn from all other rows, so that calibration texts are new to them. The excess over a language's mean counts
     times the root of the text's length; its limit comes from all languages together.
     """
     rows = rows.withColumn("h", F.xxhash64("text", "lang", F.lit(5)))
+    if calibration_rows is None:
+        return _crossed(rows, broadcast_grams)
     hashes = rows.select("h").distinct()
     wanted = min(calibration_rows, hashes.count() // 10)
     chosen = F.broadcast(cut(hashes.orderBy("h").limit(wanted)))  # calibration_rows at most
     counts = cut(gram_counts(rows.join(chosen, "h", "left_anti")))
-    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    if not languages:
+    if counts.isEmpty():
+        return None
+    fitted = _fitted(counts, model_tables(counts), broadcast_grams)
+    sample = rows.join(chosen, "h", "left_semi").dropDuplicates(["h"]).select(F.col("h").alias("doc_id"), "lang", "text")
+    fitted.limits = _limits(judged(sample, fitted), fitted.languages)
+    return fitted
+
+
+def _crossed(rows: DataFrame, broadcast_grams: int) -> Fitted | None:
+    """Models of all rows of ``text, lang, h``, and limits from all distinct texts.
+
+    Texts fall into halves by a hash, so that all copies of one are in the same half, and each half is judged by models of
+    the other one. The grams are counted once; the tables of the three sets of models are made together.
+    """
+    half = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(2))
+    counts = cut(gram_counts(rows.select("text", F.concat(half.cast("string"), "lang").alias("lang"))))
+    mark, lang = F.col("lang").substr(1, 1), F.expr("substring(lang, 2)")
+    every = counts.groupBy(F.concat(F.lit("a"), lang).alias("lang"), "gram").agg(F.sum("n").alias("n"))
+    counts = cut(every.union(counts.select(F.concat(F.when(mark == "0", "1").otherwise("0"), lang).alias("lang"), "gram", "n")))
+    if counts.isEmpty():
         return None
     grams_, contexts, alphabet = model_tables(counts)
-    small = grams_.count() + contexts.count() <= broadcast_grams
-    fitted = Fitted(languages, grams_, contexts, alphabet, _arrays(languages, grams_, contexts, alphabet) if small else None)
-    sample = rows.join(chosen, "h", "left_semi").dropDuplicates(["h"]).select(F.lit(None).cast("long").alias("doc_id"), "lang", "text")
-    seen = judged(sample, fitted).select("lang", "best", "entropy", "chars").where("lang = best and chars > 0").toArrow().to_pydict()
-    lang, entropy = np.array(seen["lang"], dtype=object), np.array(seen["entropy"], dtype=float)
-    length = np.minimum(np.array(seen["chars"], dtype=float), CALIBRATED_LENGTH)
-    limits, excess = np.zeros((len(languages), 2)), np.zeros(len(lang))
-    for k, x in enumerate(languages):
-        if (own := lang == x).any():
-            limits[k, 0] = np.average(entropy[own], weights=length[own])
-            excess[own] = (entropy[own] - limits[k, 0]) * np.sqrt(length[own])
-        else:
-            limits[k, 0] = np.inf  # nothing to calibrate by: accept
-    limits[:, 1] = MARGIN * max(LEAST_EXCESS, np.quantile(excess, 0.999)) if len(excess) else np.inf
-    fitted.limits = limits
+    of = lambda df, judge: df.where(mark == judge).withColumn("lang", lang)
+    make = lambda judge: _fitted(of(counts, judge), (of(grams_, judge), of(contexts, judge), alphabet), broadcast_grams)
+    seen = []
+    for k in ("0", "1"):  # one after the other, so that the driver holds the arrays of one
+        if (other := make(k)) is not None:
+            own = rows.where(half == int(k)).select(F.col("h").alias("doc_id"), "lang", "text")
+            seen.append(cut(judged(own, other).select("doc_id", "lang", "best", "entropy", "chars")))
+    fitted = make("a")
+    fitted.limits = _limits(functools.reduce(DataFrame.union, seen), fitted.languages)
     return fitted
 
 
+def _limits(seen: DataFrame, languages: list[str]) -> np.ndarray:
+    """The limits of ``languages`` from the distinct texts among ``judged`` ones; ``doc_id`` is a hash of text and language."""
+    own = seen.where("lang = best and chars > 0").groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("entropy").alias("entropy"), F.min("chars").alias("chars"))
+    own = cut(own.select("lang", "entropy", F.least("chars", F.lit(CALIBRATED_LENGTH)).cast("double").alias("length")))
+    means = {r["lang"]: r["mean"] for r in own.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("length")) / F.sum("length")).alias("mean")).collect()}
+    limits = np.full((len(languages), 2), np.inf)
+    limits[:, 0] = [means.get(x, np.inf) for x in languages]  # nothing to calibrate by: accept
+    if means:
+        mean = F.create_map(*(F.lit(v) for x in means.items() for v in x))[F.col("lang")]
+        excess = of_columns(own, {"excess": (F.col("entropy") - mean) * F.sqrt("length")}, (0.999,))["excess"][0]
+        limits[:, 1] = MARGIN * max(LEAST_EXCESS, excess)
+    return limits
+
+
 def decide(ce: np.ndarray, chars: np.ndarray, letters: np.ndarray, limits: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """Best model, its cross-entropy, certainty, and whether calibration accepts, of each row of cross-entropies."""
     best, least = ce.argmin(axis=1), ce.min(axis=1)
@@ -347,16 +388,17 @@ def teachable(rows: DataFrame) -> DataFrame:
     return known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
-def identify(docs: DataFrame, training: DataFrame | None = None, broadcast_grams: int = 8_000_000) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame | None = None, broadcast_grams: int = 8_000_000, calibration_rows: int | None = 4000) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, entropy, accepted`` for every row of ``docs``.
 
-    Models are learned from the rows of ``training`` (else ``docs``) that have a language and are not held out. A text
+    Models are learned from the rows of ``training`` (else ``docs``) that have a language and are not held out; for
+    ``calibration_rows`` (None: all texts calibrate, and none is left out of the models) see ``fit``. A text
     that is null or has no letter is ``und`` with score 0, as is every text when there is nothing to learn from; other
     texts get the learned language of lowest cross-entropy, and ``accepted`` says whether it is within calibration.
     A row does not depend on the rows around it. Ties go to the first language by name; repeated rows and rows without
     id get a row each; an empty table gives no rows; other columns do not matter.
     """
-    fitted = fit(teachable(docs if training is None else training), broadcast_grams=broadcast_grams)
+    fitted = fit(teachable(docs if training is None else training), calibration_rows, broadcast_grams)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("lang"))
     if fitted is None:
         nothing = F.lit(None).cast("double")
@@ -368,13 +410,13 @@ def identify(docs: DataFrame, training: DataFrame | None = None, broadcast_grams
     )
 
 
-def keep_identified(docs: DataFrame, training: DataFrame | None = None, broadcast_grams: int = 8_000_000) -> DataFrame:
+def keep_identified(docs: DataFrame, training: DataFrame | None = None, broadcast_grams: int = 8_000_000, calibration_rows: int | None = 4000) -> DataFrame:
     """``docs`` without the rows that ``identify`` rejects: texts that are null or have no letter, and texts unlike any language.
 
-    Without any row to learn from, no text can be unlike a language, so only those without a letter go. Repeated rows and
+    Models and limits are those of ``identify``. Without any row to learn from, no text can be unlike a language, so only those without a letter go. Repeated rows and
     rows without id are judged each; an empty table gives no rows; other columns stay as they are.
     """
-    fitted = fit(teachable(docs if training is None else training), broadcast_grams=broadcast_grams)
+    fitted = fit(teachable(docs if training is None else training), calibration_rows, broadcast_grams)
     if fitted is None:
         return keep_rows(docs, "text", lambda texts: (entropies(texts, [])[2] > 0).tolist(), 1_000_000)
     if fitted.models is None:
@@ -392,4 +434,4 @@ def keep_identified(docs: DataFrame, training: DataFrame | None = None, broadcas
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(table(spark, sf_dir, "documents"), calibration_rows=None)

@@ -249,6 +249,47 @@ def test_language_calibration_sample_is_bounded_by_distinct_texts(spark):
     assert counts == total
 
 
+@pytest.mark.parametrize("broadcast_grams", [8_000_000, 0])
+def test_language_models_and_limits_come_from_all_texts(spark, broadcast_grams):
+    """No text is left out of the models, and every distinct one calibrates, judged by plain models of the other half."""
+    rng = random.Random(37)
+    texts = [(prose(rng, lang, rng.randint(2, 9)), lang) for lang in ("en", "de") for _ in range(18)]
+    texts += [texts[0]] * 30 + [("", "en"), ("123", "de")]
+    df = spark.createDataFrame([(4 * i, *x) for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    fitted = language_id.fit(df.select("text", "lang"), None, broadcast_grams)
+    halves = {(r["text"], r["lang"]): r["half"] for r in df.select("text", "lang", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(2)).alias("half")).collect()}
+    alphabet = len({c for t, _ in texts for c in plain_characters(t)[3:]}) + 1
+    plain = lambda part: {x: PlainKneserNey([plain_characters(t) for t, y in texts if y == x and halves[t, y] in part], alphabet) for x in ("de", "en")}
+    entropy = lambda t, m: -sum(np.log(m.p(t[k - 3 : k + 1])) for k in range(3, len(t))) / (len(t) - 3)
+    judges, found = {0: plain([1]), 1: plain([0])}, []
+    for (text, lang), half in halves.items():
+        ce = {x: entropy(t, m) for x, m in judges[half].items()} if len(t := plain_characters(text)) > 3 else {}
+        if ce and min(sorted(ce), key=ce.get) == lang:
+            found.append((lang, ce[lang], min(len(t) - 3, language_id.CALIBRATED_LENGTH)))
+    mean = {x: np.average([e for y, e, _ in found if y == x], weights=[n for y, _, n in found if y == x]) for x in ("de", "en")}
+    most = np.quantile([(e - mean[x]) * np.sqrt(n) for x, e, n in found], 0.999)
+    assert len(found) > 30 and fitted.languages == ["de", "en"]
+    assert fitted.limits[:, 0] == pytest.approx([mean["de"], mean["en"]], rel=1e-4)
+    assert fitted.limits[:, 1] == pytest.approx(language_id.MARGIN * max(language_id.LEAST_EXCESS, most), rel=1e-3)
+    got = {r["doc_id"]: r for r in language_id.identify(df.limit(20), df.withColumn("doc_id", F.lit(0)), broadcast_grams, None).collect()}
+    whole = plain([0, 1])
+    for i in range(0, 20, 3):
+        t = plain_characters(texts[i][0])
+        assert got[4 * i]["entropy"] == pytest.approx(min(entropy(t, m) for m in whole.values()), rel=1e-4)
+
+
+def test_language_rejection_by_all_texts(spark):
+    """As the queries use it: junk goes and clean texts stay; one text, or none with a language, is enough to run."""
+    rng = random.Random(41)
+    clean = [(i, prose(rng, lang, rng.randint(20, 60)), lang) for i, lang in enumerate(rng.choice(list(SYLLABLES)) for _ in range(400))]
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(200)) for _ in range(20)] + ["".join(rng.choice("абвгдежзик ") for _ in range(150)) for _ in range(20)]
+    df = spark.createDataFrame(clean + [(1000 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language_id.keep_identified(df, calibration_rows=None).collect()}
+    assert not [i for i in kept if i >= 1000] and len(kept) >= 398
+    assert {r["lang_pred"] for r in language_id.identify(df, df.where("doc_id = 0"), calibration_rows=None).collect()} == {clean[0][2]}
+    assert {r["lang_pred"] for r in language_id.identify(df, df.where("lang is null"), calibration_rows=None).collect()} == {"und"}
+
+
 def test_language_held_out(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, lang, rng.randint(20, 60)), lang) for i, lang in enumerate(rng.choice(list(SYLLABLES)) for _ in range(240))]
