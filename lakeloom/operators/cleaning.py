@@ -225,10 +225,11 @@ def duration_pair(columns: list[str]) -> tuple[str, str] | None:
 def add_duration(df: DataFrame, start: str, end: str, least: float = 0.3) -> tuple[DataFrame, str | None]:
     """``duration_hours``, or ``duration_days`` where the median is over two days; none where too few rows have one."""
     hours = hours_between(F.col(start), F.col(end))
-    row = df.agg(F.avg((hours > 0).cast("double")).alias("all"), F.count("*").alias("rows"), F.count_if(hours > 0).alias("n"), E.quantile(F.when(hours > 0, hours), 0.5).alias("mid")).first()
+    row = df.agg(F.avg((hours > 0).cast("double")).alias("all"), F.count("*").alias("rows"), F.count_if(hours > 0).alias("n")).first()
     if not row["rows"] or row["n"] < least * row["rows"]:
         return df, None
-    unit = "days" if row["mid"] > 48 else "hours"
+    (mid,) = of_columns(df, {"hours": F.when(hours > 0, hours)}, (0.5,)).get("hours", [0.0])
+    unit = "days" if mid > 48 else "hours"
     name = f"duration_{unit}" if f"duration_{unit}" not in df.columns else f"{start}_to_{end}_{unit}"
     return df.withColumn(name, hours / 24 if unit == "days" else hours), name
 

@@ -7,6 +7,7 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -558,3 +559,22 @@ def test_quantiles_show_a_bracket_that_misses(spark):
     assert quantiles._selected(df, ["g"], "x", state, (15 / 99,)).first()["q"] == [15.0]
     assert quantiles.of_columns(df, {"x": F.col("x"), "none": F.lit(None), "half": F.col("x") / 2}, (0.25, 0.5)) == {"x": [24.75, 49.5], "half": [12.375, 24.75]}
     assert quantiles.of_columns(df, {}, (0.5,)) == {}
+
+
+def test_error_statistics_gather_no_column_in_a_task(spark):
+    """Medians of errors, ranks and distributions are those of numpy, and no plan counts a column value by value."""
+    rng = np.random.default_rng(5)
+    y, p = rng.normal(size=501).round(3), rng.normal(size=501).round(3)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, p, strict=True)] + [(None, 1.0), (1.0, None), (float("nan"), 1.0)], "y double, p double")
+    scores = spark.createDataFrame([(d, m, float((d * (m + 3)) % 7)) for d in range(9) for m in range(4)], "dataset int, model int, score double")
+    chosen = spark.createDataFrame([(d, d % 4) for d in range(9)], "dataset int, model int")
+    errors = metrics.regression(df, "y", "p")
+    picked, spread = metrics.selection_summary(scores, chosen), insights.distribution(df.dropna(), "y")
+    for out in (errors, picked, spread):
+        assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert errors.first()["median_error"] == pytest.approx(np.median(np.abs(y - p)))
+    hit = [r for r in metrics.ranks(scores).join(chosen, ["dataset", "model"]).collect()]
+    row = picked.first()
+    assert (row["median_regret"], row["median_rank"]) == (np.median([r["regret"] for r in hit]), np.median([r["rank"] for r in hit]))
+    assert spread.first()["median"] == pytest.approx(np.median(y))
+    assert metrics.regression(df.limit(0), "y", "p").first()["median_error"] is None
