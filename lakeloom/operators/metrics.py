@@ -57,11 +57,11 @@ def regression(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def errors_by_quartile(df: DataFrame, label: str, predicted: str) -> DataFrame:
-    """``part, n, mae`` for the lowest quarter of the label, the middle, and the highest."""
+    """``part, n, mae`` for the lowest quarter of the label, the middle, and the highest; quartiles are found by selection."""
     rows = df.select(F.col(label).cast("double").alias("y"), F.abs(F.col(label) - F.col(predicted)).cast("double").alias("e")).dropna()
-    q = F.broadcast(rows.agg(E.quantile(F.col("y"), 0.25, 0.75).alias("q")))  # one row
-    part = F.when(F.col("y") <= F.col("q")[0], "low").when(F.col("y") >= F.col("q")[1], "high").otherwise("middle")
-    return rows.crossJoin(q).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.avg("e").alias("mae"))
+    low, high = (F.lit(x).cast("double") for x in of_columns(rows, {"y": F.col("y")}, (0.25, 0.75)).get("y", [None, None]))
+    part = F.when(F.col("y") <= low, "low").when(F.col("y") >= high, "high").otherwise("middle")
+    return rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.avg("e").alias("mae"))
 
 
 def worst_predictions(df: DataFrame, label: str, predicted: str, row_id: str, n: int = 10) -> DataFrame:

@@ -578,3 +578,15 @@ def test_error_statistics_gather_no_column_in_a_task(spark):
     assert (row["median_regret"], row["median_rank"]) == (np.median([r["regret"] for r in hit]), np.median([r["rank"] for r in hit]))
     assert spread.first()["median"] == pytest.approx(np.median(y))
     assert metrics.regression(df.limit(0), "y", "p").first()["median_error"] is None
+
+
+def test_errors_by_quartile_gather_no_column_in_a_task(spark):
+    rng = np.random.default_rng(6)
+    y, p = rng.normal(size=501).round(3), rng.normal(size=501).round(3)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, p, strict=True)] + [(None, 1.0), (1.0, None), (float("nan"), 1.0)], "y double, p double")
+    parts = metrics.errors_by_quartile(df, "y", "p")
+    assert "percentile(" not in parts._jdf.queryExecution().optimizedPlan().toString()
+    e, (low, high) = np.abs(y - p), np.quantile(y, (0.25, 0.75))
+    got = {r["part"]: (r["n"], r["mae"]) for r in parts.collect()}
+    assert got == {k: (m.sum(), pytest.approx(e[m].mean())) for k, m in (("low", y <= low), ("high", y >= high), ("middle", (y > low) & (y < high)))}
+    assert metrics.errors_by_quartile(df.limit(0), "y", "p").count() == 0
