@@ -78,12 +78,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         hashes = [digest(b"%b %b %b" % x, SEED) for x in zip(found, found[1:], found[2:])]
     else:
         hashes = [digest(b" ".join(x), SEED) for x in zip(*(found[i:] for i in range(words)))]
-    counts = np.zeros(64, dtype=np.int64)
-    for start in range(0, len(hashes), 65536):  # a very long text needs no more memory than this
-        part = np.array(hashes[start : start + 65536], dtype="<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (counts * 2 > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return majority(np.array(hashes, dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -307,6 +302,26 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of a set of hashes: the bits that are set in over half of them."""
+    counts = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), 65536):  # a very long text needs no more memory than this
+        part = np.ascontiguousarray(hashes[start : start + 65536], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((counts * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def fingerprint_pairs(prints: DataFrame, radius: int = 2, block: int = 4096) -> DataFrame:
+    """Pairs ``a, b`` (the larger id first) of rows ``id, fp`` that connect all rows within ``radius`` bits of each other.
+
+    A row meets the first of its fingerprint, and the first of each fingerprint the nearest ones in the files of
+    ``hamming_links``, by bit-sliced comparison.
+    """
+    classes = cut_narrow(prints.groupBy("fp").agg(F.min("id").alias("id")))
+    equal = prints.join(classes.select("fp", F.col("id").alias("b")), "fp").where("id <> b").select(F.col("id").alias("a"), "b")
+    return equal.union(hamming_links(classes, radius, block, nearest=True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct()
+
+
 #: Bands and least hashes to a band. Two sets of similarity 0.8 have no band in common in 3 of a million cases, rarer above.
 BANDS, DEPTH = 24, 4
 
@@ -398,14 +413,16 @@ def _shared_shingles(least: float, quick: bool):
     return run
 
 
-def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, block: int = 4096, quick: int = 3) -> DataFrame:
+def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, block: int = 4096, quick: int = 3, radius: int = 2) -> DataFrame:
     """``node, component`` over ids: the components of all pairs of texts whose Jaccard similarity is ``least`` or more.
 
     Texts with the same words are one class. A class is filed under a key for each of ``BANDS`` bands of least hashes
-    (MinHash) of its shingles. Quick searches gather large groups first: over the first ``quick`` bands, then over one
-    text of each group in a file, in time that is linear. The last search takes the files in which groups still meet, and
-    every pair there that may be alike and is not in one group yet; a file beyond ``block`` classes is dealt into pairs
-    of blocks. Exact similarity decides; a pair of similarity 0.8 is missed in 3 of a million cases (see ``BANDS``). Null
+    (MinHash) of its shingles. SimHash comes first: pairs whose fingerprints of the same shingles differ in ``radius``
+    bits or fewer, compared bit by bit over planes (``fingerprint_pairs``). Texts of similarity 0.8 differ in ten bits on
+    average, so the bands find what is beyond the radius. Quick searches over them gather large groups: over the first
+    ``quick`` bands, then over all, one text of each group in a file, in time that is linear. The last search takes the
+    files in which groups still meet, and every pair there that may be alike and is not in one group yet; a file beyond
+    ``block`` classes is dealt into pairs of blocks. Exact similarity decides; a pair of similarity 0.8 is missed in 3 of a million cases (see ``BANDS``). Null
     counts as empty, rows without an id take no part, and an empty table gives no rows.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -418,11 +435,12 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 made = [shingle_hashes(x, shingle) for x in texts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(start, len(texts)), pa.array([d for d, _ in made], pa.binary()), pa.array([len(h) for _, h in made], pa.int64()),
-                     pa.array([parity(h) for _, h in made], pa.binary()), pa.array([bands(h).view(np.int64) for _, h in made], pa.list_(pa.int64()))],
-                    ["id", "words", "n", "bits", "bands"],
+                     pa.array([parity(h) for _, h in made], pa.binary()), pa.array([bands(h).view(np.int64) for _, h in made], pa.list_(pa.int64())),
+                     pa.array(np.array([majority(h) for _, h in made], dtype=np.uint64).view(np.int64))],
+                    ["id", "words", "n", "bits", "bands", "fp"],
                 )
 
-    known = cut(bounded(rows).mapInArrow(tidy(sets), "id long, words binary, n long, bits binary, bands array<long>"))
+    known = cut(bounded(rows).mapInArrow(tidy(sets), "id long, words binary, n long, bits binary, bands array<long>, fp long"))
     classes = cut_narrow(known.groupBy("words").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("words", F.col("id").alias("b")))
     same = cut_narrow(known.select("id", "words").join(few(classes), "words").where("id <> b").select(F.col("id").alias("a"), "b"))
     known = known.join(few(same.select(F.col("a").alias("id"))), "id", "left_anti").drop("words")
@@ -438,15 +456,19 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         about = known.select("id", "n", "bits").join(few(filed.select("id").distinct()), "id", "left_semi")
         files = filed.join(few(cut_narrow(about), 200_000), "id").select("file", "cross", "side", "id", "group", "n", "bits")
         pairs = cut_narrow(files.repartition("file").sortWithinPartitions("file", "cross", "n", "id").mapInArrow(tidy(_shared_shingles(least, fast)), "a long, b long").distinct())
+        return checked(pairs)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The pairs that are alike."""
         nominated = cut_narrow(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         texts = cut(rows.join(few(nominated), "id", "left_semi"))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         return cut_narrow(both.select("a", "b", "x", "y").mapInArrow(tidy(alike), "a long, b long"))
 
-    def grouped(found: DataFrame) -> DataFrame:
-        """``id, group, file`` of all bands, in the files in which groups meet."""
+    def grouped(found: DataFrame, first: int = BANDS) -> DataFrame:
+        """``id, group, file`` of the first bands (else all), in the files in which groups meet."""
         so_far = cut_narrow(components(found))
-        filed = known.join(few(so_far), known.id == so_far.node, "left").select("id", F.coalesce("component", "id").alias("group"), F.explode("bands").alias("file"))
+        filed = known.join(few(so_far), known.id == so_far.node, "left").select("id", F.coalesce("component", "id").alias("group"), F.explode(F.slice("bands", 1, first)).alias("file"))
         met = cut_narrow(filed.groupBy("file").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("file"))
         return cut_narrow(filed.join(few(met), "file").select("id", "group", "file"))
 
@@ -458,9 +480,10 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         sizes = cut_narrow(filed.groupBy("file").agg(F.count("*").alias("size")).where("size > 1"))
         return cut_narrow(filed.join(few(sizes), "file").withColumn("blocks", F.ceil(F.col("size") / block)).select(F.xxhash64("file", own).alias("file"), *plain))
 
-    found = linked(parts(known.select("id", F.col("id").alias("group"), F.explode(F.slice("bands", 1, quick)).alias("file"))), True)
-    one = grouped(found).groupBy("file", "group").agg(F.min("id").alias("id"))
-    found = cut_narrow(found.union(linked(parts(one), True)))
+    found = checked(cut_narrow(fingerprint_pairs(known.select("id", "fp"), radius, block)))
+    for first in (quick, BANDS):
+        one = grouped(found, first).groupBy("file", "group").agg(F.min("id").alias("id"))
+        found = cut_narrow(found.union(linked(parts(one), True)))
     filed = grouped(found)
     sizes = cut_narrow(filed.groupBy("file").agg(F.count("*").alias("size")))
     filed = filed.join(few(sizes), "file").withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("own", own)

@@ -675,6 +675,24 @@ def test_near_dedup_of_groups_within_reach_of_each_other(spark):
     assert sorted(i for i, _ in left) == sorted(set(want.values())) and len(left) == 12
 
 
+def test_near_dedup_compares_fingerprints_first(spark, monkeypatch):
+    """Pairs by SimHash connect what all pairs within two bits do, and they are what the stage starts from."""
+    rng = random.Random(43)
+    made = [int(rng.getrandbits(64)) for _ in range(60)]
+    made += [f ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for f in made[:30]] + made[:10]
+    prints = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(made)], "id long, fp long")
+    want = plain_components(range(len(made)), [(a, b) for a in range(len(made)) for b in range(a) if (made[a] ^ made[b]).bit_count() <= 2])
+    got = {r["node"]: r["component"] for r in components(simhash.fingerprint_pairs(prints)).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+    _, hashes = simhash.shingle_hashes(prose(rng, "en", 50, 10))
+    assert simhash.majority(hashes) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+    text = prose(rng, "en", 900, 30)
+    rows, seen, plain = [text, text + " end", prose(rng, "de", 90, 30)], [], simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda *a, **b: seen.append(plain(*a, **b)) or seen[0])
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert kept == {0, 2} and [tuple(r) for r in seen[0].collect()] == [(1, 0)]
+
+
 def test_near_dedup_finds_added_and_cut_passages(spark):
     """Against all pairs of 0.8 and more, whatever their fingerprints: a passage appended, put in front, cut or replaced."""
     rng = random.Random(21)
