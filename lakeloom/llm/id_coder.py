@@ -1,12 +1,12 @@
 """A range coder for token ids, driven by an adaptive mix of order-2, order-1 and order-0 predictions.
 
-Blocks of ids are coded independently: each starts with fresh models and ends with its own digits, so that blocks decode
-apart. Many blocks are coded side by side, one id of each at a time, as array operations over the blocks ("lanes").
+Blocks of ids are coded independently: each starts with fresh predictions and ends with its own digits, so that blocks
+decode apart. Many blocks are coded side by side, one id of each at a time, as array operations over the blocks ("lanes").
 
 * Order 2 and order 1 each predict one id: the one that last followed the same two ids, or the same id, with a confidence
-  of 0 to 3 that grows with hits and halves with misses.
-* Order 0 gives every id a probability: the four half bytes of an id are coded by adaptive cumulative frequencies, in the
-  context of the half bytes before.
+  of 0 to 3 that grows with hits and falls with misses.
+* Order 0 gives every id its share of a power of two. The shares are the caller's, from counts of what is to be coded
+  (``shares``); without them all ids are alike.
 * The mix: for each pair of confidences, and whether the two predictions agree, a block learns what share of the range
   the order-2 prediction and the order-1 prediction get; order 0 gets the rest.
 
@@ -19,93 +19,98 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids of a block, blocks coded side by side at most.
-BLOCK, LANES = 2048, 2048
-#: Rows of the contexts of the last half byte (12 bits, hashed; sharing a row only costs digits).
-LAST_ROWS = 1 << 10
-#: Slots of the predictions of order 1 and 2 (a collision only costs a miss), bits of a frequency total, adaptation shifts.
-SLOTS_1, SLOTS_2, BITS, SLOW, QUICK = 1 << 11, 1 << 12, 12, 5, 4
+BLOCK, LANES = 1024, 4096
+#: Slots of the predictions of order 1 and 2 (a collision only costs a miss), bits of the mix's total, adaptation shift.
+SLOTS_1, SLOTS_2, BITS, SLOW = 1 << 10, 1 << 11, 12, 5
 TOTAL = 1 << BITS
 #: Shares of the range that a prediction keeps at least and has at most, of TOTAL; what is left goes to order 0.
 LEAST, MOST = 16, TOTAL - 64
+#: Order 0 has 2**SPARE slots for each id that occurs, about.
+SPARE = 4
 
-_RAMP = np.arange(1, 17)
-#: What the cumulative frequencies of a half byte move to when it has been seen: all but 15 of TOTAL at its place.
-_TARGET = (_RAMP[None, :] + (TOTAL - 16) * (_RAMP[None, :] > np.arange(16)[:, None])).astype(np.int16)
-_EVEN = (_RAMP * (TOTAL // 16)).astype(np.int16)
-_FIRST = np.arange(LANES) * 16
 _U32 = np.uint64(32)
 _LOW = np.uint64(1) << _U32
-_ONES = np.uint64(0x0101010101010101)
+_SURE = 1 << 16
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    """The share of each id in order 0: one at least where its count is not 0, together a power of two."""
+    counts = np.asarray(counts, dtype=np.int64)
+    held = counts > 0
+    n = int(held.sum())
+    if not n:
+        return np.zeros(len(counts), dtype=np.int64)
+    total = 1 << ((n - 1).bit_length() + SPARE)
+    out = held + counts * (total - n) // counts.sum()
+    out[np.argsort(-counts, kind="stable")[: total - int(out.sum())]] += 1
+    return out
 
 
 class _Models:
-    """The models of ``lanes`` blocks for ids below ``vocabulary``."""
+    """The predictions of order 1 and 2 and the mix of ``lanes`` blocks; arrays of two rows have order 1 first."""
 
-    def __init__(self, lanes: int, vocabulary: int):
-        if not 0 < vocabulary <= 1 << 16:
-            raise ValueError("ids have 16 bits at most")
-        top = vocabulary - 1
-        self.rows = [1, (top >> 12) + 1, (top >> 8) + 1, min((top >> 4) + 1, LAST_ROWS)]
-        self.order_0 = [np.empty((lanes * r, 16), dtype=np.int16) for r in self.rows]
-        self.whole = [t.view("V32")[:, 0] for t in self.order_0]  # a row as one item
-        self.order_1, self.order_2 = np.empty(lanes * SLOTS_1, dtype=np.uint32), np.empty(lanes * SLOTS_2, dtype=np.uint32)
-        self.share_1, self.share_2 = np.empty(lanes * 32, dtype=np.int64), np.empty(lanes * 32, dtype=np.int64)
-        self.lane = np.arange(lanes)
+    def __init__(self, lanes: int):
+        self.lanes, lane = lanes, np.arange(lanes)
+        self.table, self.share = np.empty(lanes * (SLOTS_1 + SLOTS_2), dtype=np.int32), np.empty(2 * lanes * 32, dtype=np.int64)
+        self.first_slot = np.stack([lane * SLOTS_1, lanes * SLOTS_1 + lane * SLOTS_2])
+        self.first_state = np.stack([lane * 32, (lanes + lane) * 32])
         self.last, self.before = np.empty(lanes, dtype=np.int64), np.empty(lanes, dtype=np.int64)
         self.reset()
 
     def reset(self) -> None:
-        for t in self.order_0:
-            t[:] = _EVEN
-        for t in (self.order_1, self.order_2, self.last, self.before):
+        for t in (self.table, self.last, self.before):
             t[:] = 0
-        for t in (self.share_1, self.share_2):
-            t[:] = TOTAL // 8
+        self.share[:] = TOTAL // 8
 
-    def predict(self, k: int) -> tuple[np.ndarray, ...]:
-        """For the first ``k`` lanes: both predictions and their shares of TOTAL; kept for ``learn``."""
+    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the first ``k`` lanes: both predictions, and the shares of TOTAL of order 1 and 2; kept for ``learn``."""
         last = self.last[:k]
-        mixed = (last * 40503 + self.before[:k] * 60493) & 0xFFFFFF
-        self.at_1 = self.lane[:k] * SLOTS_1 + (last & (SLOTS_1 - 1))
-        self.at_2 = self.lane[:k] * SLOTS_2 + ((mixed ^ (mixed >> 11)) & (SLOTS_2 - 1))
-        found_1, found_2 = self.order_1[self.at_1].astype(np.int64), self.order_2[self.at_2].astype(np.int64)
-        self.sure_1, self.sure_2, self.id_1, self.id_2 = found_1 >> 16, found_2 >> 16, found_1 & 0xFFFF, found_2 & 0xFFFF
-        self.apart = self.id_1 != self.id_2
-        self.state = self.lane[:k] * 32 + self.sure_2 * 8 + self.sure_1 * 2 + self.apart
-        self.now_2, self.now_1 = self.share_2[self.state], self.share_1[self.state]
-        return self.id_2, self.id_1, self.now_2, self.now_1 * self.apart
+        mixed = last * 40503
+        mixed += self.before[:k] * 60493
+        mixed ^= mixed >> 11
+        self.at = np.empty((2, k), dtype=np.int64)
+        np.bitwise_and(last, SLOTS_1 - 1, out=self.at[0])
+        np.bitwise_and(mixed, SLOTS_2 - 1, out=self.at[1])
+        self.at += self.first_slot[:, :k]
+        self.found = self.table.take(self.at)
+        self.ids = self.found & 0xFFFF
+        self.apart = self.ids[0] != self.ids[1]
+        sure = self.found >> 16
+        state = (sure[1] << 3) + (sure[0] << 1)
+        state += self.apart
+        self.state = self.first_state[:, :k] + state
+        self.now = self.share.take(self.state)
+        return self.ids, (self.now[0] * self.apart).view(np.uint64), self.now[1].view(np.uint64)
 
     def learn(self, k: int, ids: np.ndarray) -> None:
-        """The ids that came."""
-        hit_1, hit_2 = self.id_1 == ids, self.id_2 == ids
-        self.share_2[self.state] = self.now_2 + ((LEAST + (MOST - LEAST) * hit_2 - self.now_2) >> SLOW)
-        self.share_1[self.state] = self.now_1 + ((LEAST + (MOST - LEAST) * (hit_1 & self.apart) - self.now_1) >> SLOW)
-        for table, at, hit, sure, old in ((self.order_1, self.at_1, hit_1, self.sure_1, self.id_1), (self.order_2, self.at_2, hit_2, self.sure_2, self.id_2)):
-            now = np.where(hit, np.minimum(sure + 1, 3), sure >> 1)
-            table[at] = np.where(now == 0, ids | 0x10000, old | (now << 16))
+        """The ids that came, as 32-bit integers."""
+        hit = self.ids == ids
+        missed = np.where(self.found >= 2 * _SURE, self.ids, ids)
+        missed |= _SURE
+        sure = self.found + _SURE
+        np.minimum(sure, ids | 3 * _SURE, out=sure)
+        self.table[self.at] = np.where(hit, sure, missed)
+        hit[0] &= self.apart
+        move = np.where(hit, MOST, LEAST)
+        move -= self.now
+        move >>= SLOW
+        move += self.now
+        self.share[self.state] = move
         self.before[:k] = self.last[:k]
         self.last[:k] = ids
 
-    def half_bytes(self, level: int, who: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cumulative frequencies of a half byte in each lane's context, and where they stand."""
-        if level == 3:
-            context = (context ^ (context >> 10)) & (self.rows[3] - 1) if self.rows[3] == LAST_ROWS else context
-        at = who * self.rows[level] + context
-        return self.whole[level].take(at).view(np.int16).reshape(-1, 16), at
 
-    def adapt(self, level: int, at: np.ndarray, rows: np.ndarray, half: np.ndarray) -> None:
-        moved = _TARGET.take(half, axis=0, mode="clip")
-        moved -= rows
-        moved >>= QUICK
-        moved += rows
-        self.whole[level][at] = moved.view("V32")[:, 0]
+class _Order0:
+    """Shares of a power of two: where each id's begins, and which id a slot belongs to."""
 
-
-def _span(rows: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a half byte's share begins, and how large it is."""
-    flat, at = rows.ravel(), _FIRST[: len(half)] + half
-    begin = flat.take(at - 1, mode="wrap") * (half > 0)
-    return begin.astype(np.uint64), (flat.take(at) - begin).astype(np.uint64)
+    def __init__(self, share: np.ndarray):
+        total = int(share.sum())
+        if total & (total - 1) or (len(share) and share.min() < 0):
+            raise ValueError("shares must add up to a power of two")
+        self.bits, self.most = np.uint64(max(total.bit_length() - 1, 0)), np.uint64(max(total - 1, 0))
+        self.size = share.astype(np.uint64)
+        self.begin = (np.cumsum(share) - share).astype(np.uint64)
+        self.slots = np.repeat(np.arange(len(share), dtype=np.int32), share)
 
 
 def _groups(lengths: np.ndarray, lanes: int):
@@ -118,79 +123,71 @@ class Coder:
     """Encodes and decodes blocks of ids below ``vocabulary``; keeps the models' memory between calls."""
 
     def __init__(self, vocabulary: int, lanes: int = LANES):
+        if not 0 < vocabulary <= 1 << 16:
+            raise ValueError("ids have 16 bits at most")
         self.vocabulary, self.lanes = vocabulary, min(lanes, LANES)
         self._models: _Models | None = None
 
     def _fresh(self, lanes: int) -> _Models:
-        if self._models is None or len(self._models.lane) < lanes:
-            self._models = _Models(lanes, self.vocabulary)
+        if self._models is None or self._models.lanes < lanes:
+            self._models = _Models(lanes)
         else:
             self._models.reset()
         return self._models
 
-    def encode(self, blocks: list[np.ndarray]) -> list[bytes]:
-        """The digits of each block."""
-        lengths = np.array([len(b) for b in blocks], dtype=np.int64)
+    def _order_0(self, share: np.ndarray | None) -> _Order0:
+        return _Order0(shares(np.ones(self.vocabulary)) if share is None else np.asarray(share, dtype=np.int64))
+
+    def encode(self, blocks: list[np.ndarray], share: np.ndarray | None = None) -> list[bytes]:
+        """The digits of each block; ``share``: those of order 0 (see ``shares``), not 0 for any id of the blocks."""
+        lengths, order_0 = np.array([len(b) for b in blocks], dtype=np.int64), self._order_0(share)
         out = [b""] * len(blocks)
         for group in _groups(lengths, self.lanes):
-            for i, made in zip(group.tolist(), self._encode([blocks[i] for i in group], lengths[group]), strict=True):
+            for i, made in zip(group.tolist(), self._encode([blocks[i] for i in group], lengths[group], order_0), strict=True):
                 out[i] = made
         return out
 
-    def _encode(self, blocks: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
+    def _encode(self, blocks: list[np.ndarray], lengths: np.ndarray, order_0: _Order0) -> list[bytes]:
         n, steps = len(blocks), int(lengths[0]) if len(lengths) else 0
         if any(len(b) and (b.min() < 0 or b.max() >= self.vocabulary) for b in blocks):
             raise ValueError("an id is outside the vocabulary")
-        ids = np.zeros((steps, n), dtype=np.uint16)
+        ids = np.zeros((n, steps), dtype=np.uint16)
         for i, b in enumerate(blocks):
-            ids[: len(b), i] = b
+            ids[i, : len(b)] = b
+            if not order_0.size[ids[i, : len(b)]].all():
+                raise ValueError("an id has no share of order 0")
+        ids = np.ascontiguousarray(ids.T)
         models = self._fresh(n)
         low, span, written = np.zeros(n, dtype=np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64), np.zeros(n, dtype=np.int64)
         digits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         carries: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def code(at, begin, size, bits: int) -> None:
-            unit = span[at] >> np.uint64(bits)
-            old = low[at]
-            new = old + unit * begin
-            narrow = unit * size
+        active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes with more than t ids
+        for t in range(steps):
+            k = int(active[t])
+            now = ids[t, :k].astype(np.int32)
+            found, share_1, share_2 = models.predict(k)
+            unit, old = span[:k] >> np.uint64(BITS), low[:k]
+            both = share_1 + share_2
+            # order 0, in what the mix leaves to it
+            part = (unit * (np.uint64(TOTAL) - both)) >> order_0.bits
+            new, narrow = old + unit * both + part * order_0.begin.take(now), part * order_0.size.take(now)
+            hit_1, hit_2 = found == now
+            hit = np.flatnonzero(hit_1 | hit_2)
+            if len(hit):
+                second = hit_2[hit]
+                new[hit] = old[hit] + np.where(second, np.uint64(0), unit[hit] * share_2[hit])
+                narrow[hit] = unit[hit] * np.where(second, share_2[hit], share_1[hit])
             over = np.flatnonzero(new < old)
-            lanes = at if isinstance(at, np.ndarray) else None
             if len(over):
-                who = over if lanes is None else lanes[over]
-                carries.append((who, written[who] - 1))
+                carries.append((over, written[over] - 1))
             short = np.flatnonzero(narrow < _LOW)
             if len(short):
-                who = short if lanes is None else lanes[short]
-                digits.append((who, written[who], new[short] >> _U32))
-                written[who] += 1
-                new[short] <<= _U32
+                top = new[short]
+                digits.append((short, written[short], top >> _U32))
+                written[short] += 1
+                new[short] = top << _U32
                 narrow[short] <<= _U32
-            low[at], span[at] = new, narrow
-
-        active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes with more than t ids
-        for t in range(steps):
-            k = int(active[t])
-            now = ids[t, :k].astype(np.int64)
-            id_2, id_1, share_2, share_1 = models.predict(k)
-            hit_2 = id_2 == now
-            hit_1 = (id_1 == now) & ~hit_2
-            rest = TOTAL - share_2 - share_1
-            begin = np.where(hit_2, 0, np.where(hit_1, share_2, share_2 + share_1))
-            size = np.where(hit_2, share_2, np.where(hit_1, share_1, rest))
-            code(slice(0, k), begin.astype(np.uint64), size.astype(np.uint64), BITS)
-            who = np.flatnonzero(~(hit_2 | hit_1))
-            if len(who):
-                missed = now[who]
-                for pair in (0, 2):
-                    spans = []
-                    for level in (pair, pair + 1):
-                        half = (missed >> (12 - 4 * level)) & 15
-                        rows, row = models.half_bytes(level, who, missed >> (16 - 4 * level))
-                        spans.append(_span(rows, half))
-                        models.adapt(level, row, rows, half)
-                    (b0, s0), (b1, s1) = spans
-                    code(who, b0 * np.uint64(TOTAL) + s0 * b1, s0 * s1, 2 * BITS)
+            low[:k], span[:k] = new, narrow
             models.learn(k, now)
         everyone = np.arange(n)
         for shift in (_U32, np.uint64(0)):  # what is left of the range's begin
@@ -208,67 +205,52 @@ class Coder:
         words = flat.astype(">u4")
         return [words[starts[i] : starts[i + 1]].tobytes() for i in range(n)]
 
-    def decode(self, payloads: list[bytes], lengths: list[int] | np.ndarray) -> list[np.ndarray]:
-        """The ids of each block, given its digits and its number of ids."""
-        lengths = np.asarray(lengths, dtype=np.int64)
+    def decode(self, payloads: list[bytes], lengths: list[int] | np.ndarray, share: np.ndarray | None = None) -> list[np.ndarray]:
+        """The ids of each block, given its digits, its number of ids and the shares that it was encoded with."""
+        lengths, order_0 = np.asarray(lengths, dtype=np.int64), self._order_0(share)
         out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(payloads)
         for group in _groups(lengths, self.lanes):
-            for i, made in zip(group.tolist(), self._decode([payloads[i] for i in group], lengths[group]), strict=True):
+            for i, made in zip(group.tolist(), self._decode([payloads[i] for i in group], lengths[group], order_0), strict=True):
                 out[i] = made
         return out
 
-    def _decode(self, payloads: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
+    def _decode(self, payloads: list[bytes], lengths: np.ndarray, order_0: _Order0) -> list[np.ndarray]:
         n, steps = len(payloads), int(lengths[0]) if len(lengths) else 0
-        words = [np.frombuffer(p, dtype=">u4").astype(np.uint64) for p in payloads]
-        flat = np.concatenate([*words, np.zeros(2, dtype=np.uint64)])
-        at_digit = np.r_[0, np.cumsum([len(w) for w in words])][:-1].astype(np.int64)
+        sizes = np.array([len(p) // 4 for p in payloads], dtype=np.int64)
+        flat = np.r_[np.frombuffer(b"".join(payloads), dtype=">u4").astype(np.uint64), np.zeros(2, dtype=np.uint64)]
+        at_digit = np.cumsum(sizes) - sizes
         ids = np.zeros((steps, n), dtype=np.uint16)
         models = self._fresh(n)
         off, span = (flat[at_digit] << _U32) | flat[at_digit + 1], np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         at_digit += 2
-
-        def take(at, rest, unit, begin, size) -> None:
-            new, narrow = rest - unit * begin, unit * size
-            short = np.flatnonzero(narrow < _LOW)
-            if len(short):
-                who = at[short] if isinstance(at, np.ndarray) else short
-                new[short] = (new[short] << _U32) | flat[np.minimum(at_digit[who], len(flat) - 1)]
-                narrow[short] <<= _U32
-                at_digit[who] += 1
-            off[at], span[at] = new, narrow
-
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")
         for t in range(steps):
             k = int(active[t])
-            id_2, id_1, share_2, share_1 = models.predict(k)
-            unit, rest = span[:k] >> np.uint64(BITS), off[:k]
-            value = np.minimum(rest // unit, np.uint64(TOTAL - 1)).astype(np.int64)
-            hit_2 = value < share_2
-            both = share_2 + share_1
-            hit_1 = (value < both) & ~hit_2
-            begin = np.where(hit_2, 0, np.where(hit_1, share_2, both))
-            size = np.where(hit_2, share_2, np.where(hit_1, share_1, TOTAL - both))
-            take(slice(0, k), rest, unit, begin.astype(np.uint64), size.astype(np.uint64))
-            now = np.where(hit_2, id_2, id_1)
-            who = np.flatnonzero(value >= both)
-            if len(who):
-                made = np.zeros(len(who), dtype=np.int64)
-                for pair in (0, 2):
-                    unit, rest = span[who] >> np.uint64(2 * BITS), off[who]
-                    value = np.minimum(rest // unit, np.uint64(TOTAL * TOTAL - 1)).astype(np.int64)
-                    spans = []
-                    for level in (pair, pair + 1):
-                        wanted = value >> BITS if level == pair else (value - (begin << BITS)) // size
-                        rows, row = models.half_bytes(level, who, made)
-                        bits = (rows <= wanted[:, None].astype(np.int16)).view(np.uint64)
-                        half = (((bits[:, 0] + bits[:, 1]) * _ONES) >> np.uint64(56)).astype(np.int64)
-                        spans.append(_span(rows, half))
-                        begin, size = spans[-1][0].astype(np.int64), spans[-1][1].astype(np.int64)
-                        models.adapt(level, row, rows, half)
-                        made = (made << 4) | half
-                    (b0, s0), (b1, s1) = spans
-                    take(who, rest, unit, b0 * np.uint64(TOTAL) + s0 * b1, s0 * s1)
-                now[who] = made
+            found, share_1, share_2 = models.predict(k)
+            unit, old = span[:k] >> np.uint64(BITS), off[:k]
+            both = share_1 + share_2
+            known = unit * both
+            part = (unit * (np.uint64(TOTAL) - both)) >> order_0.bits
+            new = old - known
+            now = order_0.slots.take(np.minimum(new // part, order_0.most).view(np.int64))
+            new -= part * order_0.begin.take(now)
+            narrow = part * order_0.size.take(now)
+            hit = np.flatnonzero(old < known)
+            if len(hit):
+                rest, unit, size_2 = old[hit], unit[hit], share_2[hit]
+                border = unit * size_2
+                second = rest < border
+                new[hit] = np.where(second, rest, rest - border)
+                narrow[hit] = unit * np.where(second, size_2, share_1[hit])
+                now[hit] = np.where(second, found[1, hit], found[0, hit])
+            short = np.flatnonzero(narrow < _LOW)
+            if len(short):
+                place = at_digit[short]
+                new[short] = (new[short] << _U32) | flat.take(place, mode="clip")
+                narrow[short] <<= _U32
+                at_digit[short] = place + 1
+            off[:k], span[:k] = new, narrow
             ids[t, :k] = now
             models.learn(k, now)
-        return [ids[: lengths[i], i].astype(np.uint32) for i in range(n)]
+        ids = np.ascontiguousarray(ids.T)
+        return [ids[i, : lengths[i]].astype(np.uint32) for i in range(n)]

@@ -1,10 +1,11 @@
 """Token ids of whole texts in compressed binary files, as a data source for Spark's reader and writer.
 
 A file is a run of sections; each holds whole documents, in the order of their ids: a checksummed header and index (ids
-and lengths of the documents), a table of blocks (ids, bytes, checksum), and the blocks' digits (``id_coder``). Blocks
-start with fresh models and have their own checksums, so damage stays in one block and is found. The writer gives each
-task's file a name of its own and the driver renames them and writes ``manifest.json`` (files in order, with the
-numbers of documents and ids) only when all tasks have succeeded, so a task that runs twice leaves nothing behind.
+and lengths of the documents, and the shares of order 0, from the section's own ids), a table of blocks (ids, bytes,
+checksum), and the blocks' digits (``id_coder``). Blocks start with fresh predictions and have their own checksums, so
+damage stays in one block and is found. The writer gives each task's file a name of its own and the driver renames them
+and writes ``manifest.json`` (files in order, with the numbers of documents and ids) only when all tasks have succeeded,
+so a task that runs twice leaves nothing behind.
 
 Texts are encoded by distinct chunk: no word of the vocabulary's pattern goes over white space, so what stands between
 ASCII white space is encoded by the library once and looked up afterwards.
@@ -13,8 +14,10 @@ ASCII white space is encoded by the library once and looked up afterwards.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -29,59 +32,104 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import bounded, give_back, hold, let_go, shared_folder, table
-from .id_coder import BLOCK, LANES, Coder
+from .id_coder import BLOCK, LANES, Coder, shares
 from .token_counts import tokenizer
 
-#: Distinct chunks that a worker keeps, and their characters (both besides those of one slice of texts); ids gathered before a section is written.
-CACHE_CHUNKS, CACHE_CHARS, SECTION = 400_000, 8_000_000, BLOCK * LANES
+#: Distinct chunks that a worker keeps, and their bytes (both besides those of one slice of texts, of ``SLICE`` bytes); ids gathered before a section is written.
+CACHE_CHUNKS, CACHE_BYTES, SLICE, SECTION = 300_000, 16_000_000, 8_000_000, BLOCK * LANES
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 _HEAD = struct.Struct("<4sIQIII")  # magic, documents, ids, blocks, index bytes, checksum
-_MAGIC = b"IDS1"
+_MAGIC = b"IDS2"
+
+
+#: The normalizer and the words of the vocabulary whose texts are taken apart further than at white space.
+_NORMALIZED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A letter or digit before ASCII punctuation, where a word ends under ``_WORDS`` whatever follows; none of it is in a special string.
+_BREAK, _BROKEN = r"""([0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-/:;=?@\[-`{}~])""", r"\1 \2"
+#: Words of letters that no normal form touches but lower case, and how many are encoded as one text.
+_PLAIN, JOINED = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", 1000
 
 
 class Encoder:
-    """The library's ids of whole texts, each distinct chunk encoded once."""
+    """The library's ids of whole texts, each distinct chunk encoded once.
+
+    Where the vocabulary's words are known (``_WORDS``), chunks also end before punctuation, and those of plain letters
+    are encoded many at a time, by the library without the steps that leave them as they are. A word's last token, and
+    no other, ends with the model's suffix, which gives each word its ids.
+    """
 
     def __init__(self, name: str):
         self.library = tokenizer(name)
         self.vocabulary = self.library.get_vocab_size()
+        self.plain = self._plain()
         self._clear()
 
+    def _plain(self) -> Tokenizer | None:
+        """The library for plain lower-case words between blanks; None where that is not shown to be the same."""
+        parts = json.loads(self.library.to_str())
+        normal, pre, suffix = parts["normalizer"] or {}, (parts["pre_tokenizer"] or {}).get("pretokenizers", []), parts["model"].get("end_of_word_suffix")
+        split = {"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        same = len(pre) == 2 and pre[0] == split and {k: v for k, v in pre[1].items() if k != "trim_offsets"} == level
+        added = [t["content"] for t in parts["added_tokens"]]
+        if not same or not suffix or normal.get("normalizers") != _NORMALIZED or any(re.search(_BREAK, x) or re.search(_PLAIN, x) for x in added):
+            return None
+        made = Tokenizer.from_str(self.library.to_str())
+        made.normalizer = None
+        made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.vocabulary, dtype=bool)
+        self.last[[i for t, i in parts["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        return made
+
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.chars = 0
-        self.sizes, self.starts, self.flat, self.used = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 18, dtype=np.uint32), 0
-
-    def _add(self, chunks: list[str]) -> None:
-        made = [x.ids for x in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in made], dtype=np.int64)
-        at, more = len(self.known), int(sizes.sum())
-        while at + len(made) > len(self.sizes):
-            self.sizes, self.starts = np.r_[self.sizes, np.zeros_like(self.sizes)], np.r_[self.starts, np.zeros_like(self.starts)]
-        while self.used + more > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        self.sizes[at : at + len(made)] = sizes
-        self.starts[at : at + len(made)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + more] = np.fromiter((i for x in made for i in x), dtype=np.uint32, count=more)
-        self.used += more
-        self.chars += sum(map(len, chunks))
-        self.known.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        self.known, self.sizes, self.flat = pa.array([], pa.large_string()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+
+    def _one_by_one(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        made = [x.ids for x in self.library.encode_batch_fast(chunks.to_pylist(), add_special_tokens=False)]
+        return np.array([len(x) for x in made], dtype=np.int64), np.fromiter(itertools.chain.from_iterable(made), dtype=np.uint32)
+
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        bounds = pa.array(np.r_[np.arange(0, len(words), JOINED), len(words)], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(bounds, words), pa.scalar(" ", pa.large_string())).to_pylist()
+        ids = np.fromiter(itertools.chain.from_iterable(x.ids for x in self.plain.encode_batch_fast(texts, add_special_tokens=False)), dtype=np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return (np.diff(ends, prepend=0), ids) if len(ends) == len(words) else self._one_by_one(words)
+
+    def _add(self, chunks: pa.Array) -> None:
+        plain = pc.match_substring_regex(chunks, _PLAIN) if self.plain else pa.array(np.zeros(len(chunks), dtype=bool))
+        for some, encode in ((chunks.filter(plain), self._joined), (chunks.filter(pc.invert(plain)), self._one_by_one)):
+            if len(some):
+                sizes, ids = encode(some)
+                self.known = pa.concat_arrays([self.known, some])
+                self.sizes, self.flat = np.r_[self.sizes, sizes], np.r_[self.flat, ids]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts (null: none) one after another, and the number of each text's ids."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        whole = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.plain:
+            whole = pc.replace_substring_regex(whole, pattern=_BREAK, replacement=_BROKEN)
+        lists = pc.ascii_split_whitespace(whole)
         coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
+        chunks = coded.dictionary
+        if self.plain:
+            chunks = pc.if_else(pc.match_substring_regex(chunks, _PLAIN), pc.utf8_lower(chunks), chunks)
+        if len(self.known) > CACHE_CHUNKS or self.known.nbytes > CACHE_BYTES:
             self._clear()
-        self._add([c for c in chunks if c not in self.known])
-        place = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        where = place[coded.indices.to_numpy(zero_copy_only=False)] if len(chunks) else np.zeros(0, dtype=np.int64)
-        sizes = self.sizes[where]
+        found = pc.index_in(chunks, value_set=self.known)
+        place = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        if found.null_count:
+            missed = pc.is_null(found)
+            rest, at = chunks.filter(missed), len(self.known)
+            self._add(rest.unique())
+            place[missed.to_numpy(zero_copy_only=False)] = at + pc.index_in(rest, value_set=self.known.slice(at)).to_numpy()
+        where = place[coded.indices.to_numpy(zero_copy_only=False)]
+        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[where]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[where] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat[np.repeat(starts[where] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.r_[0, ends][lists.offsets.to_numpy()]
         return ids, np.diff(bounds)
 
@@ -118,7 +166,7 @@ def _encoded(batch: pa.RecordBatch, name: str, tail: np.ndarray) -> Iterator[tup
     column = batch.column(1)
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         made = encoder(name)
-        for start, stop in _runs(column, 2_000_000):
+        for start, stop in _runs(column, SLICE):
             flat, sizes = made.encode(column.slice(start, stop - start))
             flat = np.insert(flat, np.repeat(np.cumsum(sizes), len(tail)), np.tile(tail, len(sizes)))
             yield batch.column(0).slice(start, stop - start).to_pylist(), flat, sizes + len(tail)
@@ -136,10 +184,14 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
 
 def _section(coder: Coder, keys: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """The bytes of one section."""
+    if len(ids) and ids.max() >= coder.vocabulary:
+        raise ValueError("an id is outside the vocabulary")
     blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    made = coder.encode(blocks)
-    null = np.array([k is None for k in keys], dtype=bool)
-    index = zlib.compress(np.array([k or 0 for k in keys], dtype="<i8").tobytes() + np.packbits(null).tobytes() + np.array(lengths, dtype="<i8").tobytes())
+    share = shares(np.bincount(ids, minlength=coder.vocabulary))
+    made = coder.encode(blocks, share)
+    null, held = np.array([k is None for k in keys], dtype=bool), share > 0
+    parts = [np.array([k or 0 for k in keys], dtype="<i8"), np.packbits(null), np.array(lengths, dtype="<i8"), np.packbits(held), share[held].astype("<u4")]
+    index = zlib.compress(b"".join(p.tobytes() for p in parts))
     entries = np.array([(len(b), len(m), zlib.crc32(m)) for b, m in zip(blocks, made, strict=True)], dtype="<u4").reshape(-1, 3).tobytes()
     head = _HEAD.pack(_MAGIC, len(keys), len(ids), len(blocks), len(index), zlib.crc32(index + entries))
     return b"".join([head, index, entries, *made])
@@ -153,13 +205,16 @@ def _sections(file, coder: Coder, name: str) -> Iterator[tuple[list[int | None],
         if magic != _MAGIC or zlib.crc32(index + entries) != check:
             raise ValueError(f"a section of {name} is damaged")
         plain = zlib.decompress(index)
-        keys, null = np.frombuffer(plain, "<i8", n_docs).tolist(), np.unpackbits(np.frombuffer(plain, np.uint8, -(-n_docs // 8), 8 * n_docs), count=n_docs)
-        lengths = np.frombuffer(plain, "<i8", n_docs, len(plain) - 8 * n_docs)
+        at = np.cumsum([0, 8 * n_docs, -(-n_docs // 8), 8 * n_docs, -(-coder.vocabulary // 8)]).tolist()
+        keys, null = np.frombuffer(plain, "<i8", n_docs).tolist(), np.unpackbits(np.frombuffer(plain, np.uint8, at[2] - at[1], at[1]), count=n_docs)
+        lengths, held = np.frombuffer(plain, "<i8", n_docs, at[2]), np.unpackbits(np.frombuffer(plain, np.uint8, at[4] - at[3], at[3]), count=coder.vocabulary)
+        share = np.zeros(coder.vocabulary, dtype=np.int64)
+        share[held > 0] = np.frombuffer(plain, "<u4", offset=at[4])
         rows = np.frombuffer(entries, "<u4").reshape(-1, 3).astype(np.int64)
         payloads = [file.read(int(n)) for n in rows[:, 1]]
         if bad := [i for i, p in enumerate(payloads) if zlib.crc32(p) != rows[i, 2]]:
             raise ValueError(f"block {bad[0]} of a section of {name} is damaged")
-        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *coder.decode(payloads, rows[:, 0])])
+        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *coder.decode(payloads, rows[:, 0], share)])
         if len(ids) != n_ids or lengths.sum() != n_ids:
             raise ValueError(f"a section of {name} is incomplete")
         yield [None if x else k for k, x in zip(keys, null, strict=True)], lengths, ids
