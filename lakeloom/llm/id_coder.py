@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids of a block, blocks coded side by side at most.
-BLOCK, LANES = 1024, 4096
+BLOCK, LANES = 1024, 6144
 #: Slots of the predictions of order 1 and 2 (a collision only costs a miss), bits of the mix's total, adaptation shift.
 SLOTS_1, SLOTS_2, BITS, SLOW = 1 << 10, 1 << 11, 12, 5
 TOTAL = 1 << BITS
@@ -30,6 +30,7 @@ SPARE = 4
 
 _U32 = np.uint64(32)
 _LOW = np.uint64(1) << _U32
+_ONES = _LOW - np.uint64(1)
 _SURE = 1 << 16
 
 
@@ -47,13 +48,15 @@ def shares(counts: np.ndarray) -> np.ndarray:
 
 
 class _Models:
-    """The predictions of order 1 and 2 and the mix of ``lanes`` blocks; arrays of two rows have order 1 first."""
+    """The predictions of order 1 and 2 and the mix of ``lanes`` blocks; arrays of two rows have order 1 first.
+
+    A slot's entries of all lanes stand side by side, so that slots in frequent use are close together in memory.
+    """
 
     def __init__(self, lanes: int):
         self.lanes, lane = lanes, np.arange(lanes)
-        self.table, self.share = np.empty(lanes * (SLOTS_1 + SLOTS_2), dtype=np.int32), np.empty(2 * lanes * 32, dtype=np.int64)
-        self.first_slot = np.stack([lane * SLOTS_1, lanes * SLOTS_1 + lane * SLOTS_2])
-        self.first_state = np.stack([lane * 32, (lanes + lane) * 32])
+        self.table, self.share = np.empty(self.lanes * (SLOTS_1 + SLOTS_2), dtype=np.int32), np.empty(2 * self.lanes * 32, dtype=np.int16)
+        self.first_slot, self.first_state = np.stack([lane, self.lanes * SLOTS_1 + lane]), np.stack([lane, self.lanes * 32 + lane])
         self.last, self.before = np.empty(lanes, dtype=np.int64), np.empty(lanes, dtype=np.int64)
         self.reset()
 
@@ -61,6 +64,8 @@ class _Models:
         for t in (self.table, self.last, self.before):
             t[:] = 0
         self.share[:] = TOTAL // 8
+        # order 1 where it says the same as order 2: a share below 2**SLOW does not grow without hits
+        self.share[: 32 * self.lanes].reshape(32, self.lanes)[::2] = 0
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the first ``k`` lanes: both predictions, and the shares of TOTAL of order 1 and 2; kept for ``learn``."""
@@ -71,28 +76,32 @@ class _Models:
         self.at = np.empty((2, k), dtype=np.int64)
         np.bitwise_and(last, SLOTS_1 - 1, out=self.at[0])
         np.bitwise_and(mixed, SLOTS_2 - 1, out=self.at[1])
+        self.at *= self.lanes
         self.at += self.first_slot[:, :k]
         self.found = self.table.take(self.at)
         self.ids = self.found & 0xFFFF
         self.apart = self.ids[0] != self.ids[1]
-        sure = self.found >> 16
-        state = (sure[1] << 3) + (sure[0] << 1)
+        self.sure = self.found - self.ids
+        state = (self.sure[1] >> 13) + (self.sure[0] >> 15)
         state += self.apart
+        state *= self.lanes
         self.state = self.first_state[:, :k] + state
         self.now = self.share.take(self.state)
-        return self.ids, (self.now[0] * self.apart).view(np.uint64), self.now[1].view(np.uint64)
+        return self.ids, *self.now.astype(np.uint64)
 
     def learn(self, k: int, ids: np.ndarray) -> None:
         """The ids that came, as 32-bit integers."""
         hit = self.ids == ids
-        missed = np.where(self.found >= 2 * _SURE, self.ids, ids)
-        missed |= _SURE
-        sure = self.found + _SURE
-        np.minimum(sure, ids | 3 * _SURE, out=sure)
-        self.table[self.at] = np.where(hit, sure, missed)
+        kept = np.where(self.found >= 2 * _SURE, self.ids, ids)
+        np.minimum(self.sure, 2 * _SURE, out=self.sure)
+        self.sure *= hit
+        self.sure += _SURE
+        kept += self.sure
+        self.table[self.at] = kept
         hit[0] &= self.apart
-        move = np.where(hit, MOST, LEAST)
+        move = hit * np.int16(MOST - LEAST)
         move -= self.now
+        move += np.int16(LEAST)
         move >>= SLOW
         move += self.now
         self.share[self.state] = move
@@ -100,16 +109,23 @@ class _Models:
         self.last[:k] = ids
 
 
+def _turned(ids: np.ndarray) -> np.ndarray:
+    """Rows as columns, in strips that the cache holds."""
+    out = np.zeros((ids.shape[1], ids.shape[0] + 32), dtype=ids.dtype)[:, : ids.shape[0]]  # 64 bytes more: rows apart by a power of two share cache lines
+    for i in range(0, ids.shape[1], 64):
+        out[i : i + 64] = ids[:, i : i + 64].T
+    return out
+
+
 class _Order0:
-    """Shares of a power of two: where each id's begins, and which id a slot belongs to."""
+    """Shares of a power of two: where each id's begins and how large it is (32 bits each), and which id a slot belongs to."""
 
     def __init__(self, share: np.ndarray):
         total = int(share.sum())
         if total & (total - 1) or (len(share) and share.min() < 0):
             raise ValueError("shares must add up to a power of two")
         self.bits, self.most = np.uint64(max(total.bit_length() - 1, 0)), np.uint64(max(total - 1, 0))
-        self.size = share.astype(np.uint64)
-        self.begin = (np.cumsum(share) - share).astype(np.uint64)
+        self.spans = (((np.cumsum(share) - share) << 32) + share).astype(np.uint64)
         self.slots = np.repeat(np.arange(len(share), dtype=np.int32), share)
 
 
@@ -151,12 +167,12 @@ class Coder:
         n, steps = len(blocks), int(lengths[0]) if len(lengths) else 0
         if any(len(b) and (b.min() < 0 or b.max() >= self.vocabulary) for b in blocks):
             raise ValueError("an id is outside the vocabulary")
-        ids = np.zeros((n, steps), dtype=np.uint16)
+        ids, held = np.zeros((n, steps + 32), dtype=np.uint16)[:, :steps], (order_0.spans & _ONES) > 0
         for i, b in enumerate(blocks):
             ids[i, : len(b)] = b
-            if not order_0.size[ids[i, : len(b)]].all():
+            if not held[ids[i, : len(b)]].all():
                 raise ValueError("an id has no share of order 0")
-        ids = np.ascontiguousarray(ids.T)
+        ids = _turned(ids)
         models = self._fresh(n)
         low, span, written = np.zeros(n, dtype=np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64), np.zeros(n, dtype=np.int64)
         digits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -170,7 +186,8 @@ class Coder:
             both = share_1 + share_2
             # order 0, in what the mix leaves to it
             part = (unit * (np.uint64(TOTAL) - both)) >> order_0.bits
-            new, narrow = old + unit * both + part * order_0.begin.take(now), part * order_0.size.take(now)
+            spans = order_0.spans.take(now)
+            new, narrow = old + unit * both + part * (spans >> _U32), part * (spans & _ONES)
             hit_1, hit_2 = found == now
             hit = np.flatnonzero(hit_1 | hit_2)
             if len(hit):
@@ -191,7 +208,7 @@ class Coder:
             models.learn(k, now)
         everyone = np.arange(n)
         for shift in (_U32, np.uint64(0)):  # what is left of the range's begin
-            digits.append((everyone, written.copy(), (low >> shift) & (_LOW - np.uint64(1))))
+            digits.append((everyone, written.copy(), (low >> shift) & _ONES))
             written += 1
         starts = np.r_[0, np.cumsum(written)]
         flat = np.zeros(starts[-1], dtype=np.uint64)
@@ -200,7 +217,7 @@ class Coder:
         for who, place in carries:
             np.add.at(flat, starts[who] + place, np.uint64(1))
         while (over := np.flatnonzero(flat >= _LOW)).size:
-            flat[over] &= _LOW - np.uint64(1)
+            flat[over] &= _ONES
             np.add.at(flat, over - 1, np.uint64(1))
         words = flat.astype(">u4")
         return [words[starts[i] : starts[i + 1]].tobytes() for i in range(n)]
@@ -219,7 +236,7 @@ class Coder:
         sizes = np.array([len(p) // 4 for p in payloads], dtype=np.int64)
         flat = np.r_[np.frombuffer(b"".join(payloads), dtype=">u4").astype(np.uint64), np.zeros(2, dtype=np.uint64)]
         at_digit = np.cumsum(sizes) - sizes
-        ids = np.zeros((steps, n), dtype=np.uint16)
+        ids = np.zeros((steps, n + 32), dtype=np.uint16)[:, :n]
         models = self._fresh(n)
         off, span = (flat[at_digit] << _U32) | flat[at_digit + 1], np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         at_digit += 2
@@ -233,8 +250,9 @@ class Coder:
             part = (unit * (np.uint64(TOTAL) - both)) >> order_0.bits
             new = old - known
             now = order_0.slots.take(np.minimum(new // part, order_0.most).view(np.int64))
-            new -= part * order_0.begin.take(now)
-            narrow = part * order_0.size.take(now)
+            spans = order_0.spans.take(now)
+            new -= part * (spans >> _U32)
+            narrow = part * (spans & _ONES)
             hit = np.flatnonzero(old < known)
             if len(hit):
                 rest, unit, size_2 = old[hit], unit[hit], share_2[hit]
@@ -252,5 +270,5 @@ class Coder:
             off[:k], span[:k] = new, narrow
             ids[t, :k] = now
             models.learn(k, now)
-        ids = np.ascontiguousarray(ids.T)
+        ids = _turned(ids)
         return [ids[i, : lengths[i]].astype(np.uint32) for i in range(n)]

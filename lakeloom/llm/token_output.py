@@ -39,7 +39,7 @@ from .id_coder import BLOCK, LANES, Coder, shares
 from .token_counts import tokenizer
 
 #: Distinct chunks that a worker keeps, and their bytes (both besides those of one slice of texts, of ``SLICE`` bytes); ids gathered before a section is written.
-CACHE_CHUNKS, CACHE_BYTES, SLICE, SECTION = 300_000, 16_000_000, 8_000_000, BLOCK * LANES
+CACHE_CHUNKS, CACHE_BYTES, SLICE, SECTION = 600_000, 16_000_000, 8_000_000, BLOCK * LANES
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 _HEAD = struct.Struct("<4sIQIII")  # magic, documents, ids, blocks, index bytes, checksum
 _MAGIC = b"IDS2"

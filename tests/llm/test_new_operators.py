@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,6 +135,56 @@ def test_written_ids_come_back(spark, tmp_path):
     assert [(r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in token_output.read_ids(spark, str(tmp_path / "x")).collect()] == [(1, 0, 3, rows[0][1]), (2, 3, 0, b""), (3, 3, 0, b"")]
 
 
+def test_coder_reaches_the_entropy_of_its_shares():
+    rng = np.random.default_rng(1)
+    chance = 1 / np.arange(1, 3001)
+    ids = rng.permutation(49408)[:3000][rng.choice(3000, 60_000, p=chance / chance.sum())]
+    blocks = [ids[i : i + id_coder.BLOCK] for i in range(0, len(ids), id_coder.BLOCK)]
+    counts = np.bincount(ids, minlength=49408)
+    share, coder = id_coder.shares(counts), id_coder.Coder(49408)
+    assert share.sum() & (share.sum() - 1) == 0 and ((share > 0) == (counts > 0)).all()
+    made = coder.encode(blocks, share)
+    assert all((a == b).all() for a, b in zip(coder.decode(made, [len(b) for b in blocks], share), blocks, strict=True))
+    p = counts[counts > 0] / len(ids)
+    assert 8 * sum(map(len, made)) < 1.06 * len(ids) * -(p * np.log2(p)).sum()
+    with pytest.raises(ValueError, match="no share"):
+        coder.encode([np.flatnonzero(counts == 0)[:1]], share)
+
+
+@pytest.mark.parametrize("counts", [np.zeros(5), np.ones(1), np.ones(1 << 16), np.r_[10**12, np.ones(60_000), 0]])
+def test_shares_add_up_to_a_power_of_two(counts):
+    share = id_coder.shares(counts)
+    assert ((share > 0) == (counts > 0)).all() and int(share.sum()) & (int(share.sum()) - 1) == 0
+
+
+def test_all_ids_of_a_section_come_back(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    flat = np.r_[rng.permutation(1 << 16), np.zeros(50_000, dtype=np.int64)].astype("<u4")
+    rows = [(i, part.tobytes()) for i, part in enumerate(np.array_split(flat, 30))]
+    spark.dataSource.register(token_output.TokenIdSource)
+    spark.createDataFrame(rows, "doc_id long, ids binary").coalesce(1).write.format("token_ids").option("vocabulary", 1 << 16).mode("append").save(str(tmp_path / "x"))
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in token_output.read_ids(spark, str(tmp_path / "x")).collect()) == rows
+
+
+@pytest.fixture(scope="module")
+def id_encoder():
+    return token_output.Encoder("word_bpe_49k.json")
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.lists(st.one_of(st.sampled_from([*"aBst1 '.,;!-_|<>\n²ª×÷éÉßÿÀÞµſİΣςÅ’“é😀\x00\xa0\u2028\u0301\u0327\x85\ufeff", "'s", "n't", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "e\u0301", "word", "Word"]), st.characters(codec="utf-8")), max_size=14).map("".join), max_size=4))
+def test_chunks_equal_the_library(id_encoder, texts):
+    ids, sizes = id_encoder.encode(pa.array(texts, pa.string()))
+    made = [id_encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for m in made for i in m] and sizes.tolist() == [len(m) for m in made]
+
+
+def test_words_are_encoded_once_whatever_follows():
+    made = token_output.Encoder("word_bpe_49k.json")
+    made.encode(pa.array(["Loom, loom; LOOM! loom (loom)", "<|endoftext|>loom."]))
+    assert sorted(made.known.to_pylist()) == sorted(["loom", ",", ";", "!", "(loom", ")", "<|endoftext|>loom", "."])
+
+
 # ---- op13
 
 def plain_search(docs, items, best=10):
