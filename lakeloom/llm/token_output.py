@@ -7,8 +7,8 @@ damage stays in one block and is found. The writer gives each task's file a name
 and writes ``manifest.json`` (files in order, with the numbers of documents and ids) only when all tasks have succeeded,
 so a task that runs twice leaves nothing behind.
 
-Texts are encoded by distinct chunk: no word of the vocabulary's pattern goes over white space, so what stands between
-ASCII white space is encoded by the library once and looked up afterwards.
+Texts are encoded by distinct chunk: where no word of the vocabulary's pattern goes over white space, or from a plain letter
+or digit on to punctuation, what stands between is encoded by the library once and looked up afterwards.
 """
 
 from __future__ import annotations
@@ -57,8 +57,8 @@ _PLAIN, JOINED = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", 1000
 class Encoder:
     """The library's ids of whole texts, each distinct chunk encoded once.
 
-    Where the vocabulary's words are known (``_WORDS``), chunks also end before punctuation, and those of plain letters
-    are encoded many at a time, by the library without the steps that leave them as they are. A word's last token, and
+    Where the vocabulary's words are known (``_WORDS``), chunks end at white space and before punctuation, elsewhere with
+    the text. Chunks of plain letters are encoded many at a time, by the library without the steps that leave them as they are. A word's last token, and
     no other, ends with the model's suffix, which gives each word its ids.
     """
 
@@ -89,7 +89,7 @@ class Encoder:
         self.known, self.sizes, self.flat = pa.array([], pa.large_string()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
     def _one_by_one(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        made = [x.ids for x in self.library.encode_batch_fast(chunks.to_pylist(), add_special_tokens=False)]
+        made = [x.ids for start, stop in _runs(chunks, 400_000) for x in self.library.encode_batch_fast(chunks.slice(start, stop - start).to_pylist(), add_special_tokens=False)]
         return np.array([len(x) for x in made], dtype=np.int64), np.fromiter(itertools.chain.from_iterable(made), dtype=np.uint32)
 
     def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +111,9 @@ class Encoder:
         """The ids of the texts (null: none) one after another, and the number of each text's ids."""
         whole = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.plain:
-            whole = pc.replace_substring_regex(whole, pattern=_BREAK, replacement=_BROKEN)
-        lists = pc.ascii_split_whitespace(whole)
+            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(whole, pattern=_BREAK, replacement=_BROKEN))
+        else:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1), pa.int32()), whole)
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary
         if self.plain:

@@ -185,6 +185,13 @@ def test_words_are_encoded_once_whatever_follows():
     assert sorted(made.known.to_pylist()) == sorted(["loom", ",", ";", "!", "(loom", ")", "<|endoftext|>loom", "."])
 
 
+def test_vocabularies_whose_words_hold_blanks():
+    made, texts = token_output.Encoder("byte_bpe_50k.json"), ["two words, two words", "", " \n a  b", "two words, two words", None]
+    ids, sizes = made.encode(pa.array(texts))
+    library = [made.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for m in library for i in m] and sizes.tolist() == [len(m) for m in library]
+
+
 # ---- op13
 
 def plain_search(docs, items, best=10):
